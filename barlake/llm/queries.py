@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bagminhash, decontaminate, langid, line_chunks, mixture, quality, recompress, urls
+from barlake.llm import bagminhash, decontaminate, langid, licenses, line_chunks, mixture, quality, recompress, urls
 from barlake.llm.tables import documents
 
 
@@ -51,8 +51,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.fit(quality.graded(docs, _table(spark, sf_dir, "labels"))))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality)
+    found = (op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
