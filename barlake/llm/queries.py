@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bagminhash, decontaminate, langid, licenses, line_chunks, mixture, quality, recompress, urls
+from barlake.llm import bagminhash, decontaminate, langid, licenses, line_chunks, mixture, quality, recompress, topk, urls
 from barlake.llm.tables import documents
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality, op10_license_scan)
+    found = (op1_cover_tree, op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
