@@ -156,14 +156,14 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, th, spans): for each text the ranges [a, b] of window starts that also start in a smaller doc_id.
 
-    docs: doc_id, text, th (a hash of the text, which tells rows of one doc_id apart). Rows whose doc_id or
-    text is null take no part.
+    docs: doc_id, text, th (a hash of the text, which tells rows of one doc_id apart), key (doc_id, or 0). Rows whose
+    doc_id or text is null take no part.
     """
-    docs = docs.select("doc_id", "text", "th")
-    live = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    live = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "th", "text")
     schema = "doc_id long, th long, a int, b int, u1 long, u2 long, cut long"
     every = written(live.mapInArrow(_stretch_batches, schema), "stretches")
-    shared = every.groupBy("cut").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("cut")
+    # written, so that the join deals both sides out itself and can split a cut that very many stretches have
+    shared = written(every.groupBy("cut").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("cut"), "cuts")
     some = written(every.join(shared.hint("shuffle_hash"), "cut", "left_semi"), "shared")
     owner = some.groupBy("u1", "u2").agg(F.min("doc_id").alias("owner"), F.min("cut").alias("owner_cut"))
     # Shuffled by a written table: each stretch meets its owner, and cuts with several different stretches are told apart.
@@ -173,8 +173,10 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     mixed = owner.groupBy(F.col("owner_cut").alias("cut")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cut")
     single = met.where("owner = doc_id").join(mixed.hint("shuffle_hash"), "cut", "left_semi")
     spans = single.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    open_docs = docs.join(spans.hint("shuffle_hash"), ["doc_id", "th"])
-    windows = written(open_docs.mapInArrow(_window_batches, "doc_id long, th long, s int, w1 long, w2 long"), "windows")
+    # not written: the texts are dealt out by (key, th) for this join and for the caller's, so Spark deals them out once
+    spans = spans.withColumnRenamed("doc_id", "key")
+    open_docs = docs.join(spans.hint("shuffle_hash"), ["key", "th"])
+    windows = open_docs.mapInArrow(_window_batches, "doc_id long, th long, s int, w1 long, w2 long")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     part = windows.join(least.hint("shuffle_hash"), ["w1", "w2"]).where("least < doc_id").select("doc_id", "th", F.col("s").alias("a"), F.col("s").alias("b"))
     return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -231,8 +233,12 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
-    return docs.join(removed_windows(docs).hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    """Each text with its ranges. The join's keys are never null, so both joins with the texts see the same rows."""
+    doc_id = F.col("doc_id").cast("long")
+    th = F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+    docs = docs.select(doc_id.alias("doc_id"), "text", th.alias("th"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("key"))
+    spans = removed_windows(docs).withColumnRenamed("doc_id", "key")
+    return docs.join(spans.hint("shuffle_hash"), ["key", "th"], "left").select("doc_id", "text", "spans")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
