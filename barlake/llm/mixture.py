@@ -43,9 +43,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int
     by = Window.orderBy("c")
     to, beyond = by.rangeBetween(Window.unboundedPreceding, 0), by.rangeBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
-    t = t.withColumns({"A": F.sum("cap").over(to), "own": F.sum("cap").over(Window.partitionBy("c")), "W": F.sum("w").over(beyond), "own_w": F.sum("w").over(Window.partitionBy("c")), "T": F.sum("source_size").over(every) * F.lit(total)})
-    reached = F.col("A") + F.col("c") * (F.col("W") - F.col("own_w")) >= F.col("T")
-    t = t.withColumn("level", F.when(reached, (F.col("T") - (F.col("A") - F.col("own"))) / F.col("W")))
+    t = t.withColumns({"A": F.sum("cap").over(to), "own": F.sum("cap").over(Window.partitionBy("c")), "ww": F.sum("w").over(beyond), "own_w": F.sum("w").over(Window.partitionBy("c")), "T": F.sum("source_size").over(every) * F.lit(total)})
+    reached = F.col("A") + F.col("c") * (F.col("ww") - F.col("own_w")) >= F.col("T")
+    t = t.withColumn("level", F.when(reached, (F.col("T") - (F.col("A") - F.col("own"))) / F.col("ww")))
     level = F.min_by("level", F.when(reached, F.col("c"))).over(every)
     return t.select("source_key", "source", "source_size", F.least(F.col("w") * level, F.col("cap")).alias("target"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import bagminhash, decontaminate, langid, licenses, line_chunks, mixture, quality, recompress, topk, urls
+from barlake.llm.oracles import oracle_sql as oracle_sql
 from barlake.llm.tables import documents
 
 
@@ -63,7 +64,3 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_cover_tree, op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality, op10_license_scan)
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
