@@ -52,3 +52,8 @@ def clip(x: Column, low: float, high: float) -> Column:
 def flag(b: Column) -> Column:
     """1.0 where b holds, else 0.0, null counting as not."""
     return F.when(F.coalesce(b, F.lit(False)), 1.0).otherwise(0.0)
+
+
+def correlation(a: str, b: str) -> Column:
+    """Aggregate: Pearson's correlation, null where either side does not vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b))), F.lit(0.0))

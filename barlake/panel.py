@@ -61,3 +61,23 @@ def etf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 8 != 0, (k % 10 - 5) / F.lit(200.0)).alias("Tracking_Difference"),
         F.element_at(F.array(*map(F.lit, ("Verified", "Suggested", "Review", "Missing"))), ((k / 4).cast("long") % 4 + 1).cast("int")).alias("Mapping_Status"),
     )
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Date, FII_Net, DII_Net): purchases less errors and views less clicks of each day's events."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("Date"), "event_type", "value")
+    net = lambda plus, minus: F.sum(F.when(F.col("event_type") == plus, F.col("value")).when(F.col("event_type") == minus, -F.col("value")).otherwise(0.0))
+    return e.groupBy("Date").agg(F.round(net("purchase", "error"), 6).alias("FII_Net"), F.round(net("view", "click"), 6).alias("DII_Net"))
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Symbol, Date, Buy_Sell, Qty, Price): purchases and signups as buys, errors as sells, by user."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup", "error"))
+    side = F.when(F.col("event_type") == "error", "Sell").otherwise("Buy")
+    return e.select(F.concat(F.lit("S"), F.col("user_id") % 100).alias("Symbol"), F.to_date("ts").alias("Date"), side.alias("Buy_Sell"), F.lit(1.0).alias("Qty"), F.col("value").alias("Price"))
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, Symbol, title): the first twelve tokens of each document, by its source."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("source").alias("Symbol"), F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 12), " ").alias("title"))
