@@ -55,7 +55,8 @@ def grow(sample: list, rows: int) -> dict[int, tuple[np.ndarray, list[np.ndarray
     tree = {}
     fan = int(np.clip(np.ceil(np.sqrt(rows / LEAF)), 1, FAN))
     for dim in sorted({len(v) for v in sample}):
-        x = np.array([v for v in sample if len(v) == dim], dtype=np.float64).reshape(-1, dim)
+        rows_of = [v for v in sample if len(v) == dim]
+        x = np.array(rows_of, dtype=np.float64).reshape(len(rows_of), dim)
         top = _farthest_first(x, fan)
         near = _nearest(x, top)
         tree[dim] = (top, [_farthest_first(x[near == k], fan) if (near == k).any() else top[[k]] for k in range(len(top))])
