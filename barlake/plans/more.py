@@ -20,8 +20,8 @@ dated as (select Symbol, Date, Close, idx from bars join cal using (Date)),
 fwd as (select d.Date, d.Symbol, h.h as horizon, l.Close / nullif(d.Close, 0) - 1 as fwd from dated d cross join (select unnest([5, 10, 21])::bigint as h) h join dated l on l.Symbol = d.Symbol and l.idx = d.idx + h.h)"""
 _KEYS = ("Date", "alpha", "horizon")
 IC = f"""{FORWARD},
-both as (select Date, Symbol, alpha, value, horizon, fwd from panel join fwd using (Date, Symbol) where fwd is not null),
-ranked as (select Date, alpha, horizon, {sql.pr('value', *_KEYS)} as ra, {sql.pr('fwd', *_KEYS)} as rf from both),
+paired as (select Date, Symbol, alpha, value, horizon, fwd from panel join fwd using (Date, Symbol) where fwd is not null),
+ranked as (select Date, alpha, horizon, {sql.pr('value', *_KEYS)} as ra, {sql.pr('fwd', *_KEYS)} as rf from paired),
 ic0 as (select Date, alpha, horizon, corr(ra, rf) as ic, count(*) as n from ranked group by 1, 2, 3),
 ic as (select * from ic0 where n >= 8 and ic is not null and not isnan(ic))"""
 REPORT = f"""{IC},
