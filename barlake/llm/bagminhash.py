@@ -7,8 +7,10 @@ c. A component keeps the earliest point; two bags agree on it with a probability
 similarity. Points are made in order of time only until every component has an earlier one.
 
 Bags that agree on all components of a band meet there. A bag is compared with the least document of its band's
-bucket, multiset against multiset. Where that leaves a bucket in several classes, the members outside the
-least document's class are compared with all members of other classes whose signatures can reach the similarity.
+bucket, multiset against multiset. Where that leaves a bucket in several classes, further members are drawn and
+compared with those of other classes, a few at a time, so that large classes grow together by few comparisons; in
+the end the members outside the least document's class are compared with all members of other classes whose
+signatures can reach the similarity, so no two similar bags that met in a bucket stay apart.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Least share of equal components for a comparison of bags: over five standard deviations below SIMILARITY.
 ESTIMATE = 0.6
+#: The members outside their hub's class meet all others at once if that makes no more pairs than LINEAR for a member of all buckets, or
+#: EACH for a member of an open bucket. Else HUBS members of a bucket are drawn first, at most TURNS times.
+LINEAR, EACH, HUBS, TURNS = 1, 1, 2, 8
 
 _poly = Poly(11)
 _over = Poly(13)
@@ -59,8 +64,11 @@ def bags(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(rows: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Earliest times, rows x size; rows without shingles stay infinite."""
-    least = np.full(rows * size, np.inf)
+    """Earliest times in units of 2**-44, rows x size; rows without shingles keep the largest number.
+
+    Times are whole numbers, so sums do not depend on how the points of a process are blocked.
+    """
+    least = np.full(rows * size, np.iinfo(np.int64).max)
     grid = least.reshape(rows, size)
     # one process for each shingle and piece of the weight axis that its count reaches
     piece, seeds, docs, low, width, top = 0, [], [], [], [], []
@@ -77,7 +85,7 @@ def signatures(rows: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray,
     if not seeds:
         return grid
     seed, doc, low, width, top = (np.concatenate(x) for x in (seeds, docs, low, width, top))
-    time = np.zeros(len(seed))
+    time = np.zeros(len(seed), dtype=np.int64)
     made = 0
     while len(seed):
         block = 1 if len(seed) > 20_000 else 4 if len(seed) > 4_000 else 32
@@ -85,6 +93,7 @@ def signatures(rows: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray,
         r1 = mix(seed[:, None] + step * _GOLD)
         r2 = mix(r1 + U(0x632BE59BD9B4E019))
         gap = -np.log(((r1 >> U(11)).astype(np.float64) + 0.5) / 2**53) / (width[:, None] * size)
+        gap = (gap * 2.0**44).astype(np.int64) + 1
         at = time[:, None] + np.cumsum(gap, axis=1)
         component = (r2 % U(size)).astype(np.int64)
         unit = low[:, None] + ((r2 >> U(32)).astype(np.float64) / 2**32 * width[:, None]).astype(np.int64)
@@ -160,6 +169,52 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare_batches, "u long, v long, similarity double").groupBy("u", "v").agg(F.max("similarity").alias("similarity"))
 
 
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, doc_id, hub, root, hub_root, members) of the buckets whose members beside the hub are of several classes.
+
+    members: bucket, doc_id, hub. A hub was compared with all of its bucket, so it is not among them. Classes only grow
+    together, so what is left out here need not be looked at again.
+    """
+    label = roots.select(F.col("node").alias("doc_id"), "root")
+    own = members.join(label.hint("shuffle_hash"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    own = written(own.join(hub.hint("shuffle_hash"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "classed")
+    several = own.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("members")).where("a < b").select("bucket", "members")
+    return written(own.join(written(several, "open_buckets").hint("shuffle_hash"), "bucket"), "open_members")
+
+
+def _alike(a: str, b: str) -> F.Column:
+    """Whether two signatures can be those of similar bags."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= ESTIMATE * SIZE
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _with_drawn_hubs(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of a few members of each open bucket, drawn by hash, with its members of other classes."""
+    member = F.struct(F.col("doc_id").alias("v"), F.col("root").alias("root_v"))
+    drawn = [F.min_by(member, F.xxhash64("doc_id", "bucket", F.lit(turn * HUBS + k))) for k in range(HUBS)]
+    hubs = written(rest.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("bucket", F.explode("hubs").alias("h")).select("bucket", "h.*"), "drawn_hubs")
+    return _ordered(rest.select("bucket", F.col("doc_id").alias("u"), "root").join(hubs.hint("shuffle_merge"), "bucket").where(F.col("root") != F.col("root_v")))
+
+
+def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
+    """All pairs (u, v) of an open bucket's members outside its hub's class with alike members of other classes."""
+    rest = rest.join(signatures.hint("shuffle_hash"), "doc_id")
+    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), F.col("root").alias("root_u"), F.col("signature").alias("sig_u"), "hub_root")
+    other = rest.select(F.col("bucket").alias("_b"), F.col("doc_id").alias("v"), F.col("root").alias("root_v"), F.col("signature").alias("sig_v"))
+    across = (F.col("root_u") < F.col("root_v")) | ((F.col("root_u") != F.col("root_v")) & (F.col("root_v") == F.col("hub_root")))
+    return _ordered(odd.join(other.hint("shuffle_merge"), (F.col("bucket") == F.col("_b")) & across & _alike("sig_u", "sig_v")))
+
+
+def _only_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    u = signatures.select(F.col("doc_id").alias("u"), F.col("signature").alias("sig_u"))
+    v = signatures.select(F.col("doc_id").alias("v"), F.col("signature").alias("sig_v"))
+    return pairs.join(u.hint("shuffle_merge"), "u").join(v.hint("shuffle_merge"), "v").where(_alike("sig_u", "sig_v")).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: class_id is the least doc_id of its class of near duplicates.
 
@@ -190,26 +245,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(_verified(pairs, texts), "links")
     roots = components(links.select("u", "v"))
 
-    # buckets that still hold several classes: members outside the hub's class against all members of other classes
-    label = roots.select(F.col("node").alias("doc_id"), "root")
-    classed = met.join(label.hint("shuffle_hash"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    classed = written(classed, "classed")
-    members_of = classed.where("doc_id != hub")
-    hub_root = classed.where("doc_id = hub").select("bucket", F.col("root").alias("hub_root"))
-    open_buckets = members_of.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket").join(hub_root.hint("shuffle_hash"), "bucket")
-    rest = members_of.join(open_buckets.hint("shuffle_hash"), "bucket").select("bucket", "doc_id", "root", "hub_root")
-    sig_ids = rest.select("doc_id").distinct()
-    rest_sigs = written(rep_sigs.select("doc_id", "signature").join(sig_ids.hint("shuffle_hash"), "doc_id", "left_semi"), "rest_signatures")
-    rest = written(rest.join(rest_sigs.hint("shuffle_hash"), "doc_id"), "rest")
-    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), F.col("root").alias("root_u"), F.col("signature").alias("sig_u"), "hub_root")
-    other = rest.select("bucket", F.col("doc_id").alias("v"), F.col("root").alias("root_v"), F.col("signature").alias("sig_v"))
-    equal = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda x, y: x == y), lambda same: same))
-    across = (F.col("root_u") < F.col("root_v")) | ((F.col("root_u") != F.col("root_v")) & (F.col("root_v") == F.col("hub_root")))
-    more = odd.join(other.hint("shuffle_merge"), (odd["bucket"] == other["bucket"]) & across & (equal >= ESTIMATE * SIZE))
-    more = more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = more.join(pairs.hint("shuffle_hash"), ["u", "v"], "left_anti")
-    links = written(links.unionByName(_verified(written(more, "pairs"), texts)), "links")
-    roots = components(links.select("u", "v"))
+    rest = _open_members(met.where("doc_id != hub"), roots)
+    ids = written(rest.select("doc_id").distinct(), "open_ids")
+    open_signatures = written(rep_sigs.select("doc_id", "signature").join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "open_signatures")
+    open_texts = written(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "open_texts")
+    tested, done, turn, linear = pairs, False, 0, met.count()
+    while not done:
+        outside, rows = rest.agg(F.sum(F.when(F.col("root") != F.col("hub_root"), F.col("members"))), F.count(F.lit(1))).first()
+        if not rows:
+            break
+        done = turn == TURNS or (outside or 0) <= max(EACH * rows, LINEAR * linear)
+        more = _across(rest, open_signatures) if done else _with_drawn_hubs(rest, turn)
+        more = written(more.join(tested.hint("shuffle_hash"), ["u", "v"], "left_anti"), "pairs")
+        found = written(_verified(more if done else _only_alike(more, open_signatures), open_texts), "links")
+        links, tested, turn = links.unionByName(found), tested.unionByName(more), turn + 1
+        roots = components(links.select("u", "v"))
+        if not done:
+            rest = _open_members(rest.select("bucket", "doc_id", "hub"), roots)
 
     ends = links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
