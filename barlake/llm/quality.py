@@ -151,10 +151,10 @@ def _improve_part(model: Model, allowed: np.ndarray):
     return improve_part
 
 
-def fit(rated: DataFrame, grades: int = 3, sample: int = SAMPLE) -> Model:
+def fit(rated: DataFrame, grades: int = 3, sample: int = SAMPLE, counts: dict[int, int] | None = None) -> Model:
     """Fit on (doc_id, text, grade 0 ... grades-1) rows, at most `sample` of each grade.
 
-    The driver holds the weights alone: DIM numbers for each part and round. Without rated rows every score is 0.
+    counts: how often each grade was given, where `rated` is a sample of the ratings; else `rated` is counted. The driver holds the weights alone: DIM numbers for each part and round. Without rated rows every score is 0.
     """
     rated = rated.select(F.col("doc_id").cast("long"), "text", F.col("grade").cast("int").alias("grade")).where("doc_id is not null and text is not null and grade is not null")
     keys = bounded_sample(rated.select("doc_id", "grade"), "grade", "doc_id", sample)
@@ -180,7 +180,11 @@ def fit(rated: DataFrame, grades: int = 3, sample: int = SAMPLE) -> Model:
         found.sort(key=lambda r: (r["n"], r["weights"]))
         share = np.array([r["n"] for r in found]) / sum(r["n"] for r in found)
         model = Model(sum(s * np.frombuffer(r["weights"], np.float32).astype(np.float64) for s, r in zip(share, found, strict=True)), sum(s * np.array(r["thresholds"]) for s, r in zip(share, found, strict=True)))
-    return _calibrated(model, rows, allowed, rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect(), size)
+    return _calibrated(model, rows, allowed, _counts(rated) if counts is None else counts, size)
+
+
+def _counts(rated: DataFrame) -> dict[int, int]:
+    return {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def _score_batches(model: Model):
@@ -192,12 +196,12 @@ def _score_batches(model: Model):
     return run
 
 
-def _calibrated(model: Model, rows: DataFrame, allowed: np.ndarray, counts: list, size: dict) -> Model:
+def _calibrated(model: Model, rows: DataFrame, allowed: np.ndarray, counts: dict, size: dict) -> Model:
     """Thresholds set anew on the sample's scores, each grade weighed by its share of all rated rows."""
     found = rows.mapInArrow(_score_batches(model), "grade int, score double").groupBy("grade", "score").agg(F.count(F.lit(1)).alias("n")).collect()
     if not found:
         return model
-    share = {r["grade"]: r["n"] / max(size.get(r["grade"], 0), 1) for r in counts}
+    share = {g: n / max(size.get(g, 0), 1) for g, n in counts.items()}
     found.sort()
     y, s = np.array([r["grade"] for r in found]), np.array([r["score"] for r in found])
     w = np.array([r["n"] * share[r["grade"]] for r in found])
@@ -233,11 +237,19 @@ def rate(docs: DataFrame, model: Model, good: int = GOOD) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rate_batches(model, good), schema)
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _marks(labels: DataFrame) -> DataFrame:
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    return labels.where("doc_id is not null and toxic is not null and quality is not null").select("doc_id", grade.alias("grade")).dropDuplicates(["doc_id"])
+
+
+def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, grade) of the labelled documents: 0 toxic, 1 of low quality, 2 neither; labels with a null are left out.
 
     Of the labels a bounded sample is kept before they meet the texts, so they can be broadcast.
     """
-    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    marks = labels.where("doc_id is not null and toxic is not null and quality is not null").select("doc_id", grade.alias("grade")).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(bounded_sample(marks, "grade", "doc_id", SAMPLE)), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(bounded_sample(_marks(labels), "grade", "doc_id", sample)), "doc_id")
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on a sample of the labelled documents, with each grade's share of all labels."""
+    return fit(graded(docs, labels, sample), sample=sample, counts=_counts(_marks(labels)))

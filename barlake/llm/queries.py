@@ -54,7 +54,7 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.rate(docs, quality.fit(quality.graded(docs, _table(spark, sf_dir, "labels"))))
+    return quality.rate(docs, quality.fit_labels(docs, _table(spark, sf_dir, "labels")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,12 @@ def test_quality_orders_grades(spark):
     mean = [sum(got[d].expected_grade for d, _, g in held if g == k) / sum(g == k for _, _, g in held) for k in range(3)]
     assert mean == sorted(mean)
     assert quality.rate(docs.limit(0), quality.fit(docs.limit(0))).count() == 0
+
+
+def test_quality_keeps_the_priors_of_all_labels(spark):
+    """Texts tell nothing here, so each grade's probability is its share of the labels, however few are sampled."""
+    docs = spark.range(1000).selectExpr("id as doc_id", "'some words' as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 != 1) as quality", "int(doc_id % 10 = 0) as toxic")
+    model = quality.fit_labels(docs, labels, sample=50)
+    got = quality.rate(docs.limit(1), model).first()
+    assert abs(got.p_good - 0.8) < 0.02 and abs(got.expected_grade - 1.7) < 0.03 and got.selected
