@@ -2,7 +2,7 @@
 
 The tree's upper levels come from a bounded sample: centres are taken farthest first, some below the root and some below
 each of these, so each level covers the rows at a smaller distance. Every row descends to the nearest centre. Rows
-below one centre are cut into leaves of a bounded size by the hash of their id; each leaf knows its centre and covering
+below one centre are cut into leaves of a bounded size by the hash of their id and vector; each leaf knows its centre and covering
 radius. Leaves of queries hang one level higher than leaves of data.
 
 Query leaves first meet the data leaves of their own subtree, which gives each query a kth score that only rises and
@@ -110,9 +110,9 @@ _LEAF_SCHEMA = "dim int, n1 int, leaf string, ids binary, kind int, most long, r
 
 
 def _leaves(rows: DataFrame, tree, level: list[str], name: str) -> DataFrame:
-    """One row a leaf. A node's rows are dealt by hash over as many leaves as its count asks for."""
+    """One row a leaf. A node's rows are dealt by the hash of id and vector over as many leaves as its count asks for."""
     counts = rows.groupBy(*level).agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts"))
-    dealt = rows.join(F.broadcast(written(counts, "counts")), level).withColumn("leaf", F.concat_ws("-", *level, F.pmod(F.xxhash64("vec_id"), "parts")))
+    dealt = rows.join(F.broadcast(written(counts, "counts")), level).withColumn("leaf", F.concat_ws("-", *level, F.pmod(F.xxhash64("vec_id", "v"), "parts")))
     return written(dealt.groupBy("leaf").applyInPandas(_pack(tree, "leaf"), _LEAF_SCHEMA), name)
 
 
@@ -122,7 +122,10 @@ def _matrix(rows: bytes, kind: int, dim: int, n: int) -> np.ndarray:
 
 def _meet(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k best of a data leaf for each query of a query leaf, without those below the query's kth score so far."""
+        """The k best of a data leaf for each query of a query leaf, without those below the query's kth score so far.
+
+        Rows of the same id and score take one place.
+        """
         for batch in batches:
             for r in batch.to_pylist():
                 q, d = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["d_ids"], np.int64)
@@ -135,6 +138,8 @@ def _meet(k: int):
                 s = score[i, j]
                 order = np.lexsort((d[j], -s, i))
                 i, j, s = i[order], j[order], s[order]
+                new = np.append(True, (i[1:] != i[:-1]) | (s[1:] != s[:-1]) | (d[j[1:]] != d[j[:-1]]))[: len(i)]
+                i, j, s = i[new], j[new], s[new]
                 place = np.arange(len(i)) - np.searchsorted(i, i)
                 i, j, s = i[place < k], j[place < k], s[place < k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["leaf"], dtype=object), pa.string()), pa.array(q[i]), pa.array(d[j]), pa.array(s)], names=["leaf", "query_id", "vec_id", "score"])
@@ -176,7 +181,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     candidates of it; rows that repeat a vec_id with the same score count once. Vectors of different
     lengths do not meet. With fewer than k candidates all are returned; an empty table gives no rows.
     """
-    vectors = written(vectors.select("vec_id", "v"), "vectors")
+    vectors = written(vectors.select("vec_id", "v").distinct(), "vectors")
     n = vectors.count()
     sample = [r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     tree = grow(sample, n)

@@ -143,3 +143,17 @@ def test_quality_keeps_the_priors_of_all_labels(spark):
     model = quality.fit_labels(docs, labels, sample=50)
     got = quality.rate(docs.limit(1), model).first()
     assert abs(got.p_good - 0.8) < 0.02 and abs(got.expected_grade - 1.7) < 0.03 and got.selected
+
+
+def test_top_k_counts_repeated_rows_once(spark):
+    """Every row twice, one row 30 times, and one id with 30 vectors of two scores."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.integers(-50, 50, size=4).tolist()) for i in range(60)]
+    odd = [(61, [90, 90, 90, k % 2]) for k in range(30)] + [(62, [80, 80, k, -k]) for k in range(30)]
+    rows += [(20, [60, 60, 60, 60]), (0, [1, 1, 1, 0]), (40, [1, 1, 1, 1])]
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows * 2 + rows[7:8] * 30 + odd, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0).collect()}
+    want = set()
+    for q in (0, 20, 40):
+        scored = {(-sum(a * b for a, b in zip(x, y)), j) for i, x in rows if i == q for j, y in rows + odd if j != q}
+        want.update((q, k + 1, j, -s) for k, (s, j) in enumerate(sorted(scored)[:20]))
+    assert got == want
