@@ -248,9 +248,13 @@ def spread_summary(spark, sf_dir):
     return _summary(spark, sf_dir).select("Horizon_Days", "Validation_Dates", *r4(*_SUMMARY))
 
 
+def verdicts(spark, sf_dir):
+    return validation.verdict(validation.bayes_shrink(_summary(spark, sf_dir)))
+
+
 @register("verdict", f"with {sql.SUMMARY} select Horizon_Days, Shrunk_Hit, Shrunk_T, Shrunk_Spread, Verdict, Evidence_Grade from verdicts")
 def verdict(spark, sf_dir):
-    return validation.verdict(validation.bayes_shrink(_summary(spark, sf_dir))).select("Horizon_Days", "Shrunk_Hit", "Shrunk_T", "Shrunk_Spread", "Verdict", "Evidence_Grade")
+    return verdicts(spark, sf_dir).select("Horizon_Days", "Shrunk_Hit", "Shrunk_T", "Shrunk_Spread", "Verdict", "Evidence_Grade")
 
 
 def queries() -> dict[str, Query]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.operators import scoring, tradeplan
 from barlake.plans import sql
-from barlake.plans.queries import all_scores, r4, register
+from barlake.plans.queries import all_scores, r4, register, verdicts
 
 _ATR = f"""{sql.SCORES}, ta as (select *, case when ATR_14 > 0 then ATR_14 when Volatility_20D > 0 then Price * greatest(0.015::double, least(Volatility_20D / sqrt(252.0), 0.05::double)) else Price * 0.02 end as Plan_ATR,
   case when ATR_14 > 0 then 'ATR-based' when Volatility_20D > 0 then 'ATR missing; volatility fallback' else 'ATR missing; 2 pct price fallback' end as ATR_Basis from scores where Price > 0)"""
@@ -27,7 +28,17 @@ def buy_zone(spark, sf_dir):
     return tradeplan.buy_zone(df).select("Symbol", "Date", *r4("Buy_Low", "Buy_High"), "Buy_Note")
 
 
+#: Horizon in days whose verdict counts for the plan, as in the reference. Fixed value.
+HORIZON = 10
+
+
+def planned(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The trade plan of scored rows under the verdict of HORIZON; without one there is too little history."""
+    own = verdicts.where(F.col("Horizon_Days") == HORIZON).agg(F.coalesce(F.first("Verdict"), F.lit("Insufficient History")).alias("Verdict"))
+    return tradeplan.trade_plan(scoring.labels(scored).crossJoin(F.broadcast(own)), F.col("Verdict"))
+
+
 @register("trade_plan")
 def trade_plan(spark, sf_dir):
-    plan = tradeplan.trade_plan(scoring.labels(all_scores(spark, sf_dir)), F.lit("No Proven Edge Yet"))
+    plan = planned(all_scores(spark, sf_dir), verdicts(spark, sf_dir))
     return plan.select("Symbol", "Date", *r4("Stop", "Target_1", "Target_2", "Target_1_Pct", "Reward_Risk"), "Trade_Status")
