@@ -2,9 +2,9 @@
 
 Every passage (PASSAGE words, a new one every half passage) is a query. An item's BM25 score against itself gives its
 threshold. Its terms in order of impact up to the threshold cannot reach it alone; only the others, its essential
-terms, have postings that open a candidate. Each posting block carries its item's greatest possible rest, so a candidate
-whose essential hits plus that rest stay below the threshold is skipped unscored, as block-max WAND does; the
-others are scored in full. All above the threshold are then verified by word n-grams shared with the item's
+terms, have postings that open a candidate. Each item carries its greatest possible rest, so a candidate whose essential
+hits plus that rest stay below the threshold is skipped unscored. This is a filter by essential lists, as in MaxScore, and
+stands in for block-max WAND: there are no posting blocks, block maxima or pivots. The others are scored in full. All above the threshold are then verified by word n-grams shared with the item's
 question and with its answer.
 """
 
