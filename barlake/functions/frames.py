@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("Symbol").orderBy("Date")
+def by_symbol() -> WindowSpec:
+    """A symbol's rows in order of date. Built on call, as windows need a session."""
+    return Window.partitionBy("Symbol").orderBy("Date")
 
 
 def rows(n: int, to: int = 0):
     """The last n rows up to `to` rows from the current one."""
-    return BY_SYMBOL.rowsBetween(to - n + 1, to)
+    return by_symbol().rowsBetween(to - n + 1, to)
 
 
 def rolling(agg: Column, x: Column, n: int, least: int) -> Column:
@@ -20,7 +22,7 @@ def rolling(agg: Column, x: Column, n: int, least: int) -> Column:
 
 def change(x: Column, n: int = 1) -> Column:
     """x against its value n rows earlier, as a fraction."""
-    return x / F.nullif(F.lag(x, n).over(BY_SYMBOL), F.lit(0.0)) - 1
+    return x / F.nullif(F.lag(x, n).over(by_symbol()), F.lit(0.0)) - 1
 
 
 def average_rank(x: Column, *keys: str, ascending: bool = True) -> Column:

@@ -7,24 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.frames import BY_SYMBOL, percent_rank, rows
-
-_C, _V = F.col("Close"), F.col("Volume")
+from barlake.functions.frames import by_symbol, percent_rank, rows
 
 
 def prepared(bars: DataFrame) -> DataFrame:
     """Bars with the columns the factors share: row number, return, gap, money flow, and cumulative signed volume."""
-    last = F.lag("Close").over(BY_SYMBOL)
-    df = bars.withColumns({"n": F.row_number().over(BY_SYMBOL), "ret": _C / last - 1, "gap": F.col("Open") / last - 1, "signed": F.signum(_C - last) * _V})
+    last = F.lag("Close").over(by_symbol())
+    df = bars.withColumns({"n": F.row_number().over(by_symbol()), "ret": F.col("Close") / last - 1, "gap": F.col("Open") / last - 1, "signed": F.signum(F.col("Close") - last) * F.col("Volume")})
     spread = F.nullif(F.col("High") - F.col("Low"), F.lit(0.0))
-    flow = F.coalesce((2 * _C - F.col("High") - F.col("Low")) / spread, F.lit(0.0)) * _V
-    illiquid = F.abs("ret") / F.nullif(_C * _V, F.lit(0.0))
-    df = df.withColumns({"flow": flow, "illiquid": illiquid, "obv": F.sum(F.coalesce("signed", F.lit(0.0))).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))})
+    flow = F.coalesce((2 * F.col("Close") - F.col("High") - F.col("Low")) / spread, F.lit(0.0)) * F.col("Volume")
+    illiquid = F.abs("ret") / F.nullif(F.col("Close") * F.col("Volume"), F.lit(0.0))
+    df = df.withColumns({"flow": flow, "illiquid": illiquid, "obv": F.sum(F.coalesce("signed", F.lit(0.0))).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))})
     return df
 
 
 def _past(n: int) -> Column:
-    return F.lag("Close", n).over(BY_SYMBOL)
+    return F.lag("Close", n).over(by_symbol())
 
 
 def _over(agg: Column, n: int, to: int = 0) -> Column:
@@ -38,20 +36,20 @@ def _some(x: Column) -> Column:
 #: name -> (family, least rows of history, factor). Callers may add their own.
 REGISTRY: dict[str, tuple[str, int, Callable[[], Column]]] = {
     "mom_12_1": ("momentum", 252, lambda: _past(20) / _some(_past(251)) - 1),
-    "high_52w": ("momentum", 60, lambda: 1 - (_over(F.max("Close"), 252) - _C) / _some(_over(F.max("Close"), 252))),
+    "high_52w": ("momentum", 60, lambda: 1 - (_over(F.max("Close"), 252) - F.col("Close")) / _some(_over(F.max("Close"), 252))),
     "amihud": ("liquidity", 25, lambda: -_over(F.avg("illiquid"), 20)),
     "obv_slope": ("volume", 25, lambda: _over(F.regr_slope("obv", "n"), 20) / F.greatest(F.abs(_over(F.avg("obv"), 20)), F.lit(1.0))),
     "chaikin_mf": ("volume", 21, lambda: _over(F.sum("flow"), 20) / _some(_over(F.sum("Volume"), 20))),
-    "mean_rev_z": ("reversal", 25, lambda: -(_C - _over(F.avg("Close"), 20)) / _some(_over(F.stddev_pop("Close"), 20))),
-    "breakout": ("momentum", 25, lambda: (_C - _over(F.max("Close"), 20, -1)) / _some(_over(F.avg(F.col("High") - F.col("Low")), 20))),
+    "mean_rev_z": ("reversal", 25, lambda: -(F.col("Close") - _over(F.avg("Close"), 20)) / _some(_over(F.stddev_pop("Close"), 20))),
+    "breakout": ("momentum", 25, lambda: (F.col("Close") - _over(F.max("Close"), 20, -1)) / _some(_over(F.avg(F.col("High") - F.col("Low")), 20))),
     "gap": ("reversal", 25, lambda: F.expr("percentile(gap, 0.5) over (partition by Symbol order by Date rows between 19 preceding and current row)")),
     "vol_term": ("volatility", 65, lambda: -_over(F.stddev_pop("ret"), 20) / _some(_over(F.stddev_pop("ret"), 60))),
     "low_vol": ("volatility", 60, lambda: -_over(F.stddev_pop("ret"), 60)),
-    "dd_recovery": ("momentum", 60, lambda: 1 - (_over(F.max("Close"), 60) - _C) / _some(_over(F.max("Close"), 60))),
+    "dd_recovery": ("momentum", 60, lambda: 1 - (_over(F.max("Close"), 60) - F.col("Close")) / _some(_over(F.max("Close"), 60))),
     "up_ratio": ("momentum", 15, lambda: _over(F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)), 21)),
     "quiet_uptrend": ("momentum", 20, lambda: _over(F.regr_slope("Close", "n"), 20) / _some(_over(F.stddev_pop("Close"), 20))),
     "volume_surge": ("volume", 60, lambda: _over(F.avg("Volume"), 5) / _some(_over(F.avg("Volume"), 60))),
-    "over_ma50": ("momentum", 50, lambda: _C / _some(_over(F.avg("Close"), 50)) - 1),
+    "over_ma50": ("momentum", 50, lambda: F.col("Close") / _some(_over(F.avg("Close"), 50)) - 1),
 }
 
 
@@ -81,7 +79,7 @@ def asof_overlay(signals: DataFrame, overlay: DataFrame, column: str) -> DataFra
     """
     left = signals.select("Symbol", "Date", F.lit(None).cast(overlay.schema[column].dataType).alias(column), F.lit(1).alias("side"))
     right = overlay.select("Symbol", "Date", column, F.lit(0).alias("side"))
-    w = BY_SYMBOL.orderBy("Date", "side").rowsBetween(Window.unboundedPreceding, 0)
+    w = by_symbol().orderBy("Date", "side").rowsBetween(Window.unboundedPreceding, 0)
     filled = left.unionByName(right).withColumn(column, F.last(column, ignorenulls=True).over(w))
     return filled.where("side = 1").drop("side")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.frames import BY_SYMBOL, change, rolling, rows
+from barlake.functions.frames import by_symbol, change, rolling, rows
 
 HORIZONS = (5, 10, 21, 63, 126, 252)
 AVERAGES = (10, 20, 50, 100, 200)
@@ -19,7 +19,7 @@ def enrich_bars(bars: DataFrame, master: DataFrame, benchmark: DataFrame) -> Dat
 
 def returns(df: DataFrame) -> DataFrame:
     """Daily and n-session changes of price and benchmark and their differences; gaps in the benchmark are filled forward."""
-    filled = df.withColumn("Benchmark_Close", F.last("Benchmark_Close", ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)))
+    filled = df.withColumn("Benchmark_Close", F.last("Benchmark_Close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
     p, b = F.col("Price"), F.col("Benchmark_Close")
     out = {"Daily_Return": change(p), "Benchmark_Return": change(b)}
     for n in HORIZONS:
@@ -54,7 +54,7 @@ def drawdown(df: DataFrame) -> DataFrame:
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Mean gain against mean loss over 14 changes; 50 where there was no loss or too few rows."""
-    df = df.withColumn("_d", F.col("Price") - F.lag("Price").over(BY_SYMBOL))
+    df = df.withColumn("_d", F.col("Price") - F.lag("Price").over(by_symbol()))
     d = F.col("_d")
     gain = rolling(F.avg(F.greatest(d, F.lit(0.0))), d, n, n)
     loss = rolling(F.avg(F.greatest(-d, F.lit(0.0))), d, n, n)
@@ -86,7 +86,7 @@ def beta(df: DataFrame) -> DataFrame:
 
 def atr_levels(df: DataFrame) -> DataFrame:
     """Mean true range of 14 rows (at least 7) and the levels set by it."""
-    last = F.lag("Close").over(BY_SYMBOL)
+    last = F.lag("Close").over(by_symbol())
     df = df.withColumn("_tr", F.greatest(F.col("High") - F.col("Low"), F.abs(F.col("High") - last), F.abs(F.col("Low") - last)))
     df = df.withColumn("ATR_14", rolling(F.avg("_tr"), F.col("_tr"), 14, 7)).drop("_tr")
     p, a = F.col("Price"), F.col("ATR_14")
@@ -100,7 +100,7 @@ def signals(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     for step in (returns, moving_averages, volatility, drawdown, rsi, liquidity, beta, atr_levels):
         df = step(df)
     df = df.withColumns({"Traded_Lakh": F.col("Traded_Value") / 1e5, "Avg_Traded_Lakh_20D": F.col("Avg_Traded_Value_20D") / 1e5})
-    return df.withColumn("History_Days", F.row_number().over(BY_SYMBOL).cast("long"))
+    return df.withColumn("History_Days", F.row_number().over(by_symbol()).cast("long"))
 
 
 def latest_rows(df: DataFrame, least: int = 90) -> DataFrame:
@@ -151,7 +151,7 @@ def hold_horizon(bars: DataFrame, horizons=(3, 5, 10, 21, 42, 63), cap: float =
     """
     recent = F.row_number().over(Window.partitionBy("Symbol").orderBy(F.col("Date").desc())) <= history + 68
     df = bars.withColumn("_keep", recent).where("_keep").select("Symbol", "Date", "Price")
-    each = df.withColumns({str(h): F.col("Price") / F.lag("Price", h).over(BY_SYMBOL) - 1 for h in (1, *horizons)})
+    each = df.withColumns({str(h): F.col("Price") / F.lag("Price", h).over(by_symbol()) - 1 for h in (1, *horizons)})
     long = each.unpivot(["Symbol", "Date"], [str(h) for h in (1, *horizons)], "h", "r").where("r is not null").withColumn("Horizon", F.col("h").cast("int"))
     q = lambda p: F.expr(f"percentile(r, {p})")
     minus = F.count_if(F.col("r") < 0)
