@@ -1,20 +1,23 @@
 """Near-duplicate documents by BagMinHash signatures of their multisets of five-word shingles.
 
 A shingle that stands c times has weight c. Its weight axis is cut into (0, 1], (1, 2], (2, 4], (4, 8], ...;
-each piece carries a Poisson process in time, seeded by shingle and piece, whose rate is the piece's width.
-Each of its points falls on one signature component and on one unit of weight, and counts if that unit is within
-c. A component keeps the earliest point; two bags agree on it with a probability equal to their weighted Jaccard
-similarity. Points are made in order of time only until every component has an earlier one.
-
-Bags that agree on all components of a band meet there. A bag is compared with the least document of its band's
-bucket, multiset against multiset. Where that leaves a bucket in several classes, further members are drawn and
-compared with those of other classes, a few at a time, so that large classes grow together by few comparisons; in
-the end the members outside the least document's class are compared with all members of other classes whose
+each piece carries a Poisson process in time, seeded by shingle and piece, whose rate is the piece's width. With each
+point a piece wider than one is split: the half that holds the point and the other half go on as
+processes of their own, from the time of the point, and so on down to pieces of width one. Halves beyond c are
+dropped as soon as they arise. A point of a piece of width one falls on one signature component, and a component keeps
+its earliest point; two bags agree on it with a probability equal to their weighted Jaccard similarity. Points
+are made in order of time only until every component has an earlier one.
+
+Bags that agree on all components of a band meet in a bucket. Every member is compared, multiset against multiset, with
+one other first: the least document of all its buckets. Buckets whose members are then of several classes are open.
+In turns, each member outside the class of its open bucket's least document meets one drawn member of that class and
+one other outside it. In the end what is left in open buckets is compared in full, in slices of bounded size, where
 signatures can reach the similarity, so no two similar bags that met in a bucket stay apart.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.components import components
+from barlake.llm.components import components, grown
+from barlake.llm.native import small
 from barlake.llm.tables import written
 from barlake.llm.textops import Poly, U, mix, signed, word_slices
 
@@ -32,9 +36,9 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Least share of equal components for a comparison of bags: over five standard deviations below SIMILARITY.
 ESTIMATE = 0.6
-#: The members outside their hub's class meet all others at once if that makes no more pairs than LINEAR for a member of all buckets, or
-#: EACH for a member of an open bucket. Else HUBS members of a bucket are drawn first, at most TURNS times.
-LINEAR, EACH, HUBS, TURNS = 1, 1, 2, 8
+#: Turns with drawn members at most, least share of the members outside that a turn must bring in for another one, and how many
+#: pairs a slice of what is left makes for each member of all buckets.
+TURNS, PROGRESS, PAIRS = 6, 0.1, 2
 
 _poly = Poly(11)
 _over = Poly(13)
@@ -63,46 +67,76 @@ def bags(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key >> U(48)).astype(np.int64), key & U(0xFFFFFFFFFFFF), count
 
 
+def _split_pieces(grid: np.ndarray, seed, doc, low, width, top):
+    """Splits pieces wider than one down to width one: (seed, doc, time) of those with a first point that can count.
+
+    A process is its piece [low, low + width), the time it starts from, and whether it has a point at that time. Both
+    halves of a split piece are seeded by the piece's own seed, so they do not depend on what a bag has of it.
+    """
+    size = grid.shape[1]
+    time, has = np.zeros(len(seed), np.int64), np.zeros(len(seed), bool)
+    out = []
+    while len(seed):
+        gap = -np.log(((mix(seed) >> U(11)).astype(np.float64) + 0.5) / 2**53) / (width * size)
+        time = np.where(has, time, time + (gap * 2.0**44).astype(np.int64) + 1)
+        alive = time < grid.max(axis=1)[doc]
+        seed, doc, low, width, top, time = (x[alive] for x in (seed, doc, low, width, top, time))
+        one = width == 1
+        if one.any():
+            out.append((seed[one], doc[one], time[one]))
+            component = (mix(seed[one] + U(0x632BE59BD9B4E019)) % U(size)).astype(np.int64)
+            np.minimum.at(grid.reshape(-1), doc[one] * size + component, time[one])
+            seed, doc, low, width, top, time = (x[~one] for x in (seed, doc, low, width, top, time))
+        half = width // 2
+        upper = (mix(seed + _GOLD) >> U(63)).astype(bool)  # which half holds the point
+        left, right = mix(seed * _GOLD + U(1)), mix(seed * _GOLD + U(2))
+        seed, has = np.concatenate([left, right]), np.concatenate([~upper, upper])
+        doc, width, top, time = (np.concatenate([x, x]) for x in (doc, half, top, time))
+        low = np.concatenate([low, low + half])
+        near = low < top
+        seed, doc, low, width, top, time, has = (x[near] for x in (seed, doc, low, width, top, time, has))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def signatures(rows: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Earliest times in units of 2**-44, rows x size; rows without shingles keep the largest number.
 
     Times are whole numbers, so sums do not depend on how the points of a process are blocked.
     """
-    least = np.full(rows * size, np.iinfo(np.int64).max)
-    grid = least.reshape(rows, size)
-    # one process for each shingle and piece of the weight axis that its count reaches
-    piece, seeds, docs, low, width, top = 0, [], [], [], [], []
-    lo, hi = 0, 1
-    chosen = np.arange(len(name))
-    while len(chosen):
-        seeds.append(mix(name[chosen] * _GOLD + U(2 * piece + 1)))
-        docs.append(doc[chosen])
-        low.append(np.full(len(chosen), lo))
-        width.append(np.full(len(chosen), hi - lo))
-        top.append(count[chosen])
-        lo, hi, piece = hi, 2 * hi, piece + 1
-        chosen = chosen[count[chosen] > lo]
-    if not seeds:
-        return grid
-    seed, doc, low, width, top = (np.concatenate(x) for x in (seeds, docs, low, width, top))
-    time = np.zeros(len(seed), dtype=np.int64)
+    grid = np.full((rows, size), np.iinfo(np.int64).max)
+    least = grid.reshape(-1)
+    # pieces of width one have all their points made in blocks
+    seed, own, time = mix(name * _GOLD + U(1)), doc, np.zeros(len(name), np.int64)
+    wide, lo, piece = np.flatnonzero(count > 1), 1, 1
+    parts = []
+    while len(wide):
+        n = len(wide)
+        parts.append((mix(name[wide] * _GOLD + U(2 * piece + 1)), doc[wide], np.full(n, lo), np.full(n, lo), count[wide]))
+        lo, piece = 2 * lo, piece + 1
+        wide = wide[count[wide] > lo]
+    fill = _fill(least, grid, seed, own, time)
+    if parts:
+        split = _split_pieces(grid, *(np.concatenate([p[k] for p in parts]) for k in range(5)))
+        _fill(least, grid, *split)
+    return fill
+
+
+def _fill(least: np.ndarray, grid: np.ndarray, seed: np.ndarray, doc: np.ndarray, time: np.ndarray) -> np.ndarray:
+    """Further points of pieces of width one, until every component of their row has an earlier point."""
+    size = grid.shape[1]
     made = 0
     while len(seed):
         block = 1 if len(seed) > 20_000 else 4 if len(seed) > 4_000 else 32
         step = np.arange(made + 1, made + block + 1, dtype=np.uint64)
         r1 = mix(seed[:, None] + step * _GOLD)
-        r2 = mix(r1 + U(0x632BE59BD9B4E019))
-        gap = -np.log(((r1 >> U(11)).astype(np.float64) + 0.5) / 2**53) / (width[:, None] * size)
-        gap = (gap * 2.0**44).astype(np.int64) + 1
-        at = time[:, None] + np.cumsum(gap, axis=1)
-        component = (r2 % U(size)).astype(np.int64)
-        unit = low[:, None] + ((r2 >> U(32)).astype(np.float64) / 2**32 * width[:, None]).astype(np.int64)
-        ok = unit < top[:, None]
-        np.minimum.at(least, (doc[:, None] * size + component)[ok], at[ok])
+        gap = -np.log(((r1 >> U(11)).astype(np.float64) + 0.5) / 2**53) / size
+        at = time[:, None] + np.cumsum((gap * 2.0**44).astype(np.int64) + 1, axis=1)
+        component = (mix(r1 + U(0x632BE59BD9B4E019)) % U(size)).astype(np.int64)
+        np.minimum.at(least, (doc[:, None] * size + component).reshape(-1), at.reshape(-1))
         time = at[:, -1]
         made += block
         alive = time < grid.max(axis=1)[doc]
-        seed, doc, low, width, top, time = (x[alive] for x in (seed, doc, low, width, top, time))
+        seed, doc, time = seed[alive], doc[alive], time[alive]
     return grid
 
 
@@ -169,20 +203,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare_batches, "u long, v long, similarity double").groupBy("u", "v").agg(F.max("similarity").alias("similarity"))
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, doc_id, hub, root, hub_root, members) of the buckets whose members beside the hub are of several classes.
-
-    members: bucket, doc_id, hub. A hub was compared with all of its bucket, so it is not among them. Classes only grow
-    together, so what is left out here need not be looked at again.
-    """
-    label = roots.select(F.col("node").alias("doc_id"), "root")
-    own = members.join(label.hint("shuffle_hash"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    own = written(own.join(hub.hint("shuffle_hash"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "classed")
-    several = own.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("members")).where("a < b").select("bucket", "members")
-    return written(own.join(written(several, "open_buckets").hint("shuffle_hash"), "bucket"), "open_members")
-
-
 def _alike(a: str, b: str) -> F.Column:
     """Whether two signatures can be those of similar bags."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= ESTIMATE * SIZE
@@ -192,21 +212,44 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _with_drawn_hubs(rest: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of a few members of each open bucket, drawn by hash, with its members of other classes."""
+def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (bucket, doc_id, hub) with their class and their hub's."""
+    label = roots.select(F.col("node").alias("doc_id"), "root")
+    own = members.join(label.hint("shuffle_hash"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    hubs = members.select("hub").distinct().join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")).hint("shuffle_hash"), "hub", "left")
+    hubs = small(written(hubs.withColumn("hub_root", F.coalesce("hub_root", "hub")), "hubs"))
+    return own.join(hubs, "hub")
+
+
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, doc_id, hub, root, hub_root, outside, members) of the buckets whose members are of several classes.
+
+    Classes only grow together, so what is left out here need not be looked at again.
+    """
+    own = written(_classed(members, roots), "classed")
+    counts = own.groupBy("bucket").agg(F.count_if(F.col("root") != F.col("hub_root")).alias("outside"), F.count(F.lit(1)).alias("members")).where("outside > 0")
+    return written(own.join(small(written(counts, "open_buckets")), "bucket"), "open_members")
+
+
+def _drawn_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v): each member outside the hub's class with a drawn member of it, and with a drawn one outside, of one of its buckets each."""
+    draw = F.xxhash64("doc_id", "bucket", F.lit(turn))
+    inside = F.col("root") == F.col("hub_root")
     member = F.struct(F.col("doc_id").alias("v"), F.col("root").alias("root_v"))
-    drawn = [F.min_by(member, F.xxhash64("doc_id", "bucket", F.lit(turn * HUBS + k))) for k in range(HUBS)]
-    hubs = written(rest.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("bucket", F.explode("hubs").alias("h")).select("bucket", "h.*"), "drawn_hubs")
-    return _ordered(rest.select("bucket", F.col("doc_id").alias("u"), "root").join(hubs.hint("shuffle_merge"), "bucket").where(F.col("root") != F.col("root_v")))
+    drawn = rest.groupBy("bucket").agg(F.min_by(member, F.when(inside, draw)).alias("a"), F.min_by(member, F.when(~inside, draw)).alias("b"))
+    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), "root").join(small(written(drawn, "drawn")), "bucket")
+    pick = lambda k: F.when(F.col(f"{k}.root_v") != F.col("root"), F.col(f"{k}.v"))
+    one = lambda v: F.min_by(v, F.when(v.isNotNull(), F.xxhash64(v, F.lit(turn))))
+    met = odd.select("u", pick("a").alias("a"), pick("b").alias("b")).groupBy("u").agg(one(F.col("a")).alias("a"), one(F.col("b")).alias("b"))
+    return _ordered(met.select("u", F.explode(F.array("a", "b")).alias("v")).where("v is not null"))
 
 
-def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
-    """All pairs (u, v) of an open bucket's members outside its hub's class with alike members of other classes."""
+def _across(rest: DataFrame, signatures: DataFrame, part: int, parts: int) -> DataFrame:
+    """Pairs (u, v) of an open bucket's members outside its hub's class with a slice of the alike members of other classes."""
     rest = rest.join(signatures.hint("shuffle_hash"), "doc_id")
-    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), F.col("root").alias("root_u"), F.col("signature").alias("sig_u"), "hub_root")
-    other = rest.select(F.col("bucket").alias("_b"), F.col("doc_id").alias("v"), F.col("root").alias("root_v"), F.col("signature").alias("sig_v"))
-    across = (F.col("root_u") < F.col("root_v")) | ((F.col("root_u") != F.col("root_v")) & (F.col("root_v") == F.col("hub_root")))
-    return _ordered(odd.join(other.hint("shuffle_merge"), (F.col("bucket") == F.col("_b")) & across & _alike("sig_u", "sig_v")))
+    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), F.col("root").alias("root_u"), F.col("signature").alias("sig_u"))
+    other = rest.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part).select(F.col("bucket").alias("_b"), F.col("doc_id").alias("v"), F.col("root").alias("root_v"), F.col("signature").alias("sig_v"))
+    return _ordered(odd.join(other.hint("shuffle_merge"), (F.col("bucket") == F.col("_b")) & (F.col("root_u") != F.col("root_v")) & _alike("sig_u", "sig_v")))
 
 
 def _only_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -215,6 +258,34 @@ def _only_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(u.hint("shuffle_merge"), "u").join(v.hint("shuffle_merge"), "v").where(_alike("sig_u", "sig_v")).select("u", "v")
 
 
+def _linked(met: DataFrame, signatures: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) of the members of all buckets (bucket, doc_id, hub), one candidate a member and turn."""
+    first = met.where("doc_id != hub").groupBy(F.col("doc_id").alias("u")).agg(F.min("hub").alias("v"))
+    pairs = written(first, "pairs")
+    texts = written(live.join(met.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    links = written(_verified(pairs, texts), "links")
+    roots = written(components(links.select("u", "v")), "roots")
+    rest, tested = _open_members(met, roots), pairs
+    size, before, slices, part = met.count(), None, 0, 0
+    for turn in itertools.count():
+        outside = rest.where("root != hub_root")
+        members, cross = outside.agg(F.count_distinct("doc_id"), F.sum("members")).first()
+        if not members or (slices and part == slices):
+            return links, roots
+        if not slices and (turn == TURNS or cross <= PAIRS * size or (before and members > (1 - PROGRESS) * before)):
+            slices = max(1, -(-cross // (PAIRS * size)))
+        if slices:
+            more, part = _across(rest, signatures, part, slices), part + 1
+        else:
+            more = _only_alike(_drawn_pairs(rest, turn), signatures)
+        more = written(more.join(tested.hint("shuffle_hash"), ["u", "v"], "left_anti"), "pairs")
+        found = written(_verified(more, texts), "links")
+        links, tested, before = links.unionByName(found), tested.unionByName(more), members
+        if not found.isEmpty():
+            roots = written(grown(roots, found.select("u", "v")), "roots")
+            rest = _open_members(rest.select("bucket", "doc_id", "hub"), roots)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: class_id is the least doc_id of its class of near duplicates.
 
@@ -235,33 +306,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rep_sigs = signed_docs.select("doc_id", "signature", "bands").join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
     rep_sigs = written(rep_sigs, "representatives")
 
-    # one link candidate a member and bucket: the bucket's least document
     buckets = rep_sigs.select("doc_id", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_most")).where("hub < _most").select("bucket", "hub")
     met = written(buckets.join(hubs.hint("shuffle_hash"), "bucket"), "buckets")
-    pairs = written(met.where("doc_id != hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = written(live.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    links = written(_verified(pairs, texts), "links")
-    roots = components(links.select("u", "v"))
-
-    rest = _open_members(met.where("doc_id != hub"), roots)
-    ids = written(rest.select("doc_id").distinct(), "open_ids")
-    open_signatures = written(rep_sigs.select("doc_id", "signature").join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "open_signatures")
-    open_texts = written(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "open_texts")
-    tested, done, turn, linear = pairs, False, 0, met.count()
-    while not done:
-        outside, rows = rest.agg(F.sum(F.when(F.col("root") != F.col("hub_root"), F.col("members"))), F.count(F.lit(1))).first()
-        if not rows:
-            break
-        done = turn == TURNS or (outside or 0) <= max(EACH * rows, LINEAR * linear)
-        more = _across(rest, open_signatures) if done else _with_drawn_hubs(rest, turn)
-        more = written(more.join(tested.hint("shuffle_hash"), ["u", "v"], "left_anti"), "pairs")
-        found = written(_verified(more if done else _only_alike(more, open_signatures), open_texts), "links")
-        links, tested, turn = links.unionByName(found), tested.unionByName(more), turn + 1
-        roots = components(links.select("u", "v"))
-        if not done:
-            rest = _open_members(rest.select("bucket", "doc_id", "hub"), roots)
+    links, roots = _linked(met, rep_sigs.select("doc_id", "signature"), live)
 
     ends = links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from barlake.llm.tables import written
@@ -22,21 +22,37 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(own).distinct()
 
 
+def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The written table, with a count and checksum of its rows taken as it is written."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return table, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the least node of its component.
 
     Each round is a written table; the driver sees a count and a checksum. Empty edges give an empty result.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "edges")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was = mark(edges)
+    edges, was = _marked(edges, "edges")
     for _ in range(rounds):
-        edges = written(_star(written(_star(edges, True), "star"), False), "star")
-        now = mark(edges)
+        edges, now = _marked(_star(_star(edges, True), False), "star")
         if now == was:
             break
         was = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def grown(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (node, root) with further edges (u, v): only the roots that edges join are looked at."""
+    ends = edges.select("u").union(edges.select(F.col("v").alias("u"))).distinct()
+    known = ends.join(roots.select(F.col("node").alias("u"), "root").hint("shuffle_hash"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    known = written(known, "ends")
+    root = lambda c: known.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}")).hint("shuffle_hash")
+    joined = edges.join(root("u"), "u").join(root("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    moved = written(components(joined), "moved").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    every = roots.unionByName(known.select(F.col("u").alias("node"), "root")).distinct()
+    return every.join(moved.hint("shuffle_hash"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))

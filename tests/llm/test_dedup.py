@@ -94,12 +94,11 @@ def brute_classes(rows):
     return {d: find(d) for d, _ in rows}
 
 
-@pytest.mark.parametrize("at_once", [True, False])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, at_once):
-    """Both ways to deal with buckets of several classes: all pairs at once, and drawn members in turns first."""
-    if not at_once:
-        for name, value in (("LINEAR", 0), ("EACH", 0), ("TURNS", 2)):
-            monkeypatch.setattr(bagminhash, name, value)
+@pytest.mark.parametrize("turns, pairs", [(bagminhash.TURNS, bagminhash.PAIRS), (0, 2), (1, 2)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, turns, pairs):
+    """Drawn members in turns alone, everything in many slices, and turns followed by slices."""
+    monkeypatch.setattr(bagminhash, "TURNS", turns)
+    monkeypatch.setattr(bagminhash, "PAIRS", pairs)
     rows = texts()
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute_classes(rows)
