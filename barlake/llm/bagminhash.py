@@ -10,14 +10,14 @@ are made in order of time only until every component has an earlier one.
 
 Bags that agree on all components of a band meet in a bucket. Every member is compared, multiset against multiset, with
 one other first: the least document of all its buckets. Buckets whose members are then of several classes are open.
-In turns, each member outside the class of its open bucket's least document meets one drawn member of that class and
-one other outside it. In the end what is left in open buckets is compared in full, in slices of bounded size, where
-signatures can reach the similarity, so no two similar bags that met in a bucket stay apart.
+In turns, a member of each open bucket is drawn, and each member of another class meets one of the drawn members of
+its buckets. In the end, documents that open buckets connect form groups, whose classes are compared in full: a group is
+dealt into blocks, and the intersections of two blocks' multisets are products of their indicator matrices. So no
+two similar bags that met in a bucket stay apart, and of the pairs only those that join classes are ever rows.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.components import components, grown
-from barlake.llm.native import small
-from barlake.llm.tables import written
+from barlake.llm.native import sided
+from barlake.llm.tables import counted, written
 from barlake.llm.textops import Poly, U, mix, signed, word_slices
 
 SHINGLE = 5
@@ -36,9 +36,12 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Least share of equal components for a comparison of bags: over five standard deviations below SIMILARITY.
 ESTIMATE = 0.6
-#: Turns with drawn members at most, least share of the members outside that a turn must bring in for another one, and how many
-#: pairs a slice of what is left makes for each member of all buckets.
-TURNS, PROGRESS, PAIRS = 6, 0.1, 2
+#: Turns with drawn members at most, and the least share of the members outside that a turn must bring in for another one.
+TURNS, PROGRESS = 6, 0.1
+#: Documents of a block, about.
+BLOCK = 1024
+#: Shingles that at least so many documents of two blocks have are counted by a matrix product, others pair by pair.
+DENSE = 16
 
 _poly = Poly(11)
 _over = Poly(13)
@@ -159,7 +162,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                     pa.array(total),
                     pa.array(signed(b[0])),
                     pa.array(signed(b[1])),
-                    flat((bits >> U(32)).astype(np.uint32).view(np.int32), SIZE, pa.int32()),
+                    flat((bits >> U(56)).astype(np.uint8).view(np.int8), SIZE, pa.int8()),
                     flat(signed(band), BANDS, pa.int64()),
                 ],
                 names=["doc_id", "n_shingles", "b1", "b2", "signature", "bands"],
@@ -167,9 +170,19 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield out.filter(pa.array(some))
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of signatures, row by row, can be those of similar bags."""
+    return (a == b).sum(axis=1) >= ESTIMATE * SIZE
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), SIZE)
+
+
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted Jaccard similarity of the two texts of each row, of which those of SIMILARITY or more stay."""
+    """Weighted Jaccard similarity of the two texts of each row whose signatures allow it, of which those of SIMILARITY or more stay."""
     for batch in batches:
+        batch = batch.filter(pa.array(_similar(_signatures(batch.column("sig_u")), _signatures(batch.column("sig_v")))))
         n = batch.num_rows
         both = pa.concat_arrays([batch.column("text_u").cast(pa.large_string()), batch.column("text_v").cast(pa.large_string())])
         part = {}
@@ -195,126 +208,173 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v, similarity) among candidate pairs (u, v)."""
-    u = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    v = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    with_u = pairs.join(u.hint("shuffle_merge"), "u")
-    rows = with_u.join(v.hint("shuffle_merge"), "v").select("u", "v", "text_u", "text_v")
-    return rows.mapInArrow(_compare_batches, "u long, v long, similarity double").groupBy("u", "v").agg(F.max("similarity").alias("similarity"))
-
+    """Links (u, v, similarity) among candidate pairs (u, v). texts: doc_id, text, signature."""
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"), F.col("signature").alias(f"sig_{c}")).hint("shuffle_merge")
+    rows = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v", "sig_u", "sig_v")
+    return rows.mapInArrow(_compare_batches, "u long, v long, similarity double")
 
-def _alike(a: str, b: str) -> F.Column:
-    """Whether two signatures can be those of similar bags."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= ESTIMATE * SIZE
 
+def _open_members(met: DataFrame, roots: DataFrame, n: int, turn: int) -> tuple:
+    """(table, its rows, rows outside the drawn member's class) of the buckets whose members are of several classes.
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    The table: bucket, doc_id, root, drawn, drawn_root, least (the bucket's least doc_id). Classes only grow together, so what is left out here
+    need not be looked at again.
+    """
+    label = sided(roots.select(F.col("node").alias("doc_id"), "root"), n)
+    own = met.select("bucket", "doc_id").join(label, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    drawn = F.min_by(F.struct(F.col("doc_id").alias("drawn"), F.col("root").alias("drawn_root")), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("d")
+    several = own.groupBy("bucket").agg(drawn, F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("doc_id").alias("least")).where("_a < _b")
+    several, k = counted(several.select("bucket", "d.*", "least"), "open_buckets")
+    outside = F.col("root") != F.col("drawn_root")
+    return counted(own.join(sided(several, k), "bucket"), "open_members", F.count_if(outside))
 
 
-def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (bucket, doc_id, hub) with their class and their hub's."""
-    label = roots.select(F.col("node").alias("doc_id"), "root")
-    own = members.join(label.hint("shuffle_hash"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    hubs = members.select("hub").distinct().join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")).hint("shuffle_hash"), "hub", "left")
-    hubs = small(written(hubs.withColumn("hub_root", F.coalesce("hub_root", "hub")), "hubs"))
-    return own.join(hubs, "hub")
+def _drawn_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v): each member that is of another class than its bucket's drawn member, with the drawn member of one of its buckets."""
+    outside = rest.where("root != drawn_root")
+    return outside.groupBy(F.col("doc_id").alias("u")).agg(F.min_by("drawn", F.xxhash64("drawn", F.lit(turn))).alias("v"))
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, doc_id, hub, root, hub_root, outside, members) of the buckets whose members are of several classes.
+def _intersections(n: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sizes of the multiset intersections of n bags, n x n (the diagonal is of no use).
 
-    Classes only grow together, so what is left out here need not be looked at again.
+    A shingle that stands c times is c different elements, so that multisets are sets.
+    """
+    which = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    element, doc = mix(name[which] + _GOLD * place.astype(np.uint64)), doc[which]
+    order = np.argsort(element, kind="stable")
+    element, doc = element[order], doc[order]
+    head = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(element)))
+    out = np.zeros((n, n), np.float32)
+    for d in range(2, DENSE):
+        docs = doc[head[size == d][:, None] + np.arange(d)]
+        for i in range(d):
+            for j in range(i + 1, d):
+                both = np.bincount(docs[:, i] * n + docs[:, j], minlength=n * n) if len(docs) > n else None
+                if both is None:
+                    np.add.at(out, (docs[:, i], docs[:, j]), 1)
+                else:
+                    out += both.reshape(n, n)
+    out += out.T
+    dense = np.flatnonzero(size >= DENSE)
+    for k in range(0, len(dense), 1024):
+        some = dense[k : k + 1024]
+        at = np.repeat(head[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
+        x = np.zeros((n, len(some)), np.float32)
+        x[doc[at], np.repeat(np.arange(len(some)), size[some])] = 1
+        out += x @ x.T
+    return out
+
+
+def _compare_block(table: pa.Table) -> pa.Table:
+    """Links between classes among the documents of two blocks (or of several small groups): one for each two classes that it joins."""
+    table = table.combine_chunks()
+    column = table.column("text").combine_chunks()
+    found = [(w.row, *bags(w)) for w in word_slices(column)]
+    doc = np.concatenate([row + d for row, d, _, _ in found])
+    name, count = np.concatenate([x for _, _, x, _ in found]), np.concatenate([x for _, _, _, x in found])
+    n = table.num_rows
+    total = np.bincount(doc, weights=count, minlength=n)
+    shared = _intersections(n, doc, name, count)
+    similar = shared >= (SIMILARITY - 1e-12) * (total[:, None] + total[None, :] - shared)
+    ids, group, side = (table.column(c).to_numpy() for c in ("doc_id", "group", "block"))
+    similar &= (group[:, None] == group[None, :]) & ((side[:, None] != side[None, :]) | (side.min() == side.max()))
+    label = table.column("root").to_numpy().copy()
+    u, v, s = [], [], []
+    for i in range(n):
+        near = np.flatnonzero(similar[i] & (label != label[i]))
+        for other, j in zip(*np.unique(label[near], return_index=True), strict=True):
+            j = near[j]
+            u.append(ids[i]), v.append(ids[j]), s.append(float(shared[i, j] / (total[i] + total[j] - shared[i, j])))
+            label[label == other] = label[i]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+
+def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v, similarity) that join the classes of open buckets' members.
+
+    Documents that buckets connect form a group. In a group, all but those of its largest class are compared with all;
+    a group of more than BLOCK documents is dealt into blocks by hash, the largest class apart, and each two blocks of which one
+    is not of that class meet in a task.
     """
-    own = written(_classed(members, roots), "classed")
-    counts = own.groupBy("bucket").agg(F.count_if(F.col("root") != F.col("hub_root")).alias("outside"), F.count(F.lit(1)).alias("members")).where("outside > 0")
-    return written(own.join(small(written(counts, "open_buckets")), "bucket"), "open_members")
+    groups, n = components(rest.select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    docs = rest.select("doc_id", "root").distinct().join(sided(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group")), n), "doc_id", "left")
+    docs = written(docs.withColumn("group", F.coalesce("group", "doc_id")), "open_documents")
+    classes = docs.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = classes.groupBy("group").agg(F.sum("n").alias("all"), F.max("n").alias("main"), F.max_by("root", F.struct("n", "root")).alias("main_root")).where("all > main")
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("group", "main_root", "all", blocks(F.col("all") - F.col("main")).alias("odd_blocks"), blocks(F.col("main")).alias("main_blocks"))
+    sizes, n, small = counted(sizes, "groups", F.coalesce(F.sum(F.when(F.col("all") <= BLOCK, F.col("all"))), F.lit(0)))
+    dealt = docs.join(sided(sizes, n), "group")
+    alone, h = F.col("all") <= BLOCK, F.xxhash64("doc_id")
+    block = F.when(F.col("root") == F.col("main_root"), F.col("odd_blocks") + F.pmod(h, "main_blocks")).otherwise(F.pmod(h, F.greatest("odd_blocks", F.lit(1)))).cast("int")
+    with_text = dealt.withColumn("block", F.when(alone, 0).otherwise(block)).join(texts.select("doc_id", "text").hint("shuffle_merge"), "doc_id")
+    last = F.when(alone, 0).when(F.col("root") == F.col("main_root"), F.col("odd_blocks") - 1).otherwise(F.col("odd_blocks") + F.col("main_blocks") - 1)
+    each = with_text.withColumn("partner", F.explode(F.sequence(F.lit(0), last)))
+    bundle = F.pmod(F.xxhash64("group"), F.lit(max(1, -(-small // BLOCK))))
+    key = F.when(alone, F.struct(bundle.alias("a"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(
+        F.struct(F.col("group").alias("a"), F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
+    )
+    return each.select(key.alias("key"), "doc_id", "group", "root", "block", "text").groupBy("key").applyInArrow(_compare_block, "u long, v long, similarity double")
 
 
-def _drawn_pairs(rest: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v): each member outside the hub's class with a drawn member of it, and with a drawn one outside, of one of its buckets each."""
-    draw = F.xxhash64("doc_id", "bucket", F.lit(turn))
-    inside = F.col("root") == F.col("hub_root")
-    member = F.struct(F.col("doc_id").alias("v"), F.col("root").alias("root_v"))
-    drawn = rest.groupBy("bucket").agg(F.min_by(member, F.when(inside, draw)).alias("a"), F.min_by(member, F.when(~inside, draw)).alias("b"))
-    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), "root").join(small(written(drawn, "drawn")), "bucket")
-    pick = lambda k: F.when(F.col(f"{k}.root_v") != F.col("root"), F.col(f"{k}.v"))
-    one = lambda v: F.min_by(v, F.when(v.isNotNull(), F.xxhash64(v, F.lit(turn))))
-    met = odd.select("u", pick("a").alias("a"), pick("b").alias("b")).groupBy("u").agg(one(F.col("a")).alias("a"), one(F.col("b")).alias("b"))
-    return _ordered(met.select("u", F.explode(F.array("a", "b")).alias("v")).where("v is not null"))
-
-
-def _across(rest: DataFrame, signatures: DataFrame, part: int, parts: int) -> DataFrame:
-    """Pairs (u, v) of an open bucket's members outside its hub's class with a slice of the alike members of other classes."""
-    rest = rest.join(signatures.hint("shuffle_hash"), "doc_id")
-    odd = rest.where("root != hub_root").select("bucket", F.col("doc_id").alias("u"), F.col("root").alias("root_u"), F.col("signature").alias("sig_u"))
-    other = rest.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part).select(F.col("bucket").alias("_b"), F.col("doc_id").alias("v"), F.col("root").alias("root_v"), F.col("signature").alias("sig_v"))
-    return _ordered(odd.join(other.hint("shuffle_merge"), (F.col("bucket") == F.col("_b")) & (F.col("root_u") != F.col("root_v")) & _alike("sig_u", "sig_v")))
-
-
-def _only_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    u = signatures.select(F.col("doc_id").alias("u"), F.col("signature").alias("sig_u"))
-    v = signatures.select(F.col("doc_id").alias("v"), F.col("signature").alias("sig_v"))
-    return pairs.join(u.hint("shuffle_merge"), "u").join(v.hint("shuffle_merge"), "v").where(_alike("sig_u", "sig_v")).select("u", "v")
-
-
-def _linked(met: DataFrame, signatures: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, roots) of the members of all buckets (bucket, doc_id, hub), one candidate a member and turn."""
+def _linked(met: DataFrame, representatives: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(links, roots, number of roots) of the members of all buckets (bucket, doc_id, hub), one candidate a member and turn."""
     first = met.where("doc_id != hub").groupBy(F.col("doc_id").alias("u")).agg(F.min("hub").alias("v"))
-    pairs = written(first, "pairs")
-    texts = written(live.join(met.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    links = written(_verified(pairs, texts), "links")
-    roots = written(components(links.select("u", "v")), "roots")
-    rest, tested = _open_members(met, roots), pairs
-    size, before, slices, part = met.count(), None, 0, 0
-    for turn in itertools.count():
-        outside = rest.where("root != hub_root")
-        members, cross = outside.agg(F.count_distinct("doc_id"), F.sum("members")).first()
-        if not members or (slices and part == slices):
-            return links, roots
-        if not slices and (turn == TURNS or cross <= PAIRS * size or (before and members > (1 - PROGRESS) * before)):
-            slices = max(1, -(-cross // (PAIRS * size)))
-        if slices:
-            more, part = _across(rest, signatures, part, slices), part + 1
-        else:
-            more = _only_alike(_drawn_pairs(rest, turn), signatures)
-        more = written(more.join(tested.hint("shuffle_hash"), ["u", "v"], "left_anti"), "pairs")
-        found = written(_verified(more, texts), "links")
-        links, tested, before = links.unionByName(found), tested.unionByName(more), members
-        if not found.isEmpty():
-            roots = written(grown(roots, found.select("u", "v")), "roots")
-            rest = _open_members(rest.select("bucket", "doc_id", "hub"), roots)
+    some = met.select("doc_id").distinct()
+    texts = live.join(representatives.select("doc_id", "signature").join(some.hint("shuffle_hash"), "doc_id", "left_semi").hint("shuffle_merge"), "doc_id")
+    texts = written(texts, "texts")
+    links = written(_verified(written(first, "pairs"), texts), "links")
+    roots, n = components(links.select("u", "v"))
+    rest, _, outside = _open_members(met, roots, n, 0)
+    before = None
+    for turn in range(1, TURNS + 1):
+        if not outside or (before and outside > (1 - PROGRESS) * before):
+            break
+        found, new = counted(_verified(written(_drawn_pairs(rest, turn), "pairs"), texts), "links")
+        links, before = links.unionByName(found), outside
+        if new:
+            roots, n = grown(roots, n, found.select("u", "v"))
+            rest, _, outside = _open_members(rest, roots, n, turn)
+    if outside:
+        found, new = counted(_across(rest, texts), "links")
+        links = links.unionByName(found)
+        if new:
+            roots, n = grown(roots, n, found.select("u", "v"))
+    return links, roots, n
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: class_id is the least doc_id of its class of near duplicates.
 
     Two documents are linked if the weighted Jaccard similarity of their multisets of five-word shingles is 0.8 or
-    more; classes are what links connect. n_links counts verified links of the document's bag, each with a
-    different text. Words are runs of anything but space and the control characters 9 to 13. Copies of one bag share a
+    more; classes are what links connect. n_links counts the verified links of the document's bag that were needed, each with
+    a different text. Words are runs of anything but space and the control characters 9 to 13. Copies of one bag share a
     class without links. Texts that are null or have no word are a class of their own, as are null doc_ids
     (class_id null). Rows that repeat a doc_id share its class. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     live = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    schema = "doc_id long, n_shingles long, b1 long, b2 long, signature array<int>, bands array<long>"
+    schema = "doc_id long, n_shingles long, b1 long, b2 long, signature array<tinyint>, bands array<long>"
     signed_docs = written(live.mapInArrow(_signature_batches, schema), "signatures")
     least = signed_docs.groupBy("b1", "b2").agg(F.min("doc_id").alias("rep"))
-    members = signed_docs.select("doc_id", "b1", "b2").join(least.hint("shuffle_hash"), ["b1", "b2"]).select("doc_id", "rep")
-    members = written(members.distinct(), "members")
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    rep_sigs = signed_docs.select("doc_id", "signature", "bands").join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
-    rep_sigs = written(rep_sigs, "representatives")
+    members = signed_docs.join(least.hint("shuffle_hash"), ["b1", "b2"])
+    own = lambda c: F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c)
+    members = written(members.select("doc_id", "rep", "b1", "b2", own("signature"), own("bands")), "members")
+    representatives = members.where("doc_id = rep").dropDuplicates(["doc_id", "b1", "b2"]).select("doc_id", "signature", "bands")
+    representatives = written(representatives, "representatives")
 
-    buckets = rep_sigs.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = representatives.select("doc_id", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_most")).where("hub < _most").select("bucket", "hub")
     met = written(buckets.join(hubs.hint("shuffle_hash"), "bucket"), "buckets")
-    links, roots = _linked(met, rep_sigs.select("doc_id", "signature"), live)
+    links, roots, n = _linked(met, representatives, live)
 
-    ends = links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep")))
-    degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    state = roots.select(F.col("node").alias("rep"), F.col("root")).join(degree.hint("shuffle_hash"), "rep", "left")
-    classes = members.join(state.hint("shuffle_hash"), "rep", "left").groupBy("doc_id").agg(
+    links = links.select("u", "v").distinct()
+    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    state = sided(roots.select(F.col("node").alias("rep"), "root"), n)
+    classes = members.select("doc_id", "rep").join(state, "rep", "left").join(degree.hint("shuffle_hash"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links")
     )
     out = docs.select("doc_id").join(classes.hint("shuffle_hash"), "doc_id", "left")

@@ -1,58 +1,52 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by hooking nodes to smaller neighbours and jumping along the pointers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.tables import written
+from barlake.llm.native import sided
+from barlake.llm.tables import counted
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: every node's larger (or smaller) neighbours are tied to its least neighbour.
-
-    Only a minimum per node is aggregated, and neighbours meet it by a join, so no neighbourhood is held in one place.
-    """
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    met = both.join(least.hint("shuffle_hash"), "u")
-    if large:
-        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    own = least.where("u > m").select("u", F.col("m").alias("v"))
-    return met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(own).distinct()
+def _jumped(parents: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(node, root) for pointers (node, root) to smaller nodes, each followed to its end."""
+    while n:
+        up = sided(parents.select(F.col("node").alias("root"), F.col("root").alias("_up")), n)
+        step = parents.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
+        step, n, moved = counted(step, "pointers", F.count_if("_moved"))
+        parents = step.select("node", "root")
+        if not moved:
+            break
+    return parents, n
 
 
-def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """The written table, with a count and checksum of its rows taken as it is written."""
-    seen = Observation()
-    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
-    return table, (seen.get["n"], seen.get["h"])
+def _through(table: DataFrame, column: str, roots: DataFrame, n: int) -> DataFrame:
+    """table with `column` replaced by its root, where it has one."""
+    to = sided(roots.select(F.col("node").alias(column), F.col("root").alias("_to")), n)
+    return table.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (u, v); root is the least node of its component.
+def components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, root) for every node of edges (u, v) but the roots themselves, and their number; root is the least node of its component.
 
-    Each round is a written table; the driver sees a count and a checksum. Empty edges give an empty result.
+    In each round every node points to its least smaller neighbour, pointers are followed to their ends, and edges
+    whose ends have met go. Each round is a written table, of which the driver sees counts. A table of at most SMALL_ROWS rows is broadcast, a
+    larger one is shuffled.
     """
-    edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, was = _marked(edges, "edges")
-    for _ in range(rounds):
-        edges, now = _marked(_star(_star(edges, True), False), "star")
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def grown(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """roots (node, root) with further edges (u, v): only the roots that edges join are looked at."""
-    ends = edges.select("u").union(edges.select(F.col("v").alias("u"))).distinct()
-    known = ends.join(roots.select(F.col("node").alias("u"), "root").hint("shuffle_hash"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    known = written(known, "ends")
-    root = lambda c: known.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}")).hint("shuffle_hash")
-    joined = edges.join(root("u"), "u").join(root("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-    moved = written(components(joined), "moved").select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    every = roots.unionByName(known.select(F.col("u").alias("node"), "root")).distinct()
-    return every.join(moved.hint("shuffle_hash"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    none = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
+    edges, left = counted(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    total, n = none, 0
+    while left:
+        parents, k = counted(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "pointers")
+        roots, k = _jumped(parents, k)
+        total, n = counted(_through(total, "root", roots, k).unionByName(roots), "roots") if n else (roots, k)
+        met = _through(_through(edges, "u", roots, k), "v", roots, k).where("u != v")
+        edges, left = counted(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    return total, n
+
+
+def grown(roots: DataFrame, n: int, edges: DataFrame) -> tuple[DataFrame, int]:
+    """components with further edges (u, v): only the roots that the edges join are looked at."""
+    moved, k = components(_through(_through(edges, "u", roots, n), "v", roots, n))
+    return counted(_through(roots, "root", moved, k).unionByName(moved), "roots") if k else (roots, n)

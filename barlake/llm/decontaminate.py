@@ -1,11 +1,15 @@
-"""Benchmark decontamination: passages of the corpus against an inverted index of test items.
-
-Every passage (PASSAGE words, a new one every half passage) is a query. An item's BM25 score against itself gives its
-threshold. Its terms in order of impact up to the threshold cannot reach it alone; only the others, its essential
-terms, have postings that open a candidate. Each item carries its greatest possible rest, so a candidate whose essential
-hits plus that rest stay below the threshold is skipped unscored. This is a filter by essential lists, as in MaxScore, and
-stands in for block-max WAND: there are no posting blocks, block maxima or pivots. The others are scored in full. All above the threshold are then verified by word n-grams shared with the item's
-question and with its answer.
+"""Benchmark decontamination: passages of the corpus against an inverted index of test items, by block-max WAND.
+
+Every passage (PASSAGE words, a new one every half passage) is a query of its distinct words. An item's BM25 score
+against itself gives its threshold; impacts are divided by it, so that every item counts from a score of 1 on. Items are
+numbered, and a term's postings are cut into blocks of BLOCK item numbers, each with its greatest impact.
+
+All passages of a slice are evaluated together, a step at a time. Pivot: a passage's terms are put in order of their greatest
+impact; those whose greatest impacts add up to less than 1 cannot make a result alone, so only terms from the pivot on
+open blocks. Block maxima: a passage and block go on only if the opened block maxima and what lies before the pivot can
+reach 1; the other blocks are skipped with all their postings. The postings of what is left are added up by item under the
+same bound, and items that can still reach 1 are scored in full. All above the threshold are then verified by word
+n-grams shared with the item's question and with its answer.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 NGRAM = 3
 K1, B = 1.2, 0.75
-#: Items broadcast at a time; more are searched for in further passes.
-SHARD = 5000
+#: Item numbers of a block of postings.
+BLOCK = 32
+#: Words of items that an index has, about: 8 bytes a word and 16 a posting are broadcast. More items are searched for in further passes.
+INDEX_WORDS = 2_000_000
 
 _poly = Poly(31)
 
@@ -70,19 +76,23 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 @dataclass
 class Index:
-    ids: list[int]
-    words: list[np.ndarray]
-    question: list[int]
+    """Arrays by item number, by term (in order of its hash), by block of postings (by term, then block), and by posting."""
+
+    ids: np.ndarray
+    question: np.ndarray
+    words: np.ndarray
+    word_head: np.ndarray
     threshold: np.ndarray
-    rest: np.ndarray
-    vocabulary: np.ndarray
+    terms: np.ndarray
     seen: np.ndarray
-    head: np.ndarray
+    most: np.ndarray
+    block_head: np.ndarray
+    block: np.ndarray
+    block_most: np.ndarray
+    posting_head: np.ndarray
     item: np.ndarray
     impact: np.ndarray
-    terms: np.ndarray
-    known: np.ndarray
-    term_head: np.ndarray
+    item_head: np.ndarray
     term_of: np.ndarray
     weight: np.ndarray
 
@@ -94,33 +104,45 @@ def _low_bits(terms: np.ndarray) -> np.ndarray:
     return seen
 
 
-def build_index(items: list, frequency: dict[int, int], n_items: int, mean: float) -> Index:
-    """items: (item_id, words, question) rows; frequency: items that hold a term, of n_items with `mean` words."""
-    ids, words, question, threshold, rest, weights = [], [], [], [], [], []
-    posts = []
-    for k, (item_id, w, q) in enumerate(items):
-        w = np.array(w, dtype=np.int64).view(np.uint64)
-        term, tf = np.unique(w, return_counts=True)
-        df = np.array([frequency[int(t)] for t in term.view(np.int64)])
-        idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-        reach = min(1.0, (PASSAGE // 2) / len(w))  # a passage holds at least so much of a long item
-        least = THRESHOLD * impact.sum() * reach
-        order = np.argsort(impact, kind="stable")
-        below = np.cumsum(impact[order]) < least
-        essential = order[~below]
-        ids.append(item_id), words.append(w), question.append(q), threshold.append(least)
-        rest.append(impact[order[below]].sum()), weights.append((term, impact))
-        posts += [(term[j], k, impact[j]) for j in essential]
-    posts.sort(key=lambda p: (p[0], p[1]))
-    term = np.array([p[0] for p in posts], dtype=np.uint64)
-    vocabulary, head = np.unique(term, return_index=True)
-    all_terms = np.concatenate([t for t, _ in weights]) if weights else np.zeros(0, np.uint64)
-    terms, term_of = np.unique(all_terms, return_inverse=True)
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def build_index(ids, question, words, word_head, frequency: np.ndarray, n_items: int, mean: float) -> Index:
+    """Items as arrays: ids, words of the question, and all words as hashes, those of item k from word_head[k] on.
+
+    frequency: for each word, the items among all n_items, of `mean` words, that hold it.
+    """
+    size = np.diff(word_head)
+    number = np.repeat(np.arange(len(ids)), size)
+    order = np.lexsort((words, number))
+    term, item, df = words[order], number[order], frequency[order]
+    head = _heads(item, term)
+    tf = np.diff(np.append(head, len(term)))
+    term, item, df = term[head], item[head], df[head]
+    idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
+    impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
+    reach = np.minimum(1.0, (PASSAGE // 2) / np.maximum(size, 1))  # a passage holds at least so much of a long item
+    threshold = THRESHOLD * np.bincount(item, weights=impact, minlength=len(ids)) * reach
+    weight = impact / threshold[item]
+    terms, term_of = np.unique(term, return_inverse=True)
+    by_term = np.lexsort((item, term_of))
+    slot, posted, impact = term_of[by_term], item[by_term], weight[by_term]
+    start = _heads(slot, posted // BLOCK)
+    block_most = np.maximum.reduceat(impact, start) if len(start) else np.zeros(0)
+    block_head = np.searchsorted(slot[start], np.arange(len(terms) + 1))
+    most = np.maximum.reduceat(block_most, block_head[:-1]) if len(terms) else np.zeros(0)
+    item_head = np.searchsorted(item, np.arange(len(ids) + 1))
     return Index(
-        ids, words, question, np.array(threshold), np.array(rest),
-        vocabulary, _low_bits(vocabulary), np.append(head, len(posts)), np.array([p[1] for p in posts], dtype=np.int64), np.array([p[2] for p in posts]),
-        terms, _low_bits(terms), np.append(0, np.cumsum([len(t) for t, _ in weights])).astype(np.int64), term_of, np.concatenate([w for _, w in weights]) if weights else np.zeros(0),
+        ids, question, words, word_head, threshold, terms, _low_bits(terms), most,
+        block_head, posted[start] // BLOCK, block_most, np.append(start, len(posted)), posted, impact, item_head, term_of, weight,
     )
 
 
@@ -138,67 +160,96 @@ def _share(part: np.ndarray, around: np.ndarray) -> float:
     return float(np.isin(_ngrams(part, n), _ngrams(around, n)).mean())
 
 
+def _spread(head: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of `at`, place): all places from head[x] to head[x + 1] for each x of `at`."""
+    n = head[at + 1] - head[at]
+    return np.repeat(np.arange(len(at)), n), np.repeat(head[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _summed(value: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sum of their values."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    head = _heads(*keys)
+    return *(k[head] for k in keys), np.add.reduceat(value[order], head) if len(head) else value[:0]
+
+
+#: What sums of floating-point numbers may be off by.
+_EPS = 1e-9
+
+
+def candidates(index: Index, p: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, item) pairs that may score 1 or more; p, slot: the distinct terms of passages that the index has."""
+    most = index.most[slot]
+    order = np.lexsort((most, p))
+    p, slot, most = p[order], slot[order], most[order]
+    head = _heads(p)
+    upto = np.cumsum(most)
+    size = np.diff(np.append(head, len(p)))
+    upto -= np.repeat(upto[head] - most[head], size)
+    opens = upto >= 1 - _EPS
+    first = np.flatnonzero(opens & np.append(True, (p[1:] != p[:-1]) | ~opens[:-1])) if len(p) else head
+    if not len(first):
+        return p[:0], p[:0]
+    passage, before = p[first], upto[first] - most[first]  # what lies before each passage's pivot
+    p, slot = p[opens], slot[opens]
+    which, entry = _spread(index.block_head, slot)
+    q, block, bound = _summed(index.block_most[entry], p[which], index.block[entry])
+    live = bound + before[np.searchsorted(passage, q)] >= 1 - _EPS
+    key = lambda a, b: a * (len(index.ids) // BLOCK + 1) + b
+    open_blocks = key(q[live], block[live])
+    asked = key(p[which], index.block[entry])
+    at = np.minimum(np.searchsorted(open_blocks, asked), max(len(open_blocks) - 1, 0))
+    kept = open_blocks[at] == asked if len(open_blocks) else np.zeros(len(asked), bool)
+    which, entry = which[kept], entry[kept]
+    mine, posting = _spread(index.posting_head, entry)
+    q, item, bound = _summed(index.impact[posting], p[which][mine], index.item[posting])
+    live = bound + before[np.searchsorted(passage, q)] >= 1 - _EPS
+    return q[live], item[live]
+
+
+def scored(index: Index, p: np.ndarray, item: np.ndarray, stands: np.ndarray) -> np.ndarray:
+    """Full scores of (passage, item) pairs; stands: sorted passage * terms + term of all terms that stand in passages."""
+    which, place = _spread(index.item_head, item)
+    asked = p[which] * len(index.terms) + index.term_of[place]
+    at = np.minimum(np.searchsorted(stands, asked), len(stands) - 1)
+    return np.bincount(which, weights=np.where(stands[at] == asked, index.weight[place], 0.0), minlength=len(p))
+
+
 def search(index: Index, first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int, int, float, float, float]]:
     """(row, item, passage's first word, score, question share, answer share) of every verified passage of a slice."""
     half = PASSAGE // 2
     at = np.flatnonzero(index.seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
-    slot = np.searchsorted(index.vocabulary, h[at])
-    slot[slot == len(index.vocabulary)] = 0
-    hit = index.vocabulary[slot] == h[at] if len(index.vocabulary) else np.zeros(len(at), bool)
+    if not len(index.terms) or not len(at):
+        return
+    slot = np.minimum(np.searchsorted(index.terms, h[at]), len(index.terms) - 1)
+    hit = index.terms[slot] == h[at]
     at, slot = at[hit], slot[hit]
-    n = index.head[slot + 1] - index.head[slot]
-    post = np.repeat(index.head[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    at = np.repeat(at, n)
-    item, impact = index.item[post], index.impact[post]
     # each word lies in the passage that begins in its half and in the one before
     base = (first[:-1] // half + np.arange(len(first) - 1) * 2).astype(np.int64)  # no two rows share a passage number
-    p = base[doc[at]] + (at - first[doc[at]]) // half
-    early = (at - first[doc[at]]) >= half
-    p, at, item, impact = (np.concatenate([x, y[early]]) for x, y in ((p, p - 1), (at, at), (item, item), (impact, impact)))
+    place = at - first[doc[at]]
+    here = (base[doc[at]] + place // half) * len(index.terms) + slot
+    stands = np.unique(np.concatenate([here, here[place >= half] - len(index.terms)]))
+    p, item = candidates(index, stands // len(index.terms), stands % len(index.terms))
     if not len(p):
         return
-    # one hit a term, passage and item
-    order = np.lexsort((h[at], item, p))
-    p, at, item, impact = p[order], at[order], item[order], impact[order]
-    t = h[at]
-    fresh = np.append(True, (p[1:] != p[:-1]) | (item[1:] != item[:-1]) | (t[1:] != t[:-1]))
-    p, at, item, impact = p[fresh], at[fresh], item[fresh], impact[fresh]
-    head = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (item[1:] != item[:-1])))
-    bound = np.add.reduceat(impact, head) + index.rest[item[head]]
-    head = head[bound >= index.threshold[item[head]] - 1e-9]
-    if not len(head):
-        return
-    p, at, item = p[head], at[head], item[head]
-    # what is left is scored in full: which of an item's terms stand in the passage
-    word = np.flatnonzero(index.known[(h & np.uint64(0xFFFF)).astype(np.int64)])
-    slot = np.searchsorted(index.terms, h[word])
-    slot[slot == len(index.terms)] = 0
-    hit = index.terms[slot] == h[word]
-    word, slot = word[hit], slot[hit]
-    n_terms = len(index.terms)
-    place = word - first[doc[word]]
-    here = (base[doc[word]] + place // half) * n_terms + slot
-    stands = np.sort(np.concatenate([here, here[place >= half] - n_terms]))
-    n = index.term_head[item + 1] - index.term_head[item]
-    each = np.repeat(index.term_head[item] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    asked = np.repeat(p, n) * n_terms + index.term_of[each]
-    slot = np.searchsorted(stands, asked)
-    slot[slot == len(stands)] = 0
-    scores = np.add.reduceat(np.where(stands[slot] == asked, index.weight[each], 0.0), np.cumsum(n) - n)
-    for c in np.flatnonzero(scores >= index.threshold[item] - 1e-9):
-        r, k, score = int(doc[at[c]]), int(item[c]), float(scores[c])
+    scores = scored(index, p, item, stands)
+    row_of = np.searchsorted(base, p, "right") - 1
+    for c in np.flatnonzero(scores >= 1 - _EPS):
+        r, k = int(row_of[c]), int(item[c])
         lo = int(first[r] + (p[c] - base[r]) * half)
         hi = int(min(lo + PASSAGE, first[r + 1]))
-        size = len(index.words[k])
-        around = h[max(int(first[r]), lo - size) : min(hi + size, int(first[r + 1]))]
-        q = _share(index.words[k][: index.question[k]], around)
-        a = _share(index.words[k][index.question[k] :], around)
+        words = index.words[index.word_head[k] : index.word_head[k + 1]]
+        around = h[max(int(first[r]), lo - len(words)) : min(hi + len(words), int(first[r + 1]))]
+        q = _share(words[: index.question[k]], around)
+        a = _share(words[index.question[k] :], around)
         if q >= OVERLAP and a >= OVERLAP:
-            yield r, k, lo - int(first[r]), score, q, a
+            yield r, k, lo - int(first[r]), float(scores[c] * index.threshold[k]), q, a
 
 
-def _search_batches(index: Index):
+def _search_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
         for batch in batches:
             for part in text_slices(batch.column("text")):
                 w, h = _words(*part)
@@ -211,36 +262,46 @@ def _search_batches(index: Index):
                     ids = batch.column("doc_id").slice(w.row, w.rows).take(pa.array([r for r, _ in rows]))
                     cols = list(zip(*(best[x] for x in rows), strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([index.ids[k] for _, k in rows], pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])],
+                        [ids, pa.array(index.ids[[k for _, k in rows]], pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])],
                         names=["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"],
                     )
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, shard: int = SHARD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap): every item found in every document.
 
-    One row for each row of docs and item with a passage above the item's threshold whose surroundings hold the item's
+    One row for each row of docs and item (rows that repeat an item count once) with a passage above the item's threshold whose surroundings hold the item's
     question and answer; the best passage is named. Null texts, and items without words, match nothing; null
     doc_ids are kept. Words are ASCII letters, digits and anything beyond ASCII, without case. Other columns are ignored.
+
+    The items' words, document frequencies and mean length are counted by Spark. An index holds about `index_words` words of items,
+    however many there are; with more, documents are read once for each index.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
     items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    items = written(items.mapInArrow(_item_batches, "item_id long, words array<long>, question int").where(F.size("words") > 0), "items")
-    terms = written(items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    total, mean = items.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    items = items.mapInArrow(_item_batches, "item_id long, words array<long>, question int").where(F.size("words") > 0)
+    items = items.withColumns({"size": F.size("words"), "key": F.xxhash64("item_id", "words")}).dropDuplicates(["item_id", "key"])
+    items = written(items, "items")
+    total, mean, words = items.agg(F.count(F.lit(1)), F.avg("size"), F.sum("size")).first()
+    passes = max(1, -(-(words or 0) // index_words))
+    part = F.pmod("key", F.lit(passes)).alias("part")
+    # each item's words in order, each with the number of items that hold it
+    placed = items.select(part, "key", "item_id", F.posexplode("words").alias("place", "term"))
+    frequency = items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = written(placed.join(written(frequency, "frequencies").hint("shuffle_hash"), "term"), "terms")
     found = None
-    shards = max(1, -(-total // shard))
-    for k in range(shards):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(shards)) == k)
-        own = mine.select(F.explode("words").alias("term")).distinct()
-        frequency = {r["term"]: r["df"] for r in terms.join(own.hint("shuffle_hash"), "term", "left_semi").collect()}
-        index = build_index(sorted(map(tuple, mine.collect())), frequency, total, mean)
+    for k in range(passes):
+        mine = items.select(part, "item_id", "key", "question", "size").where(F.col("part") == k).orderBy("item_id", "key").toArrow()
+        terms = counted.where(F.col("part") == k).orderBy("item_id", "key", "place").select("term", "df").toArrow()
+        flat = lambda t, c: t.column(c).to_numpy()
+        head = np.append(0, np.cumsum(flat(mine, "size"))).astype(np.int64)
+        index = build_index(flat(mine, "item_id"), flat(mine, "question"), flat(terms, "term").astype(np.int64).view(np.uint64), head, flat(terms, "df"), total, mean or 1.0)
         schema = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
-        part = docs.mapInArrow(_search_batches(index), schema)
-        found = part if found is None else found.unionByName(part)
+        passed = docs.mapInArrow(_search_batches(spark.sparkContext.broadcast(index)), schema)
+        found = passed if found is None else found.unionByName(passed)
     return found
 
 

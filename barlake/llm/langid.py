@@ -18,6 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.native import small
 from barlake.llm.tables import bounded_sample, written
 from barlake.llm.textops import ALNUM, text_slices
 
@@ -28,6 +29,8 @@ SAMPLE, CENTROIDS = 256, 4
 #: A text is rejected below this share of the smallest cosine among its language's own sampled rows.
 REJECT = 0.3
 UNKNOWN = "und"
+#: Rows whose counts are held at once: 512 rows of 5,120 numbers are 20 MB.
+ROWS = 512
 
 _LETTERS = np.array([c if (ALNUM[c] and not 48 <= c <= 57) else 32 for c in range(256)], dtype=np.uint32)
 
@@ -66,7 +69,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, rows, buf, offsets in text_slices(batch.column("text")):
+        for row, rows, buf, offsets in text_slices(batch.column("text"), most=ROWS):
             x = grams(rows, buf, offsets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang").slice(row, rows), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "counts"]
@@ -112,8 +115,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     What reaches the driver is a few centroids a language.
     """
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
-    keys = bounded_sample(known.select("doc_id", "lang"), "lang", "doc_id", sample)
-    chosen = known.select("doc_id", "lang", F.lower("text").alias("text")).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
+    keys = small(written(bounded_sample(known.select("doc_id", "lang"), "lang", "doc_id", sample), "sample"))
+    chosen = known.select("doc_id", "lang", F.lower("text").alias("text")).join(keys, ["doc_id", "lang"], "left_semi")
     counts = written(chosen.mapInArrow(_count_batches, "lang string, counts binary"), "grams")
     df = {r["i"]: r["n"] for r in counts.mapInArrow(_frequencies, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     seen = np.array([df.get(i, 0) for i in range(DIM)])
@@ -128,7 +131,7 @@ def _predict(model: Model):
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             wordy = np.array(batch.column("_letters").fill_null(False).to_pylist(), dtype=bool)
-            for row, rows, buf, offsets in text_slices(batch.column("text")):
+            for row, rows, buf, offsets in text_slices(batch.column("text"), most=ROWS):
                 best, score = np.full(rows, len(model.languages)), np.zeros(rows)
                 if len(model.languages):
                     cosine = unit(np.log1p(grams(rows, buf, offsets)) * model.idf) @ model.centroids.T

@@ -19,3 +19,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A written table, to be broadcast if it has at most `rows` rows, else to be merged with."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+def sided(df: DataFrame, n: int, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of n rows, to be broadcast if these are at most `rows`, else to be merged with."""
+    return F.broadcast(df) if n <= rows else df.hint("merge")

@@ -238,12 +238,14 @@ def rate(docs: DataFrame, model: Model, good: int = GOOD) -> DataFrame:
 
 
 def _marks(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade); of labels that differ for one doc_id the lowest grade holds."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    return labels.where("doc_id is not null and toxic is not null and quality is not null").select("doc_id", grade.alias("grade")).dropDuplicates(["doc_id"])
+    return labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
 def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, grade) of the labelled documents: 0 toxic, 1 of low quality, 2 neither; labels with a null are left out.
+    """(doc_id, text, grade) of the labelled documents: 0 toxic, 1 of low quality, 2 neither; labels with a null are left out, and of several
+    labels of one doc_id the lowest grade holds.
 
     Of the labels a bounded sample is kept before they meet the texts, so they can be broadcast.
     """

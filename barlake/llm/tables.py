@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.llm.native import small
+
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one in local mode alone, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-barlake-")
     return _own["dir"]
@@ -28,6 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, *more: Column) -> tuple:
+    """(table, rows, *more): df written, with its number of rows and further aggregates taken as it is written."""
+    seen = Observation()
+    marks = [c.alias(f"m{k}") for k, c in enumerate((F.count(F.lit(1)), *more))]
+    table = written(df.observe(seen, *marks), name)
+    return table, *(seen.get[f"m{k}"] for k in range(len(marks)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,10 +53,10 @@ def bounded_sample(df: DataFrame, label: str, key: str, bound: int) -> DataFrame
     from pyspark.sql import Window
 
     modulus = 1 << 20
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = small(written(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "label_counts"))
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(modulus))
     # 1.3 times the bound, and a constant for small counts: the rank seldom finds too few rows
     share = F.least(F.lit(1.0), F.lit(1.3 * bound + 30) / F.col("_n"))
-    thin = df.join(F.broadcast(counts), label).where(h < share * modulus)
+    thin = df.join(counts, label).where(h < share * modulus)
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), F.col(key)))
     return thin.withColumn("_r", rank).where(F.col("_r") <= bound).drop("_r", "_n")

@@ -87,12 +87,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, bytes, offsets) of slices of whole texts, about `limit` bytes each."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes, offsets) of slices of whole texts, about `limit` bytes and at most `most` rows each."""
     data, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
+        j = min(n, i + most, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

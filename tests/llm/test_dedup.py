@@ -94,11 +94,11 @@ def brute_classes(rows):
     return {d: find(d) for d, _ in rows}
 
 
-@pytest.mark.parametrize("turns, pairs", [(bagminhash.TURNS, bagminhash.PAIRS), (0, 2), (1, 2)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, turns, pairs):
-    """Drawn members in turns alone, everything in many slices, and turns followed by slices."""
+@pytest.mark.parametrize("turns, block", [(bagminhash.TURNS, bagminhash.BLOCK), (0, 4), (1, 9)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, turns, block):
+    """Groups in one block, and in many small ones without or after a turn with drawn members."""
     monkeypatch.setattr(bagminhash, "TURNS", turns)
-    monkeypatch.setattr(bagminhash, "PAIRS", pairs)
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
     rows = texts()
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute_classes(rows)
@@ -128,6 +128,20 @@ def test_signatures_estimate_weighted_jaccard_and_do_not_depend_on_slices():
     assert (alone == grid).all()
 
 
+@pytest.mark.parametrize("dense", [2, 5, 1000])
+def test_intersections_of_multisets(monkeypatch, dense):
+    import numpy as np
+
+    monkeypatch.setattr(bagminhash, "DENSE", dense)
+    rnd = np.random.default_rng(dense)
+    table = rnd.integers(0, 4, size=(30, 50)) * (rnd.random((30, 50)) < 0.3)
+    doc, name = np.nonzero(table)
+    got = bagminhash._intersections(30, doc, name.astype(np.uint64), table[doc, name])
+    want = np.minimum(table[:, None, :], table[None, :, :]).sum(axis=2)
+    np.fill_diagonal(got, 0), np.fill_diagonal(want, 0)
+    assert (got == want).all()
+
+
 def brute_lines(rows):
     cuts, first = {}, {}
     h = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
