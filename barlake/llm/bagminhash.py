@@ -225,8 +225,7 @@ def _open_members(met: DataFrame, roots: DataFrame, n: int, turn: int) -> tuple:
     drawn = F.min_by(F.struct(F.col("doc_id").alias("drawn"), F.col("root").alias("drawn_root")), F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("d")
     several = own.groupBy("bucket").agg(drawn, F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("doc_id").alias("least")).where("_a < _b")
     several, k = counted(several.select("bucket", "d.*", "least"), "open_buckets")
-    outside = F.col("root") != F.col("drawn_root")
-    return counted(own.join(sided(several, k), "bucket"), "open_members", F.count_if(outside))
+    return counted(own.join(sided(several, k), "bucket"), "open_members", F.count_if(F.col("root") != F.col("drawn_root")))
 
 
 def _drawn_pairs(rest: DataFrame, turn: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm.native import small
@@ -33,11 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def counted(df: DataFrame, name: str, *more: Column) -> tuple:
-    """(table, rows, *more): df written, with its number of rows and further aggregates taken as it is written."""
-    seen = Observation()
-    marks = [c.alias(f"m{k}") for k, c in enumerate((F.count(F.lit(1)), *more))]
-    table = written(df.observe(seen, *marks), name)
-    return table, *(seen.get[f"m{k}"] for k in range(len(marks)))
+    """(table, rows, *more): df written, with its number of rows and further aggregates."""
+    table = written(df, name)
+    return table, *table.agg(F.count(F.lit(1)), *more).first()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates, substrings and lines against brute force on small fixtures, with odd rows among them."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -74,6 +75,7 @@ def test_substrings_of_an_empty_table(spark):
     assert recompress.dedup_digests(frame(spark, [])).count() == 0
 
 
+@functools.cache
 def brute_classes(rows):
     bags = {}
     for d, t in rows:
@@ -101,7 +103,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, turns, block):
     monkeypatch.setattr(bagminhash, "BLOCK", block)
     rows = texts()
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame(spark, rows)).collect()}
-    assert got == brute_classes(rows)
+    assert got == brute_classes(tuple(rows))
 
 
 def test_near_duplicates_of_odd_rows(spark):
