@@ -216,7 +216,7 @@ def scored(index: Index, p: np.ndarray, item: np.ndarray, stands: np.ndarray) ->
     return np.bincount(which, weights=np.where(stands[at] == asked, index.weight[place], 0.0), minlength=len(p))
 
 
-def search(index: Index, first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int, int, float, float, float]]:
+def search(index: Index, first: np.ndarray, doc: np.ndarray, h: np.ndarray, overlap: float = OVERLAP) -> Iterator[tuple[int, int, int, float, float, float]]:
     """(row, item, passage's first word, score, question share, answer share) of every verified passage of a slice."""
     half = PASSAGE // 2
     at = np.flatnonzero(index.seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
@@ -243,18 +243,18 @@ def search(index: Index, first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> I
         around = h[max(int(first[r]), lo - len(words)) : min(hi + len(words), int(first[r + 1]))]
         q = _share(words[: index.question[k]], around)
         a = _share(words[index.question[k] :], around)
-        if q >= OVERLAP and a >= OVERLAP:
+        if q >= overlap and a >= overlap:
             yield r, k, lo - int(first[r]), float(scores[c] * index.threshold[k]), q, a
 
 
-def _search_batches(shared):
+def _search_batches(shared, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
             for part in text_slices(batch.column("text")):
                 w, h = _words(*part)
                 best = {}
-                for r, k, lo, score, q, a in search(index, w.first, w.doc, h):
+                for r, k, lo, score, q, a in search(index, w.first, w.doc, h, overlap):
                     if (old := best.get((r, k))) is None or (score, -lo) > (old[1], -old[0]):
                         best[r, k] = (lo, score, q, a)
                 if best:
@@ -269,7 +269,7 @@ def _search_batches(shared):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap): every item found in every document.
 
     One row for each row of docs and item (rows that repeat an item count once) with a passage above the item's threshold whose surroundings hold the item's
@@ -300,7 +300,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
         head = np.append(0, np.cumsum(flat(mine, "size"))).astype(np.int64)
         index = build_index(flat(mine, "item_id"), flat(mine, "question"), flat(terms, "term").astype(np.int64).view(np.uint64), head, flat(terms, "df"), total, mean or 1.0)
         schema = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
-        passed = docs.mapInArrow(_search_batches(spark.sparkContext.broadcast(index)), schema)
+        passed = docs.mapInArrow(_search_batches(spark.sparkContext.broadcast(index), overlap), schema)
         found = passed if found is None else found.unionByName(passed)
     return found
 

@@ -104,9 +104,8 @@ def exhaustive(items, docs):
     return found
 
 
-def test_block_max_wand_matches_exhaustive_bm25(spark, monkeypatch):
+def test_block_max_wand_matches_exhaustive_bm25(spark):
     """Long documents of many passages, words that repeat, items of one word and of a thousand, repeated rows; no verification."""
-    monkeypatch.setattr(decontaminate, "OVERLAP", 0.0)
     rnd = random.Random(9)
     word = lambda: rnd.choice("abcdefghijklmnopqrst") * min(rnd.choice((1, 1, 2, 3, 5)), 9)
     items = [(k, " ".join(word() for _ in range(rnd.randrange(3, 40)))) for k in range(150)] + [(500, "solo"), (501, " ".join(word() + str(rnd.randrange(40)) for _ in range(1000))), (502, "a a a a b")]
@@ -116,7 +115,7 @@ def test_block_max_wand_matches_exhaustive_bm25(spark, monkeypatch):
     bench = spark.createDataFrame([*items, items[3], items[4]], "item_id long, text string")
     frame = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string")
     for words in (decontaminate.INDEX_WORDS, 900):
-        got = decontaminate.contaminated(frame, bench, words).collect()
+        got = decontaminate.contaminated(frame, bench, words, overlap=0.0).collect()
         assert len(want) > 50 and {(r.doc_id, r.item_id) for r in got} == set(want)
         assert all(abs(r.score - want[r.doc_id, r.item_id]) < 1e-6 for r in got)
 
@@ -154,6 +153,54 @@ def test_quality_keeps_the_priors_of_all_labels(spark):
     assert abs(got.p_good - 0.8) < 0.02 and abs(got.expected_grade - 1.7) < 0.03 and got.selected
 
 
+def test_conflicting_and_repeated_labels(spark):
+    """Of several labels of one document the lowest grade holds, however rows are ordered; extra columns clash with added names."""
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (1, 1, 1, "y"), (1, 1, 0, "x"), (2, 0, 0, ""), (2, 1, 0, ""), (3, 1, 0, ""), (4, None, 1, ""), (None, 1, 0, "")], "doc_id long, quality int, toxic int, grade string")
+    assert sorted((r.doc_id, r.grade) for r in quality._marks(labels).collect()) == [(1, 0), (2, 1), (3, 2)]
+    docs = spark.createDataFrame([(1, "a", 9), (1, "a", 9), (3, "long " * 40_000, 9), (3, None, 1)], "doc_id long, text string, selected int")
+    got = quality.rate(docs, quality.fit_labels(docs, labels)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 3, 3] and all(0 <= r.p_good <= 1 for r in got)
+
+
+def test_ratings_match_the_model_written_out(spark):
+    """Scores of the distributed pass against sums of weights and the logistic function, text by text."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    model = quality.Model(rnd.normal(size=quality.DIM), np.array([-1.0, 0.5]))
+    texts = ["", "one", "A WORD, a word!!", "é ß 12", "x " * 3000, "?!"]
+    got = {r.doc_id: r for r in quality.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        part = next(quality.text_slices(pa.array([t])))
+        score = sum(model.weights[k] for k in set(quality.features(*part)[1].tolist()))
+        tail = [1 / (1 + math.exp(c - score)) if abs(c - score) < 35 else float(score > c) for c in model.thresholds]
+        assert abs(got[i].p_good - tail[1]) < 1e-9 and abs(got[i].expected_grade - sum(tail)) < 1e-9 and got[i].selected == (tail[1] >= 0.5)
+
+
+def test_languages_match_centroids_written_out(spark):
+    """Predictions against cosines of n-gram counts kept in dictionaries; many short texts in one batch, and a very long one."""
+    rows, docs = languages(spark, 120)
+    model = langid.fit(docs.where("doc_id < 120"))
+    texts = [r[1] for r in rows if r[1]] + ["a", "?", "Ab1c", "é " * 5000, *(f"ing {i} sch" for i in range(1500))]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        b = [c if (c >= 128 or chr(c).isalpha()) else 32 for c in t.lower().encode()] + [32, 32]
+        n = collections.Counter()
+        for a, c, d in zip(b, b[1:], b[2:]):
+            if not (a == 32 and c == 32):
+                n[((((a << 8 | c) << 8 | d) * 2654435761) & 0xFFFFFFFF) >> 20] += 1
+                n[langid.TRIGRAMS + (((a << 8 | c) * 2246822519 & 0xFFFFFFFF) >> 22)] += 1
+        if not any(c.isalpha() for c in t):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        v = {k: math.log1p(x) * float(model.idf[k]) for k, x in n.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * float(c[k]) for k, x in v.items()) / size for c in model.centroids]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert abs(got[i].score - min(max(cosine[best], 0), 1)) < 1e-4
+        assert got[i].lang_pred == model.languages[best] or sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-4
+
+
 def test_top_k_counts_repeated_rows_once(spark):
     """Every row twice, one row 30 times, and one id with 30 vectors of two scores."""
     rnd = np.random.default_rng(3)
