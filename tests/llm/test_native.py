@@ -22,7 +22,7 @@ def judged(url):
 
 def test_urls_match_plain_python(spark):
     rnd = random.Random(3)
-    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (4, "http://NET/"), (5, "http://net"), (6, "x://a.example.NET/en/?q=/de/"), (7, "http://example.net:80/en/"), (None, "http://a.org/fr/x"), (8, "http://a.net/#/en/"), (9, "http://..net/"), (10, "a://b://c.net/"), (11, "http://x.org" + "/fr/" * 3000)]
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (4, "http://NET/"), (5, "http://net"), (6, "x://a.example.NET/en/?q=/de/"), (7, "http://example.net:80/en/"), (None, "http://a.org/fr/x"), (8, "http://a.net/#/en/"), (9, "http://..net/"), (10, "a://b://c.net/"), (11, "http://x.org" + "/fr/" * 3000), (12, "http://" + "a." * 50_000 + "example.net/en/"), (13, "http://...net/"), *[(14, None)] * 20]
     rows += [(100 + i, f"http://{rnd.choice(['a.', 'b.c.', ''])}{rnd.choice(['example', 'other'])}.{rnd.choice(['net', 'com', 'org'])}{rnd.choice(['', '/', '/en', '/en/', '/de/x', '/fr/y/z'])}{rnd.choice(['', '?q', '#f'])}") for i in range(200)]
     rows += [rows[-1]] * 50
     pages = spark.createDataFrame([(*r, "h", "clash") for r in rows], "page_id long, url string, rule string, digest string")
