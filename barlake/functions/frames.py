@@ -28,10 +28,9 @@ def change(x: Column, n: int = 1) -> Column:
 def average_rank(x: Column, *keys: str, ascending: bool = True) -> Column:
     """Ranks within `keys` with ties averaged, null where x is null. x is compared at 10 decimals, so float noise makes no order."""
     v = F.round(x, 10)
-    order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count(v).over(Window.partitionBy(*keys, v))
-    return F.when(v.isNotNull(), rank + (ties - 1) / F.lit(2.0))
+    order = Window.partitionBy(*keys).orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_last())
+    ties = F.count(v).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # in the rank's own sort
+    return F.when(v.isNotNull(), F.rank().over(order) + (ties - 1) / F.lit(2.0))
 
 
 def percent_rank(x: Column, *keys: str) -> Column:

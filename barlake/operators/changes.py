@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlake.functions.frames import correlation
+
 
 def previous_snapshot(scores: DataFrame) -> DataFrame:
     """(Date, Previous_Date): the latest earlier date of the history. One row a date."""
@@ -53,3 +55,74 @@ def trailing_streak(df: DataFrame, holds) -> DataFrame:
     """(Symbol, Streak): length of each symbol's last run of rows that satisfy the predicate `holds`."""
     later_misses = F.sum(F.when(F.coalesce(holds, F.lit(False)), 0).otherwise(1)).over(Window.partitionBy("Symbol").orderBy(F.col("Date").desc()))
     return df.withColumn("_m", later_misses).groupBy("Symbol").agg(F.count_if(F.col("_m") == 0).alias("Streak"))
+
+
+def risk_flag_changes(scores: DataFrame) -> DataFrame:
+    """(Date, Symbol, Change, Risk_Flag, Previous_Flag): flags that are new or other than on the symbol's row before, and flags that went."""
+    w = Window.partitionBy("Symbol").orderBy("Date")
+    df = scores.select("Date", "Symbol", "Risk_Flag", F.lag("Risk_Flag").over(w).alias("Previous_Flag")).where("Previous_Flag is not null and Risk_Flag != Previous_Flag")
+    kind = F.when(F.col("Risk_Flag") == "Clean", "cleared").when(F.col("Previous_Flag") == "Clean", "new").otherwise("changed")
+    return df.select("Date", "Symbol", kind.alias("Change"), "Risk_Flag", "Previous_Flag")
+
+
+def shadow_compare(df: DataFrame, n: int = 25) -> DataFrame:
+    """(Date, N, Spearman, Jaccard, Mean_Abs_Delta) of official and shadow ranks of the symbols that have both."""
+    for c in ("Opportunity_Rank", "V4_Rank"):
+        if df.columns.count(c) != 1:
+            raise ValueError(f"needs exactly one column {c}")
+    both = df.where("Opportunity_Rank is not null and V4_Rank is not null")
+    top = (F.col("Opportunity_Rank") <= n, F.col("V4_Rank") <= n)
+    agg = both.groupBy("Date").agg(F.count(F.lit(1)).alias("N"), correlation("Opportunity_Rank", "V4_Rank").alias("Spearman"), (F.count_if(top[0] & top[1]) / F.nullif(F.count_if(top[0] | top[1]), F.lit(0))).alias("Jaccard"), F.avg(F.abs(F.col("Opportunity_Rank") - F.col("V4_Rank"))).alias("Mean_Abs_Delta"))
+    return agg
+
+
+def overlap_summary(df: DataFrame, n: int = 20) -> DataFrame:
+    """(Date, Overlap, Added, Dropped): how many of the first n stay, come in and go under the shadow ranks."""
+    a, b = F.coalesce(F.col("Opportunity_Rank") <= n, F.lit(False)), F.coalesce(F.col("V4_Rank") <= n, F.lit(False))
+    return df.groupBy("Date").agg(F.count_if(a & b).alias("Overlap"), F.count_if(b & ~a).alias("Added"), F.count_if(a & ~b).alias("Dropped"))
+
+
+def matured_delta(matured: DataFrame) -> DataFrame:
+    """(Horizon_Days, Date, Matured, Delta): forward returns known by each exit date, and how many more than by the date before."""
+    w = Window.partitionBy("Horizon_Days").orderBy("Date")
+    day = matured.where("Net_Forward_Return is not null").groupBy("Horizon_Days", F.col("Exit_Date").alias("Date")).agg(F.count(F.lit(1)).alias("Delta"))
+    return day.select("Horizon_Days", "Date", F.sum("Delta").over(w).alias("Matured"), "Delta")
+
+
+def rebalance_diff(top: DataFrame, scores: DataFrame, vetoed: DataFrame, decay: float = 3.0) -> DataFrame:
+    """(Date, Symbol, Action, Reason): what enters, stays in and leaves the basket (Date, Symbol) since the basket before.
+
+    Reasons of an exit: a veto (Symbol), a score that fell by more than `decay`, no row at the date, else outranked. The first basket has entries only.
+    """
+    dates = top.select("Date").distinct().withColumn("Previous_Date", F.lag("Date").over(Window.partitionBy(F.lit(1)).orderBy("Date")))
+    now = top.select("Date", "Symbol", F.lit(True).alias("_now"))
+    before = top.select(F.col("Date").alias("Previous_Date"), "Symbol").join(F.broadcast(dates), "Previous_Date").select("Date", "Symbol", F.lit(True).alias("_was"))
+    both = now.join(before, ["Date", "Symbol"], "full").join(F.broadcast(dates), "Date")
+    s = scores.select("Date", "Symbol", F.col("Confidence_Adjusted_Score").alias("_s"))
+    both = both.join(s.hint("shuffle_hash"), ["Date", "Symbol"], "left").join(s.select(F.col("Date").alias("Previous_Date"), "Symbol", F.col("_s").alias("_p")).hint("shuffle_hash"), ["Previous_Date", "Symbol"], "left")
+    both = both.join(vetoed.select("Symbol", F.lit(True).alias("_veto")).distinct().hint("shuffle_hash"), "Symbol", "left")
+    action = F.when(F.col("_now") & F.col("_was"), "hold").when(F.col("_now"), "entry").otherwise("exit")
+    why = F.concat_ws("; ", F.when(F.col("_veto"), "sentiment veto"), F.when(F.col("_s").isNull(), "dropped from universe").when(F.col("_s") < F.col("_p") - decay, "score decay"))
+    return both.select("Date", "Symbol", action.alias("Action"), F.when(action == "exit", F.when(why == "", "outranked").otherwise(why)).alias("Reason"))
+
+
+def rebalance_summary(diff: DataFrame) -> DataFrame:
+    """(Date, Holds, Entries, Exits, Turnover_Pct): the basket's changes; turnover is the share of entries."""
+    n = lambda a: F.count_if(F.col("Action") == a)
+    now = F.greatest(n("hold") + n("entry"), F.lit(1))
+    return diff.groupBy("Date").agg(n("hold").alias("Holds"), n("entry").alias("Entries"), n("exit").alias("Exits"), F.round(n("entry") / now * 100, 1).alias("Turnover_Pct"))
+
+
+def candidate_filter(df: DataFrame, text: str = "", universe: str = "", bucket: str = "", eligible: bool | None = None, flagged: bool | None = None) -> DataFrame:
+    """Rows whose symbol or name holds `text` and that are of the universe, bucket, eligibility and flag state asked for; what is not asked for is not looked at."""
+    if text:
+        df = df.where(F.contains(F.upper(F.concat_ws(" ", "Symbol", "Name")), F.lit(text.upper())))
+    if universe:
+        df = df.where(F.lower("Universe") == universe.lower())
+    if bucket:
+        df = df.where(F.col("Bucket") == bucket)
+    if eligible is not None:
+        df = df.where((F.lower(F.trim("Opportunity_Eligible")) == "yes") == eligible)
+    if flagged is not None:
+        df = df.where((F.col("Risk_Flag") != "Clean") == flagged)
+    return df

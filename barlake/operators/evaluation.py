@@ -21,21 +21,25 @@ def forward_returns_panel(bars: DataFrame, horizons=(5, 10, 21)) -> DataFrame:
     dated = bars.select("Symbol", "Date", "Close").join(calendar(bars), "Date")
     each = dated.withColumn("horizon", F.explode(F.array(*(F.lit(h).cast("long") for h in horizons)))).withColumn("to", F.col("idx") + F.col("horizon"))
     later = dated.select("Symbol", F.col("idx").alias("to"), F.col("Close").alias("later"))
-    return each.join(later, ["Symbol", "to"]).select("Date", "Symbol", "horizon", (F.col("later") / F.nullif(F.col("Close"), F.lit(0.0)) - 1).alias("fwd"))
+    return each.join(later.hint("shuffle_merge"), ["Symbol", "to"]).select("Date", "Symbol", "horizon", (F.col("later") / F.nullif(F.col("Close"), F.lit(0.0)) - 1).alias("fwd"))
 
 
 def spearman_ic(panel: DataFrame, forward: DataFrame, least: int = 8) -> DataFrame:
     """(Date, alpha, horizon, ic, n): correlation of average ranks over the symbols that have both, where there are `least`."""
     keys = ("Date", "alpha", "horizon")
-    both = panel.join(forward, ["Date", "Symbol"]).where("fwd is not null")
+    both = panel.join(forward.hint("shuffle_merge"), ["Date", "Symbol"]).where("fwd is not null")
     ranked = both.withColumns({"ra": average_rank(F.col("value"), *keys), "rf": average_rank(F.col("fwd"), *keys)})
     return ranked.groupBy(*keys).agg(correlation("ra", "rf").alias("ic"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 def ic_report(ic: DataFrame, least: int = 3) -> DataFrame:
-    """Per factor and horizon: dates, mean, deviation, t statistic and the share of dates with the mean's sign."""
-    mean = ic.groupBy("alpha", "horizon").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count(F.lit(1)).alias("n_dates"), F.count_if(F.col("ic") > 0).alias("up"), F.count_if(F.col("ic") < 0).alias("down"))
-    hit = F.when(F.col("mean_ic") > 0, F.col("up") / F.col("n_dates")).when(F.col("mean_ic") < 0, F.col("down") / F.col("n_dates")).otherwise(0.5)
+    """Per factor and horizon: dates, mean, deviation, t statistic and the share of dates with the mean's sign.
+
+    Signs are those of coefficients and means at 10 decimals, so that float noise about zero has none.
+    """
+    sign = lambda c: F.signum(F.round(c, 10))
+    mean = ic.groupBy("alpha", "horizon").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count(F.lit(1)).alias("n_dates"), F.count_if(sign("ic") > 0).alias("up"), F.count_if(sign("ic") < 0).alias("down"))
+    hit = F.when(sign("mean_ic") > 0, F.col("up") / F.col("n_dates")).when(sign("mean_ic") < 0, F.col("down") / F.col("n_dates")).otherwise(0.5)
     t = F.when(F.col("std_ic") > 0, F.col("mean_ic") / (F.col("std_ic") / F.sqrt("n_dates")))
     enough = F.col("n_dates") >= least
     return mean.select("alpha", "horizon", "n_dates", *(F.when(enough, c).alias(k) for k, c in {"mean_ic": F.col("mean_ic"), "std_ic": F.col("std_ic"), "t_stat": t, "hit_rate": hit}.items()))

@@ -58,3 +58,8 @@ def flow_confirmation(picks: DataFrame, deals: DataFrame, regime: str) -> DataFr
     r = F.lit(regime)
     label = F.when((flag == "Buy") & (r == "Net_Buying"), "Yes").when((flag == "Sell") | (r == "Net_Selling"), "No").when((flag == "Unknown") & (r == "Unknown"), "Unknown").otherwise("Mixed")
     return picks.select("Symbol").join(deals, "Symbol", "left").select("Symbol", label.alias("Institutional_Confirmation"))
+
+
+def avg_abs_offdiag(corr: DataFrame) -> DataFrame:
+    """(Pairs, Avg_Abs_Corr) of correlations of pairs."""
+    return corr.agg(F.count(F.lit(1)).alias("Pairs"), F.avg(F.abs("corr")).alias("Avg_Abs_Corr"))

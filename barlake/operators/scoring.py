@@ -43,6 +43,11 @@ def official_score(df: DataFrame) -> DataFrame:
 
     Needs the signals, the instrument's columns, the fund columns, Market_Regime(_Score) and Score_Consistency_4W (null: 50).
     """
+    return final_score(component_scores(df))
+
+
+def component_scores(df: DataFrame) -> DataFrame:
+    """All scores that the final score is blended from, but for consistency."""
     z = F.lit(0.0)
     raw = 0.25 * F.coalesce("Return_5D", z) + 0.45 * F.coalesce("Return_21D", z) + 0.30 * F.coalesce("Return_63D", z)
     trend = 20 * flag(F.col("Above_10DMA")) + 25 * flag(F.col("Above_20DMA")) + 30 * flag(F.col("Above_50DMA")) + 25 * flag(F.col("MA_20D") > F.col("MA_50D"))
@@ -81,15 +86,25 @@ def official_score(df: DataFrame) -> DataFrame:
             "Liquidity_Score": clip(0.80 * F.col("_liq") + 0.20 * F.col("_zero"), 0, 100),
             "Risk_Score": clip(0.50 * F.col("_vol") + 0.35 * F.col("_dd") + 0.15 * F.col("_mdd") - penalty, 0, 100),
             "ETF_Quality_Score": F.when(is_etf(), fund).otherwise(100.0),
-            "Score_Consistency_4W": F.coalesce("Score_Consistency_4W", F.lit(50.0)),
             "Confidence_Score": confidence(),
         }
     ).withColumn("Safety_Score", clip(0.70 * F.col("Risk_Score") + 0.30 * F.col("Liquidity_Score"), 0, 100))
+    return df.drop(*(c for c in df.columns if c.startswith("_")))
+
+
+def final_score(df: DataFrame) -> DataFrame:
+    """Final_Score and Confidence_Adjusted_Score of rows with component scores; Score_Consistency_4W counts as 50 where it is null."""
+    df = df.withColumn("Score_Consistency_4W", F.coalesce("Score_Consistency_4W", F.lit(50.0)))
     blend = lambda w: sum((F.lit(v) * F.col(k) for k, v in w.items()), F.lit(0.0))
     final = F.when(is_etf(), blend(ETF_WEIGHTS)).otherwise(blend(STOCK_WEIGHTS))
     final = clip(F.when(F.col("Absolute_Momentum_Pass"), final).otherwise(F.least(final, F.lit(FAILED_CAP))), 0, 100)
-    df = df.withColumn("Final_Score", final).withColumn("Confidence_Adjusted_Score", clip(final * F.col("Confidence_Score") / 10, 0, 100))
-    return df.drop(*(c for c in df.columns if c.startswith("_")))
+    return df.withColumns({"Final_Score": final, "Confidence_Adjusted_Score": clip(final * F.col("Confidence_Score") / 10, 0, 100)})
+
+
+def scored_with_consistency(df: DataFrame) -> DataFrame:
+    """Scores whose consistency comes from the scores of the 28 days before, those taken with the default of 50."""
+    first = final_score(component_scores(df).withColumn("Score_Consistency_4W", F.lit(None).cast("double")))
+    return final_score(first.withColumn("Score_Consistency_4W", consistency_score(F.col("Confidence_Adjusted_Score"))))
 
 
 def confidence() -> Column:
@@ -109,7 +124,7 @@ def confidence() -> Column:
 def risk_flags() -> Column:
     """The rules that apply, in order, as an array; joined by `; ` for display, `Clean` where none applies."""
     ineligible = F.lower(F.coalesce("Opportunity_Eligible", F.lit("Yes"))) == "no"
-    etf = is_etf()
+    etf, gone = is_etf(), lambda c: F.col(c).isNull()
     rules = (
         (ineligible, "Parking/debt ETF - excluded from opportunity ranking"),
         (~F.coalesce("Absolute_Momentum_Pass", F.lit(False)), "Absolute momentum filter failed"),
@@ -119,7 +134,8 @@ def risk_flags() -> Column:
         (~F.col("Above_20DMA") & ~F.col("Above_50DMA"), "Weak trend"),
         (F.col("RSI_14") > OVERBOUGHT, "Overbought RSI"),
         (etf & (F.abs("NAV_Premium_Discount") > NAV_PREMIUM_MAX), "High NAV premium/discount"),
-        (etf & (F.col("NAV").isNull() | F.col("AUM_Cr").isNull() | F.col("TER").isNull()), "ETF quality data incomplete"),
+        (etf & (gone("NAV") | gone("AUM_Cr") | gone("TER") | (gone("Tracking_Error") & gone("Tracking_Difference"))), "ETF quality data incomplete"),
+        (etf & ~gone("NAV") & ~gone("AUM_Cr") & ~gone("TER") & gone("Tracking_Error") & ~gone("Tracking_Difference"), "ETF tracking error unavailable; using tracking difference"),
     )
     return F.array_compact(F.array(*(F.when(cond, F.lit(text)) for cond, text in rules)))
 
@@ -186,18 +202,25 @@ def rank_changes(df: DataFrame) -> DataFrame:
     return df.withColumns({"Rank_Change": F.col("Previous_Rank") - F.col("Rank"), "Score_Change": F.col("Confidence_Adjusted_Score") - F.col("Previous_Score")})
 
 
+def _days_before(days: int):
+    return Window.partitionBy("Symbol").orderBy(F.unix_date("Date")).rangeBetween(-days, -1)
+
+
+def consistency_score(s: Column) -> Column:
+    """Mean less 1.5 deviations of the score over the 28 days before, 50 where there is none."""
+    w = _days_before(28)
+    return F.coalesce(clip(F.avg(s).over(w) - 1.5 * F.coalesce(F.stddev_samp(s).over(w), F.lit(0.0)), 0, 100), F.lit(50.0))
+
+
 def consistency(scores: DataFrame, score: str = "Confidence_Adjusted_Score") -> DataFrame:
     """By symbol and date: mean, change and consistency of the score over the 28 days before, times in the top 25 over 56 days."""
-    day = F.unix_date("Date")
-    before = lambda days: Window.partitionBy("Symbol").orderBy(day).rangeBetween(-days, -1)
-    s, w = F.col(score), before(28)
-    mean, sd = F.avg(s).over(w), F.coalesce(F.stddev_samp(s).over(w), F.lit(0.0))
+    s, w = F.col(score), _days_before(28)
     return scores.withColumns(
         {
-            "Score_Mean_4W": mean,
+            "Score_Mean_4W": F.avg(s).over(w),
             "Score_Change_4W": F.last(s).over(w) - F.first(s).over(w),
-            "Score_Consistency_4W": F.coalesce(clip(mean - 1.5 * sd, 0, 100), F.lit(50.0)),
-            "Top25_Count_8W": F.coalesce(F.sum(F.when(F.col("Rank") <= 25, 1).otherwise(0)).over(before(56)), F.lit(0)).cast("long"),
+            "Score_Consistency_4W": consistency_score(s),
+            "Top25_Count_8W": F.coalesce(F.sum(F.when(F.col("Rank") <= 25, 1).otherwise(0)).over(_days_before(56)), F.lit(0)).cast("long"),
         }
     )
 
@@ -244,3 +267,44 @@ def sector_rotation(df: DataFrame) -> DataFrame:
     agg = agg.withColumn("Excess_21D", F.col("Sector_Return_21D") - F.col("_b")).drop("_b")
     order = Window.partitionBy("Date").orderBy(F.round("Excess_21D", 10).desc_nulls_last(), "Sector")
     return agg.withColumn("Sector_Rank", F.row_number().over(order).cast("long"))
+
+
+def display_order(df: DataFrame, veto: DataFrame, column: str = "Confidence_Adjusted_Score") -> DataFrame:
+    """(Date, Symbol, Place): rows with a numeric score that no veto (Symbol) excludes, by score, then symbol."""
+    kept = df.where(F.col(column).try_cast("double").isNotNull()).join(veto.select("Symbol").distinct().hint("shuffle_hash"), "Symbol", "left_anti")
+    order = Window.partitionBy("Date").orderBy(F.round(F.col(column).cast("double"), 10).desc(), "Symbol")
+    return kept.select("Date", "Symbol", F.row_number().over(order).cast("long").alias("Place"))
+
+
+#: Thresholds of the low-risk list. Fixed values.
+LOW_RISK = {"Risk_Score": 65, "Final_Score": 60, "Return_21D": 0.0}
+
+
+def ranked_views(df: DataFrame, n: int = 25) -> DataFrame:
+    """(Date, View, Place, Symbol): the first n of seven lists of each date. df: labelled scores.
+
+    All lists are cut in one pass: a row counts once in each list that it belongs to.
+    """
+    yes = F.lower(F.trim("Opportunity_Eligible")) == "yes"
+    low = yes & (F.col("Bucket") != "Avoid")
+    for name, least in LOW_RISK.items():
+        low &= F.col(name) >= least
+    review = is_etf() & (F.col("AUM_Cr").isNull() | F.col("TER").isNull() | F.col("NAV").isNull())
+    lists = {"opportunities": yes, "etfs": yes & is_etf(), "stocks": yes & ~is_etf(), "low_risk": low, "quality_review": review, "parking": F.lower(F.trim("Opportunity_Eligible")) == "no", "avoid": F.col("Bucket") == "Avoid"}
+    view = F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in lists.items()))))
+    each = df.select("Date", "Symbol", view.alias("View"), "Confidence_Adjusted_Score", "Risk_Score")
+    first = F.when(F.col("View") == "low_risk", F.round("Risk_Score", 10)).desc_nulls_last()
+    order = Window.partitionBy("Date", "View").orderBy(first, F.round("Confidence_Adjusted_Score", 10).desc_nulls_last(), "Symbol")
+    return each.withColumn("Place", F.row_number().over(order).cast("long")).where(F.col("Place") <= n).select("Date", "View", "Place", "Symbol")
+
+
+def shadow_frame(df: DataFrame) -> DataFrame:
+    """Shadow scores and ranks beside the official ones: V4_CAS, V4_Rank of eligible rows, the difference in rank, and inputs that were neutral.
+
+    df: official scores with Shadow_Score.
+    """
+    neutral = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in ("Return_5D", "Return_21D", "Return_63D", "Volatility_20D", "MA_200D")))
+    df = df.withColumns({"V4_CAS": F.col("Shadow_Score") * F.col("Confidence_Score") / 10, "Neutral_Inputs": neutral, "_e": F.lower(F.trim("Opportunity_Eligible")) == "yes"})
+    order = Window.partitionBy("Date", "_e").orderBy(F.round("V4_CAS", 10).desc_nulls_last(), "Symbol")
+    rank = F.when(F.col("_e"), F.row_number().over(order).cast("long"))
+    return df.withColumn("V4_Rank", rank).withColumn("Rank_Delta", F.col("Opportunity_Rank") - F.col("V4_Rank")).drop("_e")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.frames import by_symbol, change, rolling, rows
+from barlake.functions.frames import by_symbol, change, correlation, rolling, rows
 
 HORIZONS = (5, 10, 21, 63, 126, 252)
 AVERAGES = (10, 20, 50, 100, 200)
@@ -134,13 +134,22 @@ def breadth(bars: DataFrame, n: int = 50) -> DataFrame:
     return df.groupBy("Date").agg((F.avg(F.when(p > F.col("_ma"), 1.0).otherwise(0.0)) * 100).alias("Breadth_Pct"), F.count(F.lit(1)).alias("Symbols"))
 
 
+def share_below(series: DataFrame, n: int, least: int, strict: bool = True, to: int = 0) -> DataFrame:
+    """(Symbol, Date, Value, Share): percentage of n values up to the row `to` below the current one (or at it, if not strict), where there are `least`.
+
+    A frame's values are listed for each row, n numbers at most: no aggregate tells a moving rank.
+    """
+    values = F.collect_list("Value").over(rows(n, to))
+    below = (lambda x: x < F.col("Value")) if strict else (lambda x: x <= F.col("Value"))
+    df = series.where("Value is not null").withColumn("_v", values)
+    return df.select("Symbol", "Date", "Value", F.when(F.size("_v") >= least, F.size(F.filter("_v", below)) / F.size("_v") * 100).alias("Share"))
+
+
 def vix_percentile(series: DataFrame, n: int = 252, least: int = 20) -> DataFrame:
     """(Symbol, Date, Percentile, Regime): share of the last n values below the current one; LOW under 30, HIGH over 70."""
-    v = F.collect_list("Value").over(rows(n))
-    below = F.size(F.filter(v, lambda x: x < F.col("Value"))) / F.size(v) * 100
-    df = series.withColumn("Percentile", F.when(F.count("Value").over(rows(n)) >= least, below))
-    regime = F.when(F.col("Percentile").isNull(), "UNKNOWN").when(F.col("Percentile") < 30, "LOW").when(F.col("Percentile") <= 70, "MID").otherwise("HIGH")
-    return df.select("Symbol", "Date", "Percentile", regime.alias("Regime"))
+    p = F.col("Share")
+    regime = F.when(p.isNull(), "UNKNOWN").when(p < 30, "LOW").when(p <= 70, "MID").otherwise("HIGH")
+    return share_below(series, n, least).select("Symbol", "Date", p.alias("Percentile"), regime.alias("Regime"))
 
 
 def hold_horizon(bars: DataFrame, horizons=(3, 5, 10, 21, 42, 63), cap: float = 0.06, history: int = 252) -> DataFrame:
@@ -164,3 +173,78 @@ def hold_horizon(bars: DataFrame, horizons=(3, 5, 10, 21, 42, 63), cap: float =
     inside = (F.col("Downside") <= cap).cast("int")
     order = Window.partitionBy("Symbol").orderBy(inside.desc(), F.round("Sharpe_Like", 10).desc(), "Horizon")
     return out.withColumn("Best", F.row_number().over(order) == 1).select("Symbol", F.col("Horizon").cast("long"), "N", "Median", "Q25", "Q75", "Vol", "Downside", "Worst", "Sharpe_Like", "Best")
+
+
+def macro_tape(benchmark: DataFrame, fear: DataFrame) -> DataFrame:
+    """(Date, Above_50, Trend_50, Fear_Pctile, Regime, Previous_Regime): the benchmark's trend over 50 rows against how high `fear` (Date, Value) stands.
+
+    Percentile: share of the last 252 values at or below the current one, of at least 60. One row a date.
+    """
+    w = Window.partitionBy(F.lit(1)).orderBy("Date")
+    at = fear.select("Date", "Value", F.lit("x").alias("Symbol"))
+    share = share_below(at, 252, 60, strict=False).select("Date", F.col("Share").alias("Fear_Pctile"))
+    df = benchmark.join(share, "Date", "left")
+    c = F.col("Benchmark_Close")
+    enough = F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) >= 55
+    df = df.withColumns({"Above_50": F.when(enough, c >= F.avg(c).over(w.rowsBetween(-49, 0))), "Trend_50": F.when(enough, (c / F.lag(c, 49).over(w) - 1) * 100)})
+    trend, p = F.coalesce("Trend_50", F.lit(0.0)), F.col("Fear_Pctile")
+    regime = F.when(p.isNull(), "neutral").when((trend > 2) & (p < 40), "risk-on").when((trend < -3) | (p > 70), "risk-off").otherwise("neutral")
+    df = df.withColumn("Regime", regime)
+    return df.select("Date", "Above_50", "Trend_50", "Fear_Pctile", "Regime", F.lag("Regime").over(w).alias("Previous_Regime"))
+
+
+def microstructure(bars: DataFrame, nav: DataFrame, least: float, most_z: float = 2.5) -> DataFrame:
+    """(Symbol, Date, Traded_Median_20, Spread_Median_20, Premium_Z, Passes, Fails): medians of 20 rows and the z-score of the premium over nav (Symbol, NAV_Gap) over 60."""
+    df = bars.join(nav, "Symbol", "left").withColumns({"_tv": F.col("Close") * F.col("Volume"), "_sp": (F.col("High") - F.col("Low")) / F.col("Close"), "_pr": F.col("Close") / F.nullif(F.col("Open") * (1 + F.col("NAV_Gap")), F.lit(0.0)) - 1})
+    sd = F.stddev_pop("_pr").over(rows(60))
+    z = F.when((F.count("_pr").over(rows(60)) >= 10) & (sd > 1e-12), (F.col("_pr") - F.avg("_pr").over(rows(60))) / sd)
+    df = df.withColumns({"Traded_Median_20": F.percentile("_tv", 0.5).over(rows(20)), "Spread_Median_20": F.percentile("_sp", 0.5).over(rows(20)), "Premium_Z": z})
+    low, wide = F.col("Traded_Median_20").isNull() | (F.col("Traded_Median_20") < least), F.abs("Premium_Z") > most_z
+    fails = F.concat_ws("; ", F.when(low, "LOW_LIQUIDITY"), F.when(wide, "PREMIUM_Z"))
+    return df.select("Symbol", "Date", "Traded_Median_20", "Spread_Median_20", "Premium_Z", (fails == "").alias("Passes"), fails.alias("Fails"))
+
+
+def benchmark_stats(bars: DataFrame, benchmark: DataFrame, window: int = 63, least: int = 20) -> DataFrame:
+    """(Symbol, N, Excess_21, Tracking_Error, Information_Ratio, Beta) of each symbol's last `window` returns against the benchmark's.
+
+    Excess: the last 21 compounded returns less the benchmark's. Beta divides a sample covariance by a population variance, as the reference does.
+    """
+    df = bars.join(benchmark, "Date").withColumns({"r": change(F.col("Close")), "b": change(F.col("Benchmark_Close"))}).where("r is not null and b is not null")
+    df = df.withColumn("k", F.row_number().over(Window.partitionBy("Symbol").orderBy(F.col("Date").desc()))).where(F.col("k") <= window)
+    grown = lambda c: F.exp(F.sum(F.when(F.col("k") <= 21, F.ln(1 + F.col(c))))) - 1
+    year = F.sqrt(F.lit(YEAR))
+    agg = df.groupBy("Symbol").agg(F.count(F.lit(1)).alias("N"), (grown("r") - grown("b")).alias("Excess_21"), F.stddev_pop(F.col("r") - F.col("b")).alias("_te"), F.avg(F.col("r") - F.col("b")).alias("_m"), F.covar_samp("r", "b").alias("_c"), F.var_pop("b").alias("_v"))
+    te = F.col("_te") * year
+    out = agg.where(F.col("N") >= least)
+    return out.select("Symbol", "N", "Excess_21", te.alias("Tracking_Error"), (F.col("_m") * YEAR / F.nullif(te, F.lit(0.0))).alias("Information_Ratio"), (F.col("_c") / F.nullif(F.col("_v"), F.lit(0.0))).alias("Beta"))
+
+
+def sector_rs(df: DataFrame, boost: float = 1.05, cut: float = 0.95) -> DataFrame:
+    """(Date, Sector, Sector_Multiplier): 1.05 where the sector's mean 21-row return beats the benchmark by 10 points, 0.95 where it lags by 3."""
+    agg = df.groupBy("Date", "Sector").agg(F.avg("Return_21D").alias("s"), F.avg("Benchmark_Return_21D").alias("b")).where("s is not null and b is not null")
+    gap = F.round(F.col("s") - F.col("b"), 10)
+    return agg.select("Date", "Sector", F.when(gap >= 0.10, boost).when(gap <= -0.03, cut).otherwise(1.0).alias("Sector_Multiplier"))
+
+
+def combined_rs(stock: Column, sector: Column) -> Column:
+    """Half of each multiplier."""
+    return F.round(0.5 * stock + 0.5 * sector, 4)
+
+
+def sector_context(bars: DataFrame, benchmark: DataFrame, master: DataFrame, picks: DataFrame, window: int = 60, peers: int = 3) -> DataFrame:
+    """(Symbol, Sector, Return_21, Return_63, Relative_21, Peers, Peer_Median_63) of picked symbols at their last bar.
+
+    Peers: the `peers` symbols whose returns correlate most over the pick's last `window` rows, picks' returns meeting all others' by date.
+    """
+    df = bars.withColumns({"r": change(F.col("Close")), "Return_21": change(F.col("Close"), 21), "Return_63": change(F.col("Close"), 63)})
+    df = df.withColumn("k", F.row_number().over(Window.partitionBy("Symbol").orderBy(F.col("Date").desc())))
+    last = df.where("k = 1").select("Symbol", "Date", "Return_21", "Return_63")
+    bench = benchmark.withColumn("b21", F.col("Benchmark_Close") / F.lag("Benchmark_Close", 21).over(Window.partitionBy(F.lit(1)).orderBy("Date")) - 1)
+    a = df.where((F.col("k") <= window) & F.col("r").isNotNull()).join(picks.select("Symbol").distinct(), "Symbol", "left_semi").select("Date", "Symbol", "r")
+    b = df.where("r is not null").select("Date", F.col("Symbol").alias("Peer"), F.col("r").alias("p"))
+    both = a.join(b.hint("shuffle_hash"), "Date").where("Symbol != Peer").groupBy("Symbol", "Peer").agg(correlation("r", "p").alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 20 and c is not null")
+    best = Window.partitionBy("Symbol").orderBy(F.round("c", 8).desc(), "Peer")
+    top = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= peers).join(last.select(F.col("Symbol").alias("Peer"), F.col("Return_63").alias("p63")).hint("shuffle_hash"), "Peer")
+    found = top.groupBy("Symbol").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "Peer"))), lambda x: x["Peer"]), ",").alias("Peers"), F.percentile("p63", 0.5).alias("Peer_Median_63"))
+    out = found.join(last, "Symbol").join(master.select("Symbol", "Sector"), "Symbol", "left").join(bench.select("Date", "b21"), "Date", "left")
+    return out.select("Symbol", "Sector", "Return_21", "Return_63", (F.col("Return_21") - F.col("b21")).alias("Relative_21"), "Peers", "Peer_Median_63")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of the flags that keep a row on watch. Fixed values.
@@ -49,3 +49,33 @@ def trade_plan(df: DataFrame, verdict: Column) -> DataFrame:
     p, a = F.col("Price"), F.col("Plan_ATR")
     df = df.withColumns({"Stop": p - 1.5 * a, "Target_1": p + 1.5 * a, "Target_2": p + 2.5 * a})
     return df.withColumns({"Target_1_Pct": F.col("Target_1") / p - 1, "Reward_Risk": (F.col("Target_2") - p) / F.nullif(p - F.col("Stop"), F.lit(0.0)), "Trade_Status": trade_status(verdict)})
+
+
+def hold_days(text: Column, momentum: Column) -> Column:
+    """(low, high): the first two whole numbers of a text, the only one twice, else 5 to 15 days where momentum is 80 or more, else 10 to 30."""
+    n = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d+)"))
+    pair = lambda a, b: F.struct(a.cast("long").alias("low"), b.cast("long").alias("high"))
+    first = F.get(n, F.lit(0))
+    return F.when(F.size(n) >= 2, pair(first, F.get(n, F.lit(1)))).when(F.size(n) == 1, pair(first, first)).when(momentum >= 80, pair(F.lit(5), F.lit(15))).otherwise(pair(F.lit(10), F.lit(30)))
+
+
+def model_edge(summary: DataFrame) -> DataFrame:
+    """(Horizon_Days, Edge_Pct_Per_Day): the mean spread by day in percent, only where the verdict is positive."""
+    edge = F.when(F.col("Verdict") == "Validation Positive", F.col("Avg_Spread") / F.col("Horizon_Days") * 100)
+    return summary.select("Horizon_Days", edge.alias("Edge_Pct_Per_Day"))
+
+
+def official_top5(plan: DataFrame, n: int = 5) -> DataFrame:
+    """(Date, Place, Symbol, Trade_Status): the first n rows of each date that are not to be avoided, in canonical order."""
+    from barlake.operators.scoring import canonical_order
+
+    kept = plan.where(~F.coalesce(F.col("Trade_Status"), F.lit("")).startswith("Avoid"))
+    return kept.withColumn("Place", canonical_order(kept)).where(F.col("Place") <= n).select("Date", "Place", "Symbol", "Trade_Status")
+
+
+def plan_views(plan: DataFrame, reviewable: int = 25, others: int = 100) -> DataFrame:
+    """(Date, View, Place, Symbol): the first reviewable rows of each date, and the first of those to avoid or watch, by score."""
+    view = F.when(F.col("Trade_Status").startswith("Review"), "review").otherwise("avoid_watch")
+    order = Window.partitionBy("Date", "View").orderBy(F.round("Confidence_Adjusted_Score", 10).desc_nulls_last(), "Symbol")
+    df = plan.withColumn("View", view).withColumn("Place", F.row_number().over(order).cast("long"))
+    return df.where(F.col("Place") <= F.when(F.col("View") == "review", reviewable).otherwise(others)).select("Date", "View", "Place", "Symbol")

@@ -117,7 +117,7 @@ def signal_gap(spreads: DataFrame) -> DataFrame:
     return gaps.groupBy("Horizon_Days").agg(F.percentile("g", 0.5).alias("Gap_Days"))
 
 
-def bootstrap_spread(spreads: DataFrame, iterations: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_spread(spreads: DataFrame, iterations: int = 2000, seed: int = 42) -> DataFrame:
     """(Horizon_Days, Boot_Mean, Boot_P5, Boot_P95, Boot_Prob_Positive): means of resampled spreads.
 
     A draw's index comes from the MD5 of its numbers, so that any engine draws the same. Each spread is expanded into

@@ -78,6 +78,19 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, Symbol, title): the first twelve tokens of each document, by its source."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("source").alias("Symbol"), F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 12), " ").alias("title"))
+    """(doc_id, Symbol, title): every document's whole text as a headline, by its source."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("Symbol"), F.col("text").alias("title"))
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Symbol, Sector, Self_Median_PE and metrics): a supplier's metrics from its lines, with gaps by the key's remainders."""
+    k = F.col("l_suppkey")
+    r = lambda x: F.round(x + 1.37e-8, 6)
+    line = table(spark, sf_dir, "lineitem").groupBy(k).agg(
+        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("u"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.avg("l_quantity").alias("q"), F.percentile("l_quantity", 0.5).alias("m")
+    )
+    some = line.select(
+        symbol("l_suppkey").alias("Symbol"), F.when(k % 7 != 0, r(F.col("u") / 100)).alias("PE"), F.when(k % 5 != 0, r(F.col("d") * 4)).alias("ROE"), F.when(k % 6 != 0, r(F.col("t") * 10)).alias("DebtToEquity"),
+        F.when(k % 9 != 0, r(F.col("q") / 50 - 0.5)).alias("EarningsGrowth"), F.when(k % 4 != 0, r(F.col("d") + F.col("t"))).alias("ProfitMargin"), r(F.col("m") * F.col("u") / 2550).alias("Self_Median_PE"),
+    )
+    return some.join(master(spark, sf_dir).select("Symbol", "Sector"), "Symbol", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlake import panel
 from barlake.operators import alphas, changes, evaluation, news, portfolio, signals
 from barlake.plans import sql
-from barlake.plans.queries import all_scores, r4, register
+from barlake.plans.queries import all_scores, r4, register, scores_table
 from barlake.sources import tables
 
 AS_OF = "2024-01-30"
@@ -25,9 +25,9 @@ ranked as (select Date, alpha, horizon, {sql.pr('value', *_KEYS)} as ra, {sql.pr
 ic0 as (select Date, alpha, horizon, corr(ra, rf) as ic, count(*) as n from ranked group by 1, 2, 3),
 ic as (select * from ic0 where n >= 8 and ic is not null and not isnan(ic))"""
 REPORT = f"""{IC},
-rep0 as (select alpha, horizon, count(*) as n_dates, avg(ic) as m, stddev_samp(ic) as s, count(*) filter (ic > 0) as up, count(*) filter (ic < 0) as down from ic group by 1, 2),
+rep0 as (select alpha, horizon, count(*) as n_dates, avg(ic) as m, stddev_samp(ic) as s, count(*) filter (round(ic, 10) > 0) as up, count(*) filter (round(ic, 10) < 0) as down from ic group by 1, 2),
 report as (select alpha, horizon, n_dates, case when n_dates >= 3 then m end as mean_ic, case when n_dates >= 3 then s end as std_ic, case when n_dates >= 3 and s > 0 then m / (s / sqrt(n_dates)) end as t_stat,
-  case when n_dates >= 3 then (case when m > 0 then up / n_dates::double when m < 0 then down / n_dates::double else 0.5 end) end as hit_rate from rep0)"""
+  case when n_dates >= 3 then (case when round(m, 10) > 0 then up / n_dates::double when round(m, 10) < 0 then down / n_dates::double else 0.5 end) end as hit_rate from rep0)"""
 
 
 def _ic(spark, sf_dir):
@@ -104,14 +104,14 @@ now as (select t.Date, t.Symbol from top t join prev using (Date) where pd is no
 select Date, Symbol, 'entry' as Change from now where not exists (select 1 from bef where bef.Date = now.Date and bef.Symbol = now.Symbol)
 union all select Date, Symbol, 'exit' from bef where not exists (select 1 from now where bef.Date = now.Date and bef.Symbol = now.Symbol)""")
 def topn_entries_exits(spark, sf_dir):
-    return changes.topn_entries_exits(all_scores(spark, sf_dir))
+    return changes.topn_entries_exits(scores_table(spark, sf_dir))
 
 
 @register("rank_movers", f"""with {sql.SCORES}, {_PREV}, b as (select s.Date, s.Symbol, s.Rank, o.Rank as Previous_Rank, o.Rank - s.Rank as Move from scores s join prev using (Date) join scores o on o.Date = prev.pd and o.Symbol = s.Symbol),
 k as (select *, row_number() over (partition by Date order by Move desc, Symbol) as u, row_number() over (partition by Date order by Move asc, Symbol) as d from b)
 select Date, Symbol, Rank, Previous_Rank, Move, 'gainer' as Side from k where u <= 5 and Move > 0 union all select Date, Symbol, Rank, Previous_Rank, Move, 'loser' from k where d <= 5 and Move < 0""")
 def rank_movers(spark, sf_dir):
-    return changes.rank_movers(all_scores(spark, sf_dir))
+    return changes.rank_movers(scores_table(spark, sf_dir))
 
 
 @register("regime_change", f"with {sql.BARS}, {sql.REGIME}, q as (select Date, lag(Market_Regime) over (order by Date) as From_Regime, Market_Regime as To_Regime from regime) select * from q where From_Regime is not null and From_Regime != To_Regime")
@@ -139,7 +139,7 @@ def canonical_url(spark, sf_dir):
     return panel.table(spark, sf_dir, "pages").select("page_id", news.canonical_url(F.col("url")).alias("canonical"))
 
 
-_HEAD = "heads as (select doc_id, array_to_string((string_split_regex(text, '[ \\n]+'))[1:12], ' ') as title from documents)"
+_HEAD = "heads as (select doc_id, text as title from documents)"
 
 
 @register("normalize_title", f"with {_HEAD} select doc_id, {_TITLE.format('title')} as title from heads")
@@ -189,16 +189,19 @@ def recent_window(spark, sf_dir):
     return tables.recent_window(panel.bars(spark, sf_dir), 90).select("Symbol", "Date", *r4("Price"))
 
 
-@register("business_day_gaps", "with d as (select distinct o_orderdate::date as Date from orders where o_orderkey % 7 = 0), s as (select unnest(generate_series(min(Date), max(Date), interval 1 day))::date as Date from d) select Date from s where isodow(Date) < 6 and Date not in (select Date from d)")
+@register("business_day_gaps", """with d as (select distinct o_custkey as feed, o_orderdate::date as Date from orders), r as (select feed, min(Date) as a, max(Date) as b from d group by 1),
+s as (select feed, unnest(generate_series(a, b, interval 1 day))::date as Date from r) select feed, Date from s where isodow(Date) < 6 and not exists (select 1 from d where d.feed = s.feed and d.Date = s.Date)""")
 def business_day_gaps(spark, sf_dir):
-    o = panel.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
-    return tables.business_day_gaps(o.select(F.col("o_orderdate").cast("date").alias("Date")))
+    """Weekdays without an order between each customer's first and last."""
+    o = panel.table(spark, sf_dir, "orders")
+    return tables.business_day_gaps(o.select(F.col("o_custkey").alias("feed"), F.col("o_orderdate").cast("date").alias("Date")), "feed")
 
 
-@register("feed_health", f"with f as (select event_type || '-' || (user_id % 3) as feed, ts::date as Date from events where (user_id % 3 = 0) or (user_id % 3 = 1 and ts < date '2024-01-25') or (user_id % 3 = 2 and ts < date '2024-01-10')), g as (select feed, count(*) as Rows, max(Date) as Last_Date from f group by 1) select feed, Rows, Last_Date, case when date_diff('day', Last_Date, date '{AS_OF}') <= 2 then 'green' when date_diff('day', Last_Date, date '{AS_OF}') <= 7 then 'amber' else 'red' end as Status from g")
+@register("feed_health", f"with g as (select 'S' || user_id as feed, count(*) as Rows, max(ts::date) as Last_Date from events group by 1) select feed, Rows, Last_Date, case when date_diff('day', Last_Date, date '{AS_OF}') <= 2 then 'green' when date_diff('day', Last_Date, date '{AS_OF}') <= 7 then 'amber' else 'red' end as Status from g")
 def feed_health(spark, sf_dir):
-    e = panel.table(spark, sf_dir, "events").where("(user_id % 3 = 0) or (user_id % 3 = 1 and ts < date '2024-01-25') or (user_id % 3 = 2 and ts < date '2024-01-10')")
-    return tables.feed_health(e.select(F.concat("event_type", F.lit("-"), F.col("user_id") % 3).alias("feed"), F.to_date("ts").alias("Date")), AS_OF)
+    """Each user's events as a feed."""
+    e = panel.table(spark, sf_dir, "events")
+    return tables.feed_health(e.select(panel.symbol("user_id").alias("feed"), F.to_date("ts").alias("Date")), AS_OF)
 
 
 @register("hold_horizon")

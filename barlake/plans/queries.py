@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barlake import panel
 from barlake.operators import alphas, scoring, signals, validation
 from barlake.plans import sql
+from barlake.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -45,8 +46,19 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = panel.benchmark(b)
     df = signals.signals(b, bench).join(panel.master(spark, sf_dir), "Symbol", "left")
     df = scoring.etf_quality_join(df, panel.etf_quality(spark, sf_dir))
-    df = df.join(signals.market_regime(bench), "Date", "left").withColumn("Score_Consistency_4W", F.lit(50.0))
-    return scoring.official_rank(scoring.official_score(df))
+    df = df.join(signals.market_regime(bench), "Date", "left")
+    return scoring.official_rank(scoring.scored_with_consistency(df))
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is used more than once: lineage and plan end there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scores_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(all_scores(spark, sf_dir), "scores")
 
 
 def _signal_query(name: str, *columns: str, exact: tuple[str, ...] = ()) -> None:
@@ -125,7 +137,8 @@ def rank_changes(spark, sf_dir):
 @register("risk_flags", f"""with {sql.SCORES}, f as (select *, list_filter([case when lower(Opportunity_Eligible) = 'no' then 'Parking/debt ETF - excluded from opportunity ranking' end, case when not Absolute_Momentum_Pass then 'Absolute momentum filter failed' end,
   case when Volatility_20D > (case when etf then 0.70 else 0.60 end) then 'High volatility' end, case when Current_Drawdown_60D < -0.20 then 'High drawdown' end, case when Zero_Volume_Days_60D >= 5 then 'Illiquid/zero-volume days' end,
   case when not Above_20DMA and not Above_50DMA then 'Weak trend' end, case when RSI_14 > 75 then 'Overbought RSI' end, case when etf and abs(NAV_Premium_Discount) > 0.02 then 'High NAV premium/discount' end,
-  case when etf and (NAV is null or AUM_Cr is null or TER is null) then 'ETF quality data incomplete' end], lambda x: x is not null) as fl from scores)
+  case when etf and (NAV is null or AUM_Cr is null or TER is null or (Tracking_Error is null and Tracking_Difference is null)) then 'ETF quality data incomplete' end,
+  case when etf and NAV is not null and AUM_Cr is not null and TER is not null and Tracking_Error is null and Tracking_Difference is not null then 'ETF tracking error unavailable; using tracking difference' end], lambda x: x is not null) as fl from scores)
 select Symbol, Date, case when len(fl) = 0 then 'Clean' else array_to_string(fl, '; ') end as Risk_Flag from f""")
 def risk_flags(spark, sf_dir):
     return scoring.labels(all_scores(spark, sf_dir)).select("Symbol", "Date", "Risk_Flag")
@@ -239,7 +252,7 @@ _SUMMARY = ("Gap_Days", "Overlap_Factor", "Effective_Dates", "Avg_Spread", "Medi
 
 
 def _summary(spark, sf_dir):
-    s = _spreads(spark, sf_dir)
+    s = table(_spreads(spark, sf_dir), "spreads")
     return validation.spread_summary(s, validation.bootstrap_spread(s))
 
 

@@ -92,9 +92,26 @@ def _threshold(x: str, good: str, up: bool) -> str:
 
 
 _CLIP = "least(greatest({}, 0.0::double), 100.0::double)"
+
+
+def _final(consistency: str) -> str:
+    blend = f"""case when etf then 0.42 * Opportunity_Score + 0.25 * Safety_Score + 0.18 * ETF_Quality_Score + 0.05 * {consistency} + 0.10 * Market_Regime_Score
+  else 0.50 * Opportunity_Score + 0.35 * Safety_Score + 0.05 * {consistency} + 0.10 * Market_Regime_Score end"""
+    return _CLIP.format(f"case when Absolute_Momentum_Pass then {blend} else least({blend}, 64.9::double) end")
+
+
+def _blend(consistency: str) -> str:
+    return _CLIP.format(f"{_final(consistency)} * Confidence_Score / 10")
+
+
+def _consistency(score: str) -> str:
+    w = "over (partition by Symbol order by Date range between interval 28 day preceding and interval 1 day preceding)"
+    return f"coalesce(least(greatest(avg({score}) {w} - 1.5 * coalesce(stddev_samp({score}) {w}, 0), 0.0::double), 100.0::double), 50.0)"
+
+
 SCORES = f"""{SIGNALS}, {REGIME}, {MASTER},
 c0 as (select s.*, m.Name, m.Universe, m.Universe_Group, m.Sector, m.Opportunity_Eligible, q.AUM_Cr, q.TER, q.Tracking_Error, q.Tracking_Difference, q.Mapping_Status, s.Price * (1 + q.NAV_Gap) as NAV,
-  s.Price / nullif(s.Price * (1 + q.NAV_Gap), 0) - 1 as NAV_Premium_Discount, g.Market_Regime, g.Market_Regime_Score, lower(m.Universe) = 'etf' as etf, 50.0::double as Score_Consistency_4W
+  s.Price / nullif(s.Price * (1 + q.NAV_Gap), 0) - 1 as NAV_Premium_Discount, g.Market_Regime, g.Market_Regime_Score, lower(m.Universe) = 'etf' as etf
   from signals s left join master m using (Symbol) left join quality q using (Symbol) left join regime g using (Date)),
 c1 as (select *, coalesce(Return_21D, -999) >= 0 and coalesce(Return_5D, -999) >= -0.02 and (Above_20DMA or Above_50DMA) as Absolute_Momentum_Pass,
   0.25 * coalesce(Return_5D, 0) + 0.45 * coalesce(Return_21D, 0) + 0.30 * coalesce(Return_63D, 0) as Momentum_Raw,
@@ -110,10 +127,9 @@ c3 as (select *, {_CLIP.format('0.40 * Momentum_Score + 0.35 * Trend_Score + 0.2
     + (case when etf and Tracking_Error is null and Tracking_Difference is null then 1.0 else 0 end) + (case when etf and Tracking_Error is null and Tracking_Difference is not null then 0.25 else 0 end)
     + (case when etf and coalesce(Mapping_Status, '') in ('Review', 'Missing', '') then 1.5 else 0 end) + (case when Market_Regime = 'Risk-Off' then 1.0 else 0 end) + (case when RSI_14 > 75 then 1.0 else 0 end)), 1.0::double), 10.0::double) as Confidence_Score from c2),
 c4 as (select *, {_CLIP.format('0.70 * Risk_Score + 0.30 * Liquidity_Score')} as Safety_Score from c3),
-c5 as (select *, case when etf then 0.42 * Opportunity_Score + 0.25 * Safety_Score + 0.18 * ETF_Quality_Score + 0.05 * Score_Consistency_4W + 0.10 * Market_Regime_Score
-  else 0.50 * Opportunity_Score + 0.35 * Safety_Score + 0.05 * Score_Consistency_4W + 0.10 * Market_Regime_Score end as blend from c4),
-c6 as (select *, {_CLIP.format('case when Absolute_Momentum_Pass then blend else least(blend, 64.9::double) end')} as Final_Score from c5),
-c7 as (select *, {_CLIP.format('Final_Score * Confidence_Score / 10')} as Confidence_Adjusted_Score from c6),
+c5 as (select *, {_blend('50.0::double')} as first_score from c4),
+c6 as (select *, {_consistency('first_score')} as Score_Consistency_4W from c5),
+c7 as (select *, {_final('Score_Consistency_4W')} as Final_Score, {_blend('Score_Consistency_4W')} as Confidence_Adjusted_Score from c6),
 c8 as (select *, round(Confidence_Adjusted_Score, 10) as cas10, lower(trim(Opportunity_Eligible)) = 'yes' as elig from c7),
 scores as (select *, row_number() over (partition by Date order by cas10 desc nulls last, Symbol) as Rank, row_number() over (partition by Date, Universe_Group order by cas10 desc nulls last, Symbol) as Group_Rank,
   case when elig then row_number() over (partition by Date, elig order by cas10 desc nulls last, Symbol) end as Opportunity_Rank, row_number() over (partition by Date order by round(Final_Score, 10) desc nulls last, Symbol) as Raw_Score_Rank from c8)"""
@@ -136,7 +152,7 @@ sp0 as (select Signal_Date, Horizon_Days, avg(Net_Forward_Return) as All_Avg, av
 spreads as (select *, Top_Quintile - Bottom_Quintile as TopMinusBottom, Top10 - All_Avg as Top10MinusAll, Top25 - All_Avg as Top25MinusAll from sp0)"""
 BOOT = f"""{SPREADS},
 vals as (select Horizon_Days, TopMinusBottom as v, row_number() over (partition by Horizon_Days order by Signal_Date) - 1 as i, count(*) over (partition by Horizon_Days) as n from spreads where TopMinusBottom is not null),
-draws as (select Horizon_Days, b, ('0x' || substr(md5(b || '-' || i || '-' || (42 + Horizon_Days)), 1, 8))::bigint % n as j from vals cross join (select unnest(range(200)) as b) where n >= 2),
+draws as (select Horizon_Days, b, ('0x' || substr(md5(b || '-' || i || '-' || (42 + Horizon_Days)), 1, 8))::bigint % n as j from vals cross join (select unnest(range(2000)) as b) where n >= 2),
 means as (select d.Horizon_Days, d.b, avg(v.v) as m from draws d join vals v on d.Horizon_Days = v.Horizon_Days and d.j = v.i group by 1, 2),
 boot as (select Horizon_Days, avg(m) as Boot_Mean, quantile_cont(m, 0.05) as Boot_P5, quantile_cont(m, 0.95) as Boot_P95, avg(case when m > 0 then 1.0::double else 0.0 end) as Boot_Prob_Positive from means group by 1)"""
 SUMMARY = f"""{BOOT},

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from barlake import panel
 from barlake.operators import scoring, tradeplan, validation
 from barlake.plans import sql
-from barlake.plans.queries import all_scores, r4, register
-from barlake.sources.shared import shared_path
+from barlake.plans.queries import all_scores, r4, register, table
 
 _ATR = f"""{sql.SCORES}, ta as (select *, case when ATR_14 > 0 then ATR_14 when Volatility_20D > 0 then Price * greatest(0.015::double, least(Volatility_20D / sqrt(252.0), 0.05::double)) else Price * 0.02 end as Plan_ATR,
   case when ATR_14 > 0 then 'ATR-based' when Volatility_20D > 0 then 'ATR missing; volatility fallback' else 'ATR missing; 2 pct price fallback' end as ATR_Basis from scores where Price > 0)"""
@@ -40,21 +39,14 @@ def planned(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
     return tradeplan.trade_plan(scoring.labels(scored).crossJoin(F.broadcast(own)), F.col("Verdict"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, where the plan ends: the driver cannot hold the plan of the whole chain."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def verdicts(spark, sf_dir, scored: DataFrame) -> DataFrame:
     matured = validation.mature_signals(scored, panel.bars(spark, sf_dir))
-    spreads = _written(validation.spread_by_date(validation.assign_buckets(matured)), "spreads")
+    spreads = table(validation.spread_by_date(validation.assign_buckets(matured)), "spreads")
     return validation.verdict(validation.bayes_shrink(validation.spread_summary(spreads, validation.bootstrap_spread(spreads))))
 
 
 @register("trade_plan")
 def trade_plan(spark, sf_dir):
-    scored = _written(all_scores(spark, sf_dir), "scores")
+    scored = table(all_scores(spark, sf_dir), "scores")
     plan = planned(scored, verdicts(spark, sf_dir, scored))
     return plan.select("Symbol", "Date", *r4("Stop", "Target_1", "Target_2", "Target_1_Pct", "Reward_Risk"), "Trade_Status")

@@ -42,11 +42,11 @@ def recent_window(bars: DataFrame, days: int) -> DataFrame:
     return bars.join(F.broadcast(last), F.col("Date") >= F.date_sub("_last", days)).drop("_last")
 
 
-def business_day_gaps(dates: DataFrame) -> DataFrame:
-    """(Date): weekdays between the first and last date that the table lacks."""
-    span = dates.agg(F.min("Date").alias("a"), F.max("Date").alias("b")).where("a is not null")
-    every = span.select(F.explode(F.sequence("a", "b")).alias("Date")).where(F.weekday("Date") < 5)
-    return every.join(dates.select("Date").distinct().hint("shuffle_hash"), "Date", "left_anti")
+def business_day_gaps(dates: DataFrame, *keys: str) -> DataFrame:
+    """(keys, Date): weekdays between the first and last date of each key that the table lacks. A null date counts for nothing."""
+    span = dates.where("Date is not null").groupBy(*keys).agg(F.min("Date").alias("a"), F.max("Date").alias("b")).where("a is not null")
+    every = span.select(*keys, F.explode(F.sequence("a", "b")).alias("Date")).where(F.weekday("Date") < 5)
+    return every.join(dates.select(*keys, "Date").distinct().hint("shuffle_hash"), [*keys, "Date"], "left_anti")
 
 
 def feed_health(feeds: DataFrame, as_of: str) -> DataFrame:
