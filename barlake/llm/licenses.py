@@ -1,9 +1,9 @@
 """License scans by ordered signature rules, with DataFrame functions alone.
 
-Texts are normalised to lower-case words with one space between and around. A name's keyword is looked for before any
-of its rules: a name of a license in the wordings in which texts refer to it, from an SPDX tag down to the bare name.
-Detections are intervals of characters. In order of start, end and priority, one that lies within an earlier one of at
-least its priority is suppressed; the labels of the others are the text's licenses.
+Texts are normalised to lower-case words with one space between and around. A rule's keyword is looked for before the
+rule itself; license_rules has the rules, from tags and sentences of license texts down to bare names.
+Detections are intervals of characters. One that lies within another of at least its priority is suppressed (of equal
+intervals and priorities the first label stays); the labels of the others are the text's licenses.
 """
 
 from __future__ import annotations
@@ -11,68 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.license_rules import RULES
 from barlake.llm.native import bind
 
 #: Phrases of the contract and their labels. Fixed values.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: (label, keyword, pattern of the name in normalised words), a license each.
-NAMES = (
-    ("mit", " mit ", "(?:mit|mit x11|x11 mit) licen[cs]e"),
-    ("mit", "identifier mit ", "licen[cs]e identifier mit"),
-    ("apache-2", "apache", "apache(?: software)?(?: licen[cs]e)?(?: version)? v?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: licen[cs]e)?(?: version)? v?1 1"),
-    ("apache", "apache", "apache(?: software)? licen[cs]e"),
-    ("gpl-2", " gpl", "gpl(?: version)? ?v?2(?: 0)?"),
-    ("gpl-3", " gpl", "gpl(?: version)? ?v?3(?: 0)?"),
-    ("gpl-2", "general public", "(?:gnu )?general public licen[cs]e(?: version)? v?2(?: 0)?"),
-    ("gpl-3", "general public", "(?:gnu )?general public licen[cs]e(?: version)? v?3(?: 0)?"),
-    ("gpl", "general public", "(?:gnu )?general public licen[cs]e"),
-    ("lgpl-2.1", "lgpl", "lgpl(?: version)? ?v?2(?: 1)?"),
-    ("lgpl-3", "lgpl", "lgpl(?: version)? ?v?3(?: 0)?"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public licen[cs]e(?: version \\d(?: \\d)?)?"),
-    ("agpl-3", "agpl", "agpl(?: version)? ?v?3(?: 0)?"),
-    ("agpl-3", "affero", "(?:gnu )?affero general public licen[cs]e(?: version 3)?"),
-    ("mpl-2", "mozilla", "mozilla public licen[cs]e(?: version)? v?2(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[cs]e(?: version)? v?1 1"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?"),
-    ("bsd-3", "bsd", "(?:new bsd|bsd 3 clause|3 clause bsd|three clause bsd|modified bsd)(?: licen[cs]e)?"),
-    ("bsd", "bsd", "bsd licen[cs]e"),
-    ("isc", " isc ", "isc licen[cs]e"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-sa", "cc by", "cc by nc sa(?: \\d(?: \\d)?)?"),
-    ("cc-by-nc-nd", "cc by", "cc by nc nd(?: \\d(?: \\d)?)?"),
-    ("cc-by-nc", "cc by", "cc by nc(?: \\d(?: \\d)?)?"),
-    ("cc-by-sa", "cc by", "cc by sa(?: \\d(?: \\d)?)?"),
-    ("cc-by-nd", "cc by", "cc by nd(?: \\d(?: \\d)?)?"),
-    ("cc-by", "cc by", "cc by(?: \\d(?: \\d)?)?"),
-    ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial(?: \\d(?: \\d)?)?"),
-    ("cc-by-sa", "creative commons", "creative commons attribution share ?alike(?: \\d(?: \\d)?)?"),
-    ("cc-by", "creative commons", "creative commons attribution(?: \\d(?: \\d)?)?"),
-    ("epl", "eclipse", "eclipse public licen[cs]e(?: version)?(?: v?\\d(?: \\d)?)?"),
-    ("eupl", "european union", "european union public licen[cs]e"),
-    ("artistic", "artistic", "artistic licen[cs]e(?: \\d(?: \\d)?)?"),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"),
-    ("boost", "boost", "boost software licen[cs]e(?: version)?(?: \\d(?: \\d)?)?"),
-    ("ofl", "open font", "(?:sil )?open font licen[cs]e(?: version)?(?: \\d(?: \\d)?)?"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("odbl", "open database", "open database licen[cs]e"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-    ("public-domain", "public domain", "public domain"),
-)
-#: (priority, wording around a name): the more it says, the higher.
-WORDINGS = (
-    (100, "spdx licen[cs]e identifier {}"),
-    (90, "licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{}"),
-    (88, "released under (?:the )?(?:terms of (?:the )?)?{}"),
-    (88, "distributed under (?:the )?(?:terms of (?:the )?)?{}"),
-    (86, "available under (?:the )?(?:terms of (?:the )?)?{}"),
-    (86, "subject to (?:the )?(?:terms of (?:the )?)?{}"),
-    (80, "under (?:the )?(?:terms of (?:the )?)?{}"),
-    (70, "licen[cs]e {}"),
-    (50, "{}"),
-)
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,13 +35,18 @@ def _edge(pattern: str) -> str:
 
 
 def rules() -> list[tuple[str, list[tuple[str, str, int]]]]:
-    """(keyword, [(label, regular expression, priority)]), in the order of NAMES."""
+    """(keyword, [(label, regular expression, priority)]), in the order of RULES."""
     found: dict[str, list[tuple[str, str, int]]] = {}
-    for label, keyword, name in NAMES:
-        found.setdefault(keyword, []).extend((label, _edge(wording.format(name)), priority) for priority, wording in WORDINGS)
+    for line in RULES.strip().splitlines():
+        label, priority, keyword, pattern = line.split(" | ")
+        found.setdefault(f" {keyword} " if len(keyword) < 5 else keyword, []).append((label, _edge(f"(?:{pattern})"), int(priority)))
     return list(found.items())
 
 
+#: All priorities, in order.
+LEVELS = sorted({int(line.split(" | ")[1]) for line in RULES.strip().splitlines()})
+
+
 def _places(norm: Column, m: int):
     """(places, first, last) of a phrase of m words by the parts of the text between its places."""
 
@@ -143,21 +92,19 @@ def _detections(norm: Column) -> Column:
 
 
 def _resolved(ordered: Column) -> Column:
-    """(labels, score): what is left after suppression. Only the reach and priority of the last cover are carried along."""
-    start = F.struct(F.lit(-1).alias("e"), F.lit(0).alias("p"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
+    """(labels, score): what is left after suppression.
+
+    Detections come by start, then from long to short, so one is within an earlier one if that ends no sooner. For each level the
+    furthest end of the detections of at least that priority is carried along; that is all that a later one needs.
+    """
+    start = F.struct(F.array(*(F.lit(-1) for _ in LEVELS)).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
+    levels = F.array(*map(F.lit, LEVELS))
 
     def step(a: Column, d: Column) -> Column:
         e, p = -d["minus_e"], -d["minus_p"]
-        hidden = (e <= a["e"]) & (p <= a["p"])
-        further = e > a["e"]
-        return F.when(hidden, a).otherwise(
-            F.struct(
-                F.when(further, e).otherwise(a["e"]).alias("e"),
-                F.when(further, p).otherwise(a["p"]).alias("p"),
-                F.array_union(a["labels"], F.array(d["label"])).alias("labels"),
-                F.greatest(a["best"], p).alias("best"),
-            )
-        )
+        hidden = F.element_at(a["ends"], F.array_position(levels, p).cast("int")) >= e
+        ends = F.zip_with(a["ends"], levels, lambda end, level: F.when(level <= p, F.greatest(end, e)).otherwise(end))
+        return F.when(hidden, a).otherwise(F.struct(ends.alias("ends"), F.array_union(a["labels"], F.array(d["label"])).alias("labels"), F.greatest(a["best"], p).alias("best")))
 
     return F.aggregate(ordered, start, step, lambda a: F.struct(a["labels"].alias("labels"), (a["best"] / 100.0).cast("double").alias("score")))
 

@@ -94,14 +94,41 @@ def test_licenses_match_plain_python(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def detected(text):
+    """All places of all rules, found with re, and what is left of them by comparing every pair."""
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or ""))
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) + " "
+    every = [(m.start(), m.end(), p, label) for keyword, rs in licenses.rules() if keyword in norm for label, regex, p in rs for m in re.finditer(regex, norm)]
+    every = sorted(set(every), key=lambda d: (d[0], -d[1], -d[2], d[3]))
+    left = [d for i, d in enumerate(every) if not any(o[0] <= d[0] and o[1] >= d[1] and o[2] >= d[2] for o in every[:i])]
+    return {d[3] for d in left}, max((d[2] for d in left), default=0) / 100
+
+
+def test_detections_match_brute_force(spark):
+    """Texts put together from the rules' own words, so that detections overlap, nest and repeat in all ways."""
+    rnd = random.Random(11)
+    plain = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??|\[(.).?\]|\?|\\S\+|\{.*?\}", lambda m: (m[1] or m[2] or ""), line.split(" | ")[3]) for line in licenses.RULES.strip().splitlines()]
+    bits = [p for p in plain if re.fullmatch("[a-z0-9 ]+", p)] + ["the", "license", "mit", "x"]
+    texts = [rnd.choice([" ", ", "]).join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9))) for _ in range(250)]
+    texts += ["MIT licensed under the MIT License apache license version 2 0", "cc by nc sa 4 0 cc by nc", "public domain " * 3000]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, score = detected(t)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == labels | base, t
+        assert abs(got[i].score - max(score, 0.5 if base else 0.0)) < 1e-9, t
+
+
 def test_contained_detections_are_suppressed(spark):
     cases = {
         "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc,cc-by-nc-sa",  # the base phrase stays
-        "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3",
         "SPDX-License-Identifier: MIT": "mit",
         "er geht mit uns": "",
         "BSD 3-Clause License and Apache License": "apache,bsd-3",
+        "Neither the name of the Foo Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3",
     }
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
-    assert sum(len(r) for _, r in licenses.rules()) >= 200
+    rules = [r for _, rs in licenses.rules() for r in rs]
+    assert len(rules) == len(set(rules)) >= 200
