@@ -90,3 +90,23 @@ def delivery_momentum(overlay: DataFrame, column: str = "Delivery_Pct") -> DataF
     df = overlay.where(x.isNotNull())
     value = F.when(F.count(x).over(rows(20)) >= 20, F.avg(x).over(rows(5)) - F.avg(x).over(rows(20)))
     return df.withColumn("value", value).select("Symbol", "Date", "value")
+
+
+def register_pandas_alpha(name: str, family: str, function) -> None:
+    """A factor from a pandas function of one symbol's bars in order of date (a series of the same length); run by pandas_alpha."""
+    PANDAS[name] = (family, function)
+
+
+#: name -> (family, function of a symbol's frame). The way for what columns cannot express.
+PANDAS: dict[str, tuple] = {}
+
+
+def pandas_alpha(bars: DataFrame, name: str) -> DataFrame:
+    """(Date, Symbol, value) of a registered pandas factor; a symbol's bars are one group."""
+    function = PANDAS[name][1]
+
+    def run(frame):
+        frame = frame.sort_values("Date")
+        return frame[["Date", "Symbol"]].assign(value=function(frame).astype(float))
+
+    return bars.groupBy("Symbol").applyInPandas(run, "Date date, Symbol string, value double").where("value is not null and not isnan(value)")

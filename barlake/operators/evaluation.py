@@ -50,3 +50,126 @@ def promote_alphas(report: DataFrame) -> DataFrame:
     good = report.where((F.abs("mean_ic") >= LEAST_IC) & (F.abs("t_stat") >= LEAST_T))
     best = Window.partitionBy("alpha").orderBy(F.round(F.abs("mean_ic"), 10).desc(), F.round(F.abs("t_stat"), 10).desc(), "horizon")
     return good.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+
+
+def eval_dates(bars: DataFrame, lookback: int = 250, most: int = 20) -> DataFrame:
+    """(Date): of the last `lookback` sessions every max(1, n // 20)th, the last `most` of these."""
+    last = calendar(bars).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where(F.col("idx") > F.col("n") - lookback)
+    i = F.col("idx") - 1 - F.greatest(F.col("n") - lookback, F.lit(0))
+    size = F.least(F.col("n"), F.lit(lookback))
+    step = F.greatest(F.lit(1), F.floor(size / most)).cast("long")
+    chosen = last.where(i % step == 0)
+    return chosen.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("Date").desc()))).where(F.col("_k") <= most).select("Date")
+
+
+def residual_ic(panel: DataFrame, forward: DataFrame, candidate: str, survivors: tuple[str, str], horizon: int, least: int = 8) -> DataFrame:
+    """(Date, ic, n): rank correlation of forward returns with what two surviving factors and a constant leave of the candidate (Date, Symbol, alpha, value).
+
+    A missing survivor counts as 0. The regression on two factors is solved from the date's sums; where the factors do not tell apart, or nothing is left, ic is 0.
+    """
+    a, b = survivors
+    wide = panel.where(F.col("alpha").isin(candidate, a, b)).groupBy("Date", "Symbol").agg(*(F.max(F.when(F.col("alpha") == k, F.col("value"))).alias(n) for k, n in ((candidate, "y"), (a, "x1"), (b, "x2"))))
+    df = wide.where("y is not null").na.fill(0.0, ["x1", "x2"]).join(forward.where(F.col("horizon") == horizon).select("Date", "Symbol", "fwd").hint("shuffle_merge"), ["Date", "Symbol"]).where("fwd is not null")
+    w = Window.partitionBy("Date")
+    c = lambda p, q: F.covar_pop(p, q).over(w)
+    df = df.withColumns({"_n": F.count(F.lit(1)).over(w), "s11": c("x1", "x1"), "s22": c("x2", "x2"), "s12": c("x1", "x2"), "s1": c("x1", "y"), "s2": c("x2", "y"), "_y": F.avg("y").over(w), "_x1": F.avg("x1").over(w), "_x2": F.avg("x2").over(w)})
+    det = F.col("s11") * F.col("s22") - F.col("s12") ** 2
+    good = det > 1e-12 * F.col("s11") * F.col("s22")
+    b1 = F.when(good, (F.col("s1") * F.col("s22") - F.col("s2") * F.col("s12")) / det).otherwise(0.0)
+    b2 = F.when(good, (F.col("s2") * F.col("s11") - F.col("s1") * F.col("s12")) / det).otherwise(0.0)
+    df = df.where(F.col("_n") >= least).withColumn("res", F.col("y") - F.col("_y") - b1 * (F.col("x1") - F.col("_x1")) - b2 * (F.col("x2") - F.col("_x2")))
+    ranked = df.withColumns({"ra": average_rank(F.col("res"), "Date"), "rf": average_rank(F.col("fwd"), "Date")})
+    return ranked.groupBy("Date").agg(F.coalesce(correlation("ra", "rf"), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"))
+
+
+def promotion_log(report: DataFrame, residual: DataFrame, least: float = 0.015, signed: bool = True) -> DataFrame:
+    """(alpha, horizon, Decision, Reason): promoted where the factor passes its own gate and its mean residual IC (alpha, residual) the least; unsigned compares sizes."""
+    own = (F.abs("mean_ic") >= LEAST_IC) & (F.abs("t_stat") >= LEAST_T)
+    left = F.col("residual") if signed else F.abs("residual")
+    reason = F.when(~F.coalesce(own, F.lit(False)), "fails standalone gate").when(F.col("residual").isNull(), "no residual evidence").when(left < least, "adds nothing beyond survivors").otherwise("passes both gates")
+    return report.join(residual.hint("shuffle_hash"), "alpha", "left").select("alpha", "horizon", F.when(reason == "passes both gates", "promote").otherwise("reject").alias("Decision"), reason.alias("Reason"))
+
+
+def alpha_evidence_table(log: DataFrame, report: DataFrame, n: int = 20) -> DataFrame:
+    """(Place, alpha, horizon, Decision, mean_ic): promoted first, then by the size of the mean IC; the first n. A row a factor and horizon."""
+    both = report.join(log.hint("shuffle_hash"), ["alpha", "horizon"], "full")
+    order = Window.partitionBy(F.lit(1)).orderBy((F.coalesce("Decision", F.lit("")) == "promote").desc(), F.round(F.abs("mean_ic"), 8).desc_nulls_last(), "alpha", "horizon")
+    return both.withColumn("Place", F.row_number().over(order).cast("long")).where(F.col("Place") <= n).select("Place", "alpha", "horizon", "Decision", "mean_ic")
+
+
+def factor_turnover(panel: DataFrame) -> DataFrame:
+    """(alpha, Turnover): mean over dates of half the summed change of the factor's percentile weights from each symbol's date before."""
+    from barlake.functions.frames import percent_rank
+
+    p = panel.withColumn("p", percent_rank(F.col("value"), "Date", "alpha"))
+    p = p.withColumn("d", F.abs(F.col("p") - F.lag("p").over(Window.partitionBy("alpha", "Symbol").orderBy("Date"))))
+    return p.groupBy("alpha", "Date").agg(F.avg("d").alias("t")).groupBy("alpha").agg((F.avg("t") / 2).alias("Turnover"))
+
+
+def turnover_weights(report: DataFrame, turnover: DataFrame, baseline: float, penalty: float = 0.5) -> DataFrame:
+    """(alpha, Weight) from (alpha, mean_ic, Gated): gated factors share what the held ones leave by |IC| / (1 + penalty * turnover); others hold the baseline; weights add up to 1. A row a factor."""
+    w = Window.partitionBy(F.lit(1))
+    df = report.join(turnover.hint("shuffle_hash"), "alpha", "left").withColumn("_raw", F.when(F.col("Gated"), F.abs("mean_ic") / (1 + penalty * F.coalesce("Turnover", F.lit(0.0)))))
+    held = F.coalesce(F.sum(F.when(~F.col("Gated"), F.lit(baseline))).over(w), F.lit(0.0))
+    df = df.withColumn("_w", F.when(F.col("Gated"), F.col("_raw") / F.nullif(F.sum("_raw").over(w), F.lit(0.0)) * F.greatest(1 - held, F.lit(0.0))).otherwise(baseline))
+    return df.withColumn("Weight", F.col("_w") / F.nullif(F.sum("_w").over(w), F.lit(0.0))).select("alpha", "Weight")
+
+
+#: (regime, family, multiplier); others are 1. Fixed values.
+TILTS = (("RISK_OFF", "momentum", 0.5), ("RISK_OFF", "reversal", 2.0), ("RISK_OFF", "volatility", 2.0), ("RISK_ON", "momentum", 2.0), ("RISK_ON", "reversal", 0.75), ("RISK_ON", "volatility", 0.5))
+
+
+def regime_tilt(alphas: DataFrame, regimes: DataFrame) -> DataFrame:
+    """(Date, alpha, Regime, Multiplier) of factors (alpha, family) under each date's regime; labels are compared without case, - as _."""
+    regime = F.upper(F.translate("Regime", "-", "_"))
+    mult = F.lit(1.0)
+    for r, family, value in TILTS:
+        mult = F.when((F.col("Regime") == r) & (F.col("family") == family), value).otherwise(mult)
+    known = F.when(regime.isin("RISK_OFF", "RISK_ON"), regime).otherwise("NEUTRAL")
+    return regimes.select("Date", known.alias("Regime")).join(F.broadcast(alphas)).select("Date", "alpha", "Regime", mult.alias("Multiplier"))
+
+
+def adaptive_panel(panel: DataFrame, forward: DataFrame, names: tuple[str, ...], horizon: int) -> DataFrame:
+    """(Date, one column a factor, Fwd_Return): z-free percentiles of factors beside forward returns of one horizon; no symbol is kept."""
+    wide = panel.where(F.col("alpha").isin(*names)).groupBy("Date", "Symbol").agg(*(F.max(F.when(F.col("alpha") == k, F.col("value"))).alias(k) for k in names))
+    met = wide.join(forward.where(F.col("horizon") == horizon).select("Date", "Symbol", F.col("fwd").alias("Fwd_Return")).hint("shuffle_merge"), ["Date", "Symbol"])
+    return met.select("Date", *names, "Fwd_Return").dropna()
+
+
+def adaptive_weights(panel: DataFrame, baseline: dict[str, float], targets: DataFrame, horizon_days: int, verdict: str, ridge: float = 1.0, shrink: float = 0.20, step: float = 0.05, drift: float = 0.30, most_corr: float = 0.8) -> DataFrame:
+    """(Date, N, Weight_1 ... Weight_3, Dormant_Reason) for each target date: three factors' weights from a ridge regression on the rows known by then.
+
+    Sums of products over all rows up to `horizon_days` before the target come from one window over the dates' sums, so every target is fitted in one pass; the 3 x 3 system
+    is solved by Cramer's rule. A guard that does not hold leaves the baseline and names itself.
+    """
+    names = list(baseline)
+    if len(names) != 3 or "Symbol" in panel.columns:
+        raise ValueError("needs three factors and no symbol column")
+    x = [F.col(c) for c in names]
+    y = F.col("Fwd_Return")
+    terms = {"n": F.lit(1.0), **{f"s{i}": x[i] for i in range(3)}, **{f"s{i}{j}": x[i] * x[j] for i in range(3) for j in range(i, 3)}, **{f"b{i}": x[i] * y for i in range(3)}}
+    day = panel.groupBy("Date").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
+    at = targets.select(F.date_sub("Date", horizon_days).alias("_at"), F.col("Date").alias("_target"))
+    both = day.select(F.col("Date").alias("_at"), *terms, F.lit(0).alias("_t"), F.lit(None).cast("date").alias("_target")).unionByName(at.select("_at", *(F.lit(0.0).alias(k) for k in terms), F.lit(1).alias("_t"), "_target"))
+    upto = Window.partitionBy(F.lit(1)).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)  # a row a date
+    df = both.withColumns({k: F.sum(k).over(upto) for k in terms}).where("_t = 1")
+    c = F.col
+    m = [[c(f"s{min(i, j)}{max(i, j)}") + (ridge if i == j else 0.0) for j in range(3)] for i in range(3)]
+    b = [c(f"b{i}") for i in range(3)]
+    det3 = lambda a: a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
+    d = F.nullif(det3(m), F.lit(0.0))
+    imp = {f"i{k}": F.abs(det3([[b[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) / d) for k in range(3)}
+    rows = F.nullif(c("n"), F.lit(0.0))
+    var = lambda i, j: c(f"s{i}{j}") / rows - c(f"s{i}") / rows * c(f"s{j}") / rows
+    corr = F.greatest(*(F.coalesce(F.abs(var(i, j)) / F.nullif(F.sqrt(F.greatest(var(i, i) * var(j, j), F.lit(0.0))), F.lit(0.0)), F.lit(0.0)) for i, j in ((0, 1), (0, 2), (1, 2))))
+    df = df.withColumns({**imp, "corr": corr})
+    total = F.nullif(c("i0") + c("i1") + c("i2"), F.lit(0.0))
+    base = [float(v) for v in baseline.values()]
+    df = df.withColumns({f"f{k}": c(f"i{k}") / total for k in range(3)})
+    far = sum((F.abs(c(f"f{k}") - base[k]) for k in range(3)), F.lit(0.0))
+    why = F.when(F.lit(verdict != "Validation Positive"), f"validation verdict='{verdict}'").when(c("n") < 9, "too few clean rows").when(F.round(c("corr"), 8) > most_corr, "alpha collinearity").when(c("f0").isNull(), "zero-signal coefficients").when(F.round(far, 8) > drift, "total drift exceeds cap")
+    df = df.withColumn("Dormant_Reason", why)
+    df = df.withColumns({f"w{k}": base[k] + F.least(F.greatest(shrink * (c(f"f{k}") - base[k]), F.lit(-step)), F.lit(step)) for k in range(3)})
+    whole = c("w0") + c("w1") + c("w2")
+    out = [F.when(c("Dormant_Reason").isNull(), c(f"w{k}") / whole).otherwise(base[k]).alias(f"Weight_{k + 1}") for k in range(3)]
+    return df.select(c("_target").alias("Date"), c("n").cast("long").alias("N"), *out, "Dormant_Reason")

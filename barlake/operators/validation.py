@@ -174,3 +174,25 @@ def verdict(shrunk: DataFrame, gates: dict = GATES) -> DataFrame:
     df = shrunk.withColumn("Verdict", out)
     grade = F.when(F.col("Verdict").startswith("Insufficient"), "Insufficient Evidence").when(F.col("Verdict") == "Validation Positive", F.when((eff >= 20) & (t >= 2.0), "Strong Evidence").otherwise("Moderate Evidence")).otherwise("Weak or Negative Evidence")
     return df.withColumn("Evidence_Grade", grade)
+
+
+def validation_detail(forward: DataFrame, history: DataFrame) -> DataFrame:
+    """Forward returns (Symbol, Signal_Date) with the score history (Symbol, Date) of schema 2 and eligible symbols."""
+    rows = history.where((F.coalesce("Schema_Version", F.lit(1)) >= 2) & (F.lower(F.trim("Opportunity_Eligible")) == "yes"))
+    return forward.join(rows.withColumnRenamed("Date", "Signal_Date").hint("shuffle_merge"), ["Symbol", "Signal_Date"])
+
+
+def validation_diagnosis(matured: DataFrame) -> DataFrame:
+    """By horizon: signal dates, those with a matured return, their span, symbols that never matured, and rows with a reason instead of a return."""
+    known = F.col("Net_Forward_Return").isNotNull()
+    return matured.groupBy("Horizon_Days").agg(
+        F.count_distinct("Signal_Date").alias("Dates"), F.count_distinct(F.when(known, F.col("Signal_Date"))).alias("Matured_Dates"), F.min("Signal_Date").alias("First_Date"), F.max("Signal_Date").alias("Last_Date"),
+        (F.count_distinct("Symbol") - F.count_distinct(F.when(known, F.col("Symbol")))).alias("Symbols_Lost"), F.count("Reason").alias("Unmatured"),
+    )
+
+
+def evidence_fallback(detail: DataFrame) -> DataFrame:
+    """(Horizon_Days, Dates, Median_Gap): the median return of the best quintile less that of the worst, where there is no verdict."""
+    net = F.col("Net_Forward_Return")
+    median = lambda q: F.percentile(F.when(F.col("Score_Quintile") == q, net), 0.5)
+    return detail.groupBy("Horizon_Days").agg(F.count_distinct("Signal_Date").alias("Dates"), (median(5) - median(1)).alias("Median_Gap"))
