@@ -126,3 +126,47 @@ def candidate_filter(df: DataFrame, text: str = "", universe: str = "", bucket:
     if flagged is not None:
         df = df.where((F.col("Risk_Flag") != "Clean") == flagged)
     return df
+
+
+def shadow_gate(checks: DataFrame, streak: int = 8, observations: int = 6) -> DataFrame:
+    """(State, Failed) of each row (Verdict, Leads, Positives, Observations, Veto): green where all five checks hold, red where the verdict is negative, else amber."""
+    failed = F.concat_ws(
+        "; ", F.when(F.coalesce("Verdict", F.lit("")) != "Validation Positive", "official verdict is not Validation Positive"), F.when(F.coalesce("Leads", F.lit(0)) < streak, "too few consecutive shadow leads"),
+        F.when(F.coalesce("Positives", F.lit(0)) < streak, "too few consecutive positive verdicts"), F.when(F.coalesce("Observations", F.lit(0)) < observations, "too few matured observations"), F.when(F.coalesce("Veto", F.lit(0)) > 0, "shadow list holds vetoed names"),
+    )
+    state = F.when(failed == "", "green").when(F.col("Verdict") == "Validation Negative", "red").otherwise("amber")
+    return checks.withColumns({"State": state, "Failed": failed})
+
+
+def card_join(top: DataFrame, context: DataFrame, horizon: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Cards: each date's top rows (Date, Symbol, Place) with sector (Symbol), best horizon (Symbol) and benchmark (Date)."""
+    return top.join(context.hint("shuffle_hash"), "Symbol", "left").join(horizon.hint("shuffle_hash"), "Symbol", "left").join(benchmark.hint("shuffle_hash"), "Date", "left")
+
+
+def evidence_rows(cards: DataFrame, *others: DataFrame) -> DataFrame:
+    """(Date, Symbol, Evidence): all columns of the cards and of further tables by Symbol, as one JSON text a pick."""
+    for df in others:
+        cards = cards.join(df.hint("shuffle_hash"), "Symbol", "left")
+    return cards.select("Date", "Symbol", F.to_json(F.struct(*sorted(c for c in cards.columns if c not in ("Date", "Symbol")))).alias("Evidence"))
+
+
+def review_queue(events: DataFrame, flagged: DataFrame, moves: DataFrame, feeds: DataFrame, n: int = 20) -> DataFrame:
+    """(Place, Kind, Item): events inside the holding window, flagged picks, rank moves of 10 or more, feeds that are not green; the first n in that order. A short list."""
+    parts = (
+        events.where("Event_Risk = 'In_Window'").select(F.lit(1).alias("k"), F.lit("event").alias("Kind"), F.col("Symbol").alias("Item")), flagged.where("Risk_Flag != 'Clean'").select(F.lit(2).alias("k"), F.lit("flag").alias("Kind"), F.col("Symbol").alias("Item")),
+        moves.where("abs(Rank_Change) >= 10").select(F.lit(3).alias("k"), F.lit("move").alias("Kind"), F.col("Symbol").alias("Item")), feeds.where("Status != 'green'").select(F.lit(4).alias("k"), F.lit("feed").alias("Kind"), F.col("feed").alias("Item")),
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    top = out.distinct().orderBy("k", "Item").limit(n)
+    return top.withColumn("Place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", "Item")).cast("long")).select("Place", "Kind", "Item")
+
+
+def news_candidates(scores: DataFrame, entries: DataFrame, movers: DataFrame, flags: DataFrame, cap: int = 30) -> DataFrame:
+    """(Date, Symbol, Why, Place): symbols to read news of at each date: the first 15, new ones of the first 20, gainers by 5 or more ranks, new risk flags; each once, by its first reason; `cap` a date."""
+    part = lambda df, k, why: df.select("Date", "Symbol", F.lit(k).alias("k"), F.lit(why).alias("Why"))
+    every = part(scores.where("Opportunity_Rank <= 15"), 1, "top-15").unionByName(part(entries.where("Change = 'entry'"), 2, "new top-20")).unionByName(part(movers.where("Side = 'gainer' and Move >= 5"), 3, "gainer")).unionByName(part(flags.where("Change = 'new'"), 4, "new risk flag"))
+    first = every.groupBy("Date", "Symbol").agg(F.min(F.struct("k", "Why")).alias("m")).select("Date", "Symbol", "m.k", "m.Why")
+    place = F.row_number().over(Window.partitionBy("Date").orderBy("k", "Symbol")).cast("long")
+    return first.withColumn("Place", place).where(F.col("Place") <= cap).select("Date", "Symbol", "Why", "Place")
