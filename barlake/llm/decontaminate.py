@@ -5,8 +5,8 @@ against itself gives its threshold; impacts are divided by it, so that every ite
 numbered, and a term's postings are cut into blocks of BLOCK item numbers, each with its greatest impact.
 
 All passages of a slice are evaluated together, a step at a time. Pivot: a passage's terms are put in order of their greatest
-impact; those whose greatest impacts add up to less than 1 cannot make a result alone, so only terms from the pivot on
-open blocks. Block maxima: a passage and block go on only if the opened block maxima and what lies before the pivot can
+impact; those whose greatest impacts add up to less than PIVOT lie before the pivot (at 1 they could not make a result
+alone; a lower pivot opens a few more blocks and leaves far fewer items to score), and only the others open blocks. Block maxima: a passage and block go on only if the opened block maxima and what lies before the pivot can
 reach 1; the other blocks are skipped with all their postings. The postings of what is left are added up by item under the
 same bound, and items that can still reach 1 are scored in full. All above the threshold are then verified by word
 n-grams shared with the item's question and with its answer.
@@ -33,6 +33,8 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 NGRAM = 3
 K1, B = 1.2, 0.75
+#: What the greatest impacts before a passage's pivot add up to at most.
+PIVOT = 0.4
 #: Item numbers of a block of postings.
 BLOCK = 32
 #: Words of items that an index has, about: 8 bytes a word and 16 a posting are broadcast. More items are searched for in further passes.
@@ -166,12 +168,16 @@ def _spread(head: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(at)), n), np.repeat(head[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _summed(value: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sum of their values."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    head = _heads(*keys)
-    return *(k[head] for k in keys), np.add.reduceat(value[order], head) if len(head) else value[:0]
+def _summed(value: np.ndarray, key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `size`, in order, and the sums of their values: counted into an array where that is small, else sorted."""
+    if size <= 4 * len(key) + 1024:
+        total = np.bincount(key, weights=value, minlength=size)
+        some = np.flatnonzero(total)
+        return some, total[some]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = _heads(key)
+    return key[head], np.add.reduceat(value[order], head) if len(head) else value[:0]
 
 
 #: What sums of floating-point numbers may be off by.
@@ -184,28 +190,31 @@ def candidates(index: Index, p: np.ndarray, slot: np.ndarray) -> tuple[np.ndarra
     order = np.lexsort((most, p))
     p, slot, most = p[order], slot[order], most[order]
     head = _heads(p)
+    if not len(head):
+        return p, p
     upto = np.cumsum(most)
     size = np.diff(np.append(head, len(p)))
     upto -= np.repeat(upto[head] - most[head], size)
-    opens = upto >= 1 - _EPS
-    first = np.flatnonzero(opens & np.append(True, (p[1:] != p[:-1]) | ~opens[:-1])) if len(p) else head
-    if not len(first):
-        return p[:0], p[:0]
-    passage, before = p[first], upto[first] - most[first]  # what lies before each passage's pivot
-    p, slot = p[opens], slot[opens]
+    enough = np.repeat(upto[head + size - 1] >= 1 - _EPS, size)  # all terms of the passage together
+    opens = enough & (upto >= PIVOT)
+    first = np.flatnonzero(opens & np.append(True, (p[1:] != p[:-1]) | ~opens[:-1]))
+    low = int(p[0])
+    before = np.zeros(int(p[-1]) - low + 1)  # what lies before each passage's pivot
+    before[p[first] - low] = upto[first] - most[first]
+    p, slot = p[opens] - low, slot[opens]
     which, entry = _spread(index.block_head, slot)
-    q, block, bound = _summed(index.block_most[entry], p[which], index.block[entry])
-    live = bound + before[np.searchsorted(passage, q)] >= 1 - _EPS
-    key = lambda a, b: a * (len(index.ids) // BLOCK + 1) + b
-    open_blocks = key(q[live], block[live])
-    asked = key(p[which], index.block[entry])
-    at = np.minimum(np.searchsorted(open_blocks, asked), max(len(open_blocks) - 1, 0))
-    kept = open_blocks[at] == asked if len(open_blocks) else np.zeros(len(asked), bool)
+    blocks = len(index.ids) // BLOCK + 1
+    key = p[which] * blocks + index.block[entry]
+    found, bound = _summed(index.block_most[entry], key, len(before) * blocks)
+    live = np.zeros(len(before) * blocks, dtype=bool)
+    live[found[bound + before[found // blocks] >= 1 - _EPS]] = True
+    kept = live[key]
     which, entry = which[kept], entry[kept]
     mine, posting = _spread(index.posting_head, entry)
-    q, item, bound = _summed(index.impact[posting], p[which][mine], index.item[posting])
-    live = bound + before[np.searchsorted(passage, q)] >= 1 - _EPS
-    return q[live], item[live]
+    n = len(index.ids)
+    found, bound = _summed(index.impact[posting], p[which][mine] * n + index.item[posting], len(before) * n)
+    found = found[bound + before[found // n] >= 1 - _EPS]
+    return found // n + low, found % n
 
 
 def scored(index: Index, p: np.ndarray, item: np.ndarray, stands: np.ndarray) -> np.ndarray:
