@@ -121,7 +121,10 @@ def position_sizing(picks: DataFrame, sigma: DataFrame, most: float = 0.30, nav:
 
 
 def equal_risk(cov: np.ndarray, most: float = 0.30, rounds: int = 50, gap: float = 1e-6) -> np.ndarray:
-    """Weights of about equal risk contributions, by a fixed-point iteration that is cut at `most` and scaled to one in each round."""
+    """Weights of about equal risk contributions, by the reference's fixed-point iteration, cut at `most` and scaled to one in each round.
+
+    As there, the iteration is not damped: where volatilities differ much it may alternate between two solutions, and the last round's counts.
+    """
     n = len(cov)
     w = np.full(n, 1 / n)
     for _ in range(rounds if n > 1 else 0):
