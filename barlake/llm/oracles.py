@@ -63,5 +63,17 @@ z as (select y.doc_id, y.source, y.size, least(whole + (case when budget > 0 and
 select x.doc_id, x.size, x.source_size, x.target, (x.size * coalesce(z.copies, 0))::bigint as taken from x left join z on x.doc_id = z.doc_id"""
 
 
+HARD_NEGATIVES = """
+with e as (select vec_id, label::bigint as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+r as (select row_number() over (order by vec_id) as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, v from e),
+a as (select vec_id, label, v from r where vec_id % 50 = 0 qualify row_number() over (partition by vec_id order by label, v) = 1),
+s as (select a.vec_id as anchor_id, n, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score from a join r on a.vec_id != r.vec_id and len(a.v) = len(r.v)),
+p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as slot from s where same qualify slot <= 5),
+h as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by anchor_id, slot order by s.score desc, s.vec_id) as rank
+  from p join s using (anchor_id) where not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score qualify rank <= 3)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op6_line_chunks": LINES, "op7_url_filter": URLS, "op8_mixture": MIXTURE}
+    return {"op1_cover_tree": TOP_K, "op5_substring_dedup": SUBSTRINGS, "op6_line_chunks": LINES, "op7_url_filter": URLS, "op8_mixture": MIXTURE, "op12_hard_negatives": HARD_NEGATIVES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bagminhash, decontaminate, langid, licenses, line_chunks, mixture, quality, recompress, topk, urls
+from barlake.llm import bagminhash, decontaminate, langid, licenses, line_chunks, mixture, multi_index, negatives, quality, recompress, topk, urls, whitening
 from barlake.llm.oracles import oracle_sql as oracle_sql
 from barlake.llm.tables import documents
 
@@ -61,6 +61,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("detections")
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(multi_index.usable(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.labelled(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.usable(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_cover_tree, op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality, op10_license_scan)
+    found = (op1_cover_tree, op2_bagminhash, op3_language_id, op4_decontamination, op5_substring_dedup, op6_line_chunks, op7_url_filter, op8_mixture, op9_quality, op10_license_scan, op11_multi_index, op12_hard_negatives, op13_whitening)
     return {f.__name__: f for f in found}
