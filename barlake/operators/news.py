@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www., and the path without a slash at its end; query and fragment go."""
-    rest = F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    """Scheme (https where there is none), host in lower case without www., and the path without a slash at its end; query and fragment go, an empty URL stays empty."""
+    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    rest = F.regexp_replace(F.trim(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), r"^www\.", "")
-    return F.concat(host, F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", ""))
+    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", "")
+    return F.when(F.trim(url) == "", "").otherwise(F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit("://"), host, path))
 
 
 def normalize_title(title: Column) -> Column:
@@ -36,7 +38,7 @@ def recency(days: Column) -> Column:
     return F.when(days.isNull(), "Unknown_Date").when(days <= 7, "0-7d").when(days <= 30, "8-30d").when(days <= 90, "31-90d").otherwise("90d+")
 
 
-#: (event, pattern over lower-case text), the first that fits; else General. Fixed values.
+#: (event, pattern over lower-case text), the first that fits; else OTHER. Fixed values.
 EVENTS = (
     ("Results/Earnings", r"\b(q[1-4]|quarter(ly)?|earnings|results|profit|revenue|ebitda|topline|bottomline|net profit)\b"),
     ("Corporate Action", r"\b(dividend|bonus|split|record date|buyback|buy-back|rights issue|ex-dividend)\b"),
@@ -49,13 +51,12 @@ EVENTS = (
     ("Product/Operational", r"\b(launch|unveils|commission(ed|ing)?|plant|capacity expansion|new facility|production)\b"),
     ("Analyst/Broker Opinion", r"\b(target price|price target|upgrade|downgrade|initiate coverage|analyst|brokerage|jefferies|morgan stanley|citi|nomura|kotak|motilal|hsbc|goldman)\b"),
 )
-#: Words of a company's name that do not tell it apart. Fixed values.
-LEGAL = r"\b(limited|ltd|private|pvt|inc|corp|corporation|company|co|plc|llc)\b"
+OTHER = "General Company News"
 
 
 def classify_event(text: Column) -> Column:
     low = F.lower(text)
-    out = F.lit("General")
+    out = F.lit(OTHER)
     for label, pattern in reversed(EVENTS):
         out = F.when(low.rlike(pattern), label).otherwise(out)
     return out
@@ -68,75 +69,6 @@ def cluster_key(symbol: Column, filing: Column, url: Column, title: Column) -> C
     return F.when(F.coalesce(address, F.lit("")) != "", F.concat_ws("::", F.lit("u"), symbol, kind, address)).otherwise(F.concat_ws("::", F.lit("t"), symbol, kind, normalize_title(title)))
 
 
-def build_aliases(master: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(Symbol, Aliases): symbol, name, the name without legal words where two distinctive tokens are left, and overrides (Symbol, Alias); distinct, in lower case."""
-    short = F.trim(F.regexp_replace(F.regexp_replace(F.lower("Name"), LEGAL, " "), " +", " "))
-    own = F.when(F.size(title_tokens(short)) >= 2, short)
-    extra = overrides.groupBy("Symbol").agg(F.sort_array(F.collect_set(F.lower("Alias"))).alias("_x"))
-    met = master.select("Symbol", F.array_compact(F.array(F.lower("Symbol"), F.lower("Name"), own)).alias("_a")).join(extra.hint("shuffle_hash"), "Symbol", "left")
-    return met.select("Symbol", F.array_distinct(F.concat("_a", F.coalesce("_x", F.array().cast("array<string>")))).alias("Aliases"))
-
-
-def relevance(stories: DataFrame, aliases: DataFrame, least: int = 2) -> DataFrame:
-    """(id, Symbol, Reason) of stories (id, title) and aliases (Symbol, Name): the symbol stands as a word, the whole name as a phrase, or `least` distinctive tokens (4 letters or more) of the name stand.
-
-    Words meet symbols and name tokens by equi-joins; phrases are looked for among pairs that share all tokens.
-    """
-    norm = stories.select("id", normalize_title(F.col("title")).alias("t"))
-    words = norm.select("id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    by_symbol = words.join(aliases.select("Symbol", F.lower("Symbol").alias("w")).hint("shuffle_hash"), "w").select("id", "Symbol", F.lit(1).alias("r"))
-    name = normalize_title(F.col("Name"))
-    tokens = F.filter(F.array_distinct(F.split(name, " ")), lambda x: F.length(x) >= 4)
-    each = aliases.select("Symbol", name.alias("n"), F.size(tokens).alias("k"), F.explode(tokens).alias("w"))
-    hits = words.join(each.hint("shuffle_hash"), "w").groupBy("id", "Symbol", "n", "t").agg(F.count(F.lit(1)).alias("hits"))
-    by_name = hits.where(F.col("hits") >= least).select("id", "Symbol", F.when(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "n", F.lit(" "))), 2).otherwise(3).alias("r"))
-    best = by_symbol.unionByName(by_name).groupBy("id", "Symbol").agg(F.min("r").alias("r"))
-    return best.select("id", "Symbol", F.element_at(F.array(F.lit("symbol"), F.lit("phrase"), F.lit("tokens")), F.col("r")).alias("Reason"))
-
-
-def news_pairs(stories: DataFrame, least: float = 0.9) -> DataFrame:
-    """(early, late): stories (id, Symbol, filing, url, title) of one symbol and kind with the same URL, the same title, or token sets whose Jaccard similarity reaches `least`.
-
-    Token sets that similar share one of each set's rarest tokens, those beyond `least` of its size: only on these they are joined.
-    """
-    s = stories.select("id", F.concat_ws("|", "Symbol", F.col("filing").cast("string")).alias("g"), canonical_url(F.col("url")).alias("u"), normalize_title(F.col("title")).alias("t"), title_tokens(F.col("title")).alias("tokens"))
-    pair = lambda a, b: (F.col(f"{a}.id") < F.col(f"{b}.id"), F.col(f"{a}.id").alias("early"), F.col(f"{b}.id").alias("late"))
-    earlier, early, late = pair("a", "b")
-    def same(c):
-        first = s.where(F.col(c) != "").groupBy("g", c).agg(F.min("id").alias("early"))  # copies meet their first alone
-        return s.join(first.hint("shuffle_hash"), ["g", c]).where("early < id").select("early", F.col("id").alias("late"))
-    each = s.select("id", "g", "tokens", F.explode("tokens").alias("w"))
-    rare = each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = each.join(rare.hint("shuffle_hash"), ["g", "w"], "left").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "w")))
-    n = F.size("tokens")
-    prefix = listed.where((F.col("k") <= n - F.ceil(n * least) + 1) & F.col("df").isNotNull()).select("g", "w", "id", "tokens")
-    met = prefix.alias("a").join(prefix.alias("b").hint("shuffle_merge"), ["g", "w"]).where(earlier)
-    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    close = both >= least * (F.size("a.tokens") + F.size("b.tokens") - both) - 1e-9
-    return same("u").unionByName(same("t")).unionByName(met.where(close).select(early, late)).distinct()
-
-
-def news_dedup(stories: DataFrame, keep, rounds: int = 50) -> DataFrame:
-    """(id, leader) of stories: each joins the first earlier story that leads and matches it, else leads itself.
-
-    In each round stories without an undecided earlier match become leaders and take their later matches. keep(df, name) writes a table and returns it.
-    Copies by URL or title are matched with their first alone, so a story whose first copy does not lead is led by what its other matches allow.
-    """
-    pairs = keep(news_pairs(stories), "news_pairs")
-    state = keep(stories.select("id").distinct().withColumn("leader", F.lit(None).cast("long")), "news_state")
-    for _ in range(rounds):
-        open_ = state.where("leader is null").select("id")
-        if open_.isEmpty():
-            return state
-        waiting = pairs.join(open_.withColumnRenamed("id", "early").hint("shuffle_hash"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
-        new = open_.join(waiting.hint("shuffle_hash"), "id", "left_anti")
-        led = pairs.join(state.where("leader = id").select(F.col("id").alias("early")).unionByName(new.select(F.col("id").alias("early"))).hint("shuffle_hash"), "early", "left_semi").groupBy(F.col("late").alias("id")).agg(F.min("early").alias("by"))
-        step = state.join(led.hint("shuffle_hash"), "id", "left").join(new.withColumn("free", F.lit(True)).hint("shuffle_hash"), "id", "left")
-        decided = F.coalesce("leader", F.when(F.col("free"), F.coalesce("by", "id")))
-        state = keep(step.select("id", decided.alias("leader")), "news_state")
-    raise RuntimeError(f"stories did not settle in {rounds} rounds")
-
-
 def news_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows (Cluster_Key, First_Seen, other columns): new non-null values over old ones, the oldest First_Seen."""
     rest = [c for c in old.columns if c not in ("Cluster_Key", "First_Seen")]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlake import panel
-from barlake.operators import news
+from barlake.operators import clusters, news
+from barlake.operators import relevance as rel
 from barlake.plans import sql
-from barlake.plans.more import LEXICON, _REST, _TITLE
+from barlake.plans.more import CANON, LEXICON, _TITLE
 from barlake.plans.queries import r4, register, table
 
 AS_OF = "2024-06-01"
-_CANON = f"regexp_replace(lower(regexp_extract({_REST}, '^([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1), '/+$', '')"
 NEWS = f"""nw as (select doc_id as id, source as Symbol, doc_id % 5 = 0 as filing, case when doc_id % 3 = 0 then url end as url, text as title, case when doc_id % 7 != 0 then date '{AS_OF}' - (doc_id % 700)::int end as Published from documents left join pages on page_id = doc_id % (select count(*) from pages))"""
 
 
@@ -26,7 +26,7 @@ def stories(spark, sf_dir):
 
 def _event(text: str) -> str:
     quoted = ((label, pattern.replace("'", "''")) for label, pattern in news.EVENTS)
-    return "case " + " ".join(f"when regexp_matches(lower({text}), '{p}') then '{label}'" for label, p in quoted) + " else 'General' end"
+    return "case " + " ".join(f"when regexp_matches(lower({text}), '{p}') then '{label}'" for label, p in quoted) + f" else '{news.OTHER}' end"
 
 
 @register("classify_event", f"select item_id, {_event('text')} as Event from benchmark")
@@ -40,7 +40,7 @@ def title_tokens(spark, sf_dir):
     return panel.table(spark, sf_dir, "benchmark").select("item_id", F.size(t).cast("long").alias("n"), F.array_join(F.array_sort(t), " ").alias("tokens"))
 
 
-@register("cluster_key", f"with {NEWS} select id, case when coalesce({_CANON}, '') != '' then concat_ws('::', 'u', Symbol, case when filing then 'f' else 'm' end, {_CANON}) else concat_ws('::', 't', Symbol, case when filing then 'f' else 'm' end, {_TITLE.format('title')}) end as Cluster_Key from nw")
+@register("cluster_key", f"with {NEWS} select id, case when coalesce({CANON}, '') != '' then concat_ws('::', 'u', Symbol, case when filing then 'f' else 'm' end, {CANON}) else concat_ws('::', 't', Symbol, case when filing then 'f' else 'm' end, {_TITLE.format('title')}) end as Cluster_Key from nw")
 def cluster_key(spark, sf_dir):
     return stories(spark, sf_dir).select("id", news.cluster_key(F.col("Symbol"), F.col("filing"), F.col("url"), F.col("title")).alias("Cluster_Key"))
 
@@ -59,10 +59,10 @@ def news_prune(spark, sf_dir):
     return news.news_prune(stories(spark, sf_dir), AS_OF).select("id")
 
 
-@register("news_filter", f"with {NEWS} select id from nw where {_event('title')} = 'General' and {_BIN} = '31-90d' and not filing")
+@register("news_filter", f"with {NEWS} select id from nw where {_event('title')} = '{news.OTHER}' and {_BIN} = '31-90d' and not filing")
 def news_filter(spark, sf_dir):
     s = stories(spark, sf_dir).withColumn("Event", news.classify_event(F.col("title")))
-    return news.news_filter(s, AS_OF, "General", "31-90d", False).select("id")
+    return news.news_filter(s, AS_OF, news.OTHER, "31-90d", False).select("id")
 
 
 @register("news_summary", f"with {NEWS} select Symbol, count(*) as Stories, count(*) filter (filing) as Filings, arg_min({_event('title')}, id) as First_Event, min({_AGE}) as Min_Age from nw group by 1")
@@ -116,34 +116,72 @@ def sentiment_veto(spark, sf_dir):
     return news.sentiment_veto(s).select("Symbol", "Headlines", *r4("Neg_Share"))
 
 
-_AL = "al as (select 'C' || c_custkey as Symbol, c_name || case when c_custkey % 2 = 0 then ' Trading Limited' else ' Ltd' end as Name from customer)"
-_SHORT = "trim(regexp_replace(regexp_replace(lower(Name), '" + news.LEGAL + "', ' ', 'g'), ' +', ' ', 'g'))"
+_AL = "al as (select p_partkey, 'P' || p_partkey as Symbol, string_split(p_name, ' ')[-1] || ' unit' || p_partkey || case p_partkey % 4 when 0 then ' Limited' when 1 then ' Industries Ltd.' when 2 then ' Bank' else '' end as Name from part)"
+#: Aliases of the overrides: some of one word, some generic, some shared by many.
+_EXTRA = "x as (select 'P' || p_partkey as Symbol, list_sort(list_distinct(['Alias ' || p_partkey, 'maker' || (p_partkey // 7), 'Bank', p_brand || ' No. ' || p_partkey])) as x from part where p_partkey % 3 = 0)"
+_WORDS = "list_filter(string_split(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w != '')"
+_GENERIC = ", ".join(f"'{w}'" for w in rel.GENERIC)
+_DISTINCT = "list_filter({}, lambda w: length(w) >= 4 and not list_contains([" + _GENERIC + "], w))"
+_ALIASES = f"""{_AL}, {_EXTRA}, sh as (select Symbol, Name, trim(regexp_replace(regexp_replace(Name, '(?i){rel.LEGAL}', ' ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')) as s from al),
+own as (select Symbol, list_filter([Symbol, trim(Name), case when s != '' and lower(s) != lower(trim(Name)) and (len({_DISTINCT.format(_WORDS.format('s'))}) >= 2 or (len(string_split(s, ' ')) = 1 and not list_contains([{_GENERIC}], lower(s)))) then s end], lambda a: a is not null and a != '') as o from sh),
+ea as (select Symbol, unnest(list_concat(o, coalesce(x, []))) as alias, generate_subscripts(list_concat(o, coalesce(x, [])), 1) as i from own left join x using (Symbol)),
+aliases as (select Symbol, alias, row_number() over (partition by Symbol order by i) - 1 as rank from (select *, row_number() over (partition by Symbol, lower(alias) order by i) as copy from ea) where copy = 1)"""
 
 
-def _names(spark, sf_dir):
-    c, k = panel.table(spark, sf_dir, "customer"), F.col("c_custkey")
-    return c.select(k, F.concat(F.lit("C"), k).alias("Symbol"), F.concat("c_name", F.when(k % 2 == 0, " Trading Limited").otherwise(" Ltd")).alias("Name"))
+def _candidates(spark, sf_dir):
+    """(Symbol, Aliases) of the parts by name, number and a suffix, a third with overrides."""
+    p, k = panel.table(spark, sf_dir, "part"), F.col("p_partkey")
+    end = F.when(k % 4 == 0, " Limited").when(k % 4 == 1, " Industries Ltd.").when(k % 4 == 2, " Bank").otherwise("")
+    master = p.select(F.concat(F.lit("P"), k).alias("Symbol"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(" unit"), k, end).alias("Name"))
+    extra = F.explode(F.array(F.concat(F.lit("Alias "), k), F.concat(F.lit("maker"), F.floor(k / 7).cast("long")), F.lit("Bank"), F.concat("p_brand", F.lit(" No. "), k)))
+    return rel.build_aliases(master, p.where("p_partkey % 3 = 0").select(F.concat(F.lit("P"), k).alias("Symbol"), extra.alias("Alias")))
 
 
-@register("build_aliases", f"with {_AL}, x as (select 'C' || c_custkey as Symbol, list_sort(['alias ' || c_custkey, lower(c_mktsegment)]) as x from customer where c_custkey % 3 = 0), t as (select Symbol, Name, {_SHORT} as s from al), a as (select Symbol, list_filter([lower(Symbol), lower(Name), case when len(list_distinct(list_filter(string_split({_TITLE.format('s')}, ' '), lambda w: length(w) > 2))) >= 2 then s end], lambda v: v is not null) as a from t) select Symbol, array_to_string(list_concat(a, coalesce(x, [])), '|') as Aliases from a left join x using (Symbol)")
+@register("build_aliases", f"with {_ALIASES} select Symbol, string_agg(alias, '|' order by rank) as Aliases from aliases group by 1")
 def build_aliases(spark, sf_dir):
-    c = panel.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
-    extra = c.select(F.concat(F.lit("C"), "c_custkey").alias("Symbol"), F.explode(F.array(F.concat(F.lit("Alias "), "c_custkey"), "c_mktsegment")).alias("Alias"))
-    return news.build_aliases(_names(spark, sf_dir), extra).select("Symbol", F.array_join("Aliases", "|").alias("Aliases"))
+    return _candidates(spark, sf_dir).select("Symbol", F.array_join("Aliases", "|").alias("Aliases"))
 
 
-_STORY = "st as (select c_custkey as id, case c_custkey % 4 when 0 then 'about c' || (c_custkey + 1) || ' today' when 1 then 'the ' || c_name || ' Ltd. rises' when 2 then 'Trading up: ' || c_name else 'nothing' end as title from customer)"
-_TOK4 = f"list_filter(list_distinct(string_split({_TITLE.format('Name')}, ' ')), lambda x: length(x) >= 4)"
+_STORY = """st as (select c_custkey as id, c_custkey % 7 = 6 as filing, case when c_custkey % 2 = 0 then ' p' || c_custkey else 'P' || (c_custkey + 1) end as filing_symbol,
+  case c_custkey % 7 when 0 then 'about p' || (c_custkey + 1) || ' today' when 1 then 'The ' || Name || ' rises' when 2 then 'Up: ' || array_to_string(list_reverse(string_split(Name, ' ')), ' ') when 3 then replace(Name, ' ', ', ') || '?'
+  when 4 then 'Orders for maker' || c_custkey || '_x and Maker' || (c_custkey // 7) when 5 then 'Alias ' || c_custkey || chr(9) || ' ' || c_mktsegment || ' of ' || upper(Name) else 'P' || c_custkey end as title from customer left join al on c_custkey = p_partkey)"""
 
 
-@register("relevance", f"""with {_AL}, {_STORY}, n as (select id, {_TITLE.format('title')} as t from st), w as (select id, t, unnest(list_distinct(string_split(t, ' '))) as w from n), a as (select Symbol, {_TITLE.format('Name')} as n, unnest({_TOK4}) as w from al),
-r as (select id, Symbol, 1 as r from w join al on lower(Symbol) = w union all select id, Symbol, case when contains(' ' || t || ' ', ' ' || n || ' ') then 2 else 3 end from w join a using (w) group by id, Symbol, t, n having count(*) >= 2) select id, Symbol, (['symbol', 'phrase', 'tokens'])[min(r)] as Reason from r group by 1, 2""")
-def relevance(spark, sf_dir):
+def _stories(spark, sf_dir):
+    """Titles that hold symbols, names in order, reversed or parted by commas, aliases of one word, and filings."""
     k = F.col("c_custkey")
-    title = F.when(k % 4 == 0, F.concat(F.lit("about c"), k + 1, F.lit(" today"))).when(k % 4 == 1, F.concat(F.lit("the "), "c_name", F.lit(" Ltd. rises"))).when(k % 4 == 2, F.concat(F.lit("Trading up: "), "c_name")).otherwise("nothing")
-    return news.relevance(panel.table(spark, sf_dir, "customer").select(k.alias("id"), title.alias("title")), _names(spark, sf_dir).select("Symbol", "Name"))
+    p = panel.table(spark, sf_dir, "part")
+    q = F.col("p_partkey")
+    end = F.when(q % 4 == 0, " Limited").when(q % 4 == 1, " Industries Ltd.").when(q % 4 == 2, " Bank").otherwise("")
+    named = p.select(q.alias("c_custkey"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(" unit"), q, end).alias("Name"))
+    c = panel.table(spark, sf_dir, "customer").join(named.hint("merge"), "c_custkey", "left")
+    lit, kind = F.lit, k % 7
+    title = F.when(kind == 0, F.concat(lit("about p"), k + 1, lit(" today"))).when(kind == 1, F.concat(lit("The "), "Name", lit(" rises"))).when(kind == 2, F.concat(lit("Up: "), F.array_join(F.reverse(F.split("Name", " ")), " ")))
+    title = title.when(kind == 3, F.concat(F.replace("Name", lit(" "), lit(", ")), lit("?"))).when(kind == 4, F.concat(lit("Orders for maker"), k, lit("_x and Maker"), F.floor(k / 7).cast("long")))
+    title = title.when(kind == 5, F.concat(lit("Alias "), k, lit("\t "), "c_mktsegment", lit(" of "), F.upper("Name"))).otherwise(F.concat(lit("P"), k))
+    filed = F.when(k % 2 == 0, F.concat(lit(" p"), k)).otherwise(F.concat(lit("P"), k + 1))
+    return c.select(k.alias("id"), title.alias("title"), (kind == 6).alias("filing"), filed.alias("filing_symbol"))
+
+
+@register("relevance", f"""with {_ALIASES}, {_STORY},
+n as materialized (select *, ' ' || trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ; ', 'g'), '\\s+', ' ', 'g')) || ' ' as t from st),
+w as materialized (select Symbol, rank, ws, array_to_string(ws, ' ') as phrase, {_DISTINCT.format('ws')} as ds from (select *, {_WORDS.format('alias')} as ws from aliases where lower(alias) != lower(Symbol))),
+found as (select id, Symbol, -2 as rank, 'Official filing mapping' as reason from n join al on upper(trim(filing_symbol)) = upper(Symbol) where filing
+union all select id, Symbol, -1, 'Symbol match' from n join al on contains(t, ' ' || lower(Symbol) || ' ') where not filing
+union all select id, Symbol, rank, case when contains(t, ' ' || phrase || ' ') then 'Exact alias match' else 'Token alias match' end from n join w on
+  (contains(t, ' ' || phrase || ' ') and (len(ws) > 1 or len(ds) = 1)) or (len(ws) > 1 and len(list_filter(ds, lambda d: contains(t, ' ' || d || ' '))) >= 2) where not filing)
+select id, Symbol, arg_min(reason, rank) as Reason from found group by 1, 2""")
+def relevance(spark, sf_dir):
+    return rel.relevance(_stories(spark, sf_dir), _candidates(spark, sf_dir), table)
 
 
 @register("news_dedup")
 def news_dedup(spark, sf_dir):
-    return news.news_dedup(stories(spark, sf_dir), table)
+    return clusters.news_dedup(stories(spark, sf_dir), table)
+
+
+@register("news_clusters")
+def news_clusters(spark, sf_dir):
+    """Merged rows; a story's source is its page's host, and it is first seen some days after it was published."""
+    s = stories(spark, sf_dir).withColumn("Source", F.regexp_extract("url", "://([^/]*)", 1)).withColumn("First_Seen", F.date_add("Published", (F.col("id") % 11).cast("int")))
+    return clusters.merged(s, clusters.news_dedup(s, table)).select("leader", "id", "Symbol", "filing", "First_Seen", "Published", "All_Sources", "Duplicate_Count")

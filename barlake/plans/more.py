@@ -132,9 +132,11 @@ def trailing_streak(spark, sf_dir):
 
 _TITLE = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 _REST = "regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
+_SCHEME = "lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1))"
+CANON = f"case when trim(url) = '' then '' else case when {_SCHEME} = '' then 'https' else {_SCHEME} end || '://' || regexp_replace(lower(regexp_extract({_REST}, '^([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1), '/+$', '') end"
 
 
-@register("canonical_url", f"select page_id, regexp_replace(lower(regexp_extract({_REST}, '^([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1), '/+$', '') as canonical from pages")
+@register("canonical_url", f"select page_id, {CANON} as canonical from pages")
 def canonical_url(spark, sf_dir):
     return panel.table(spark, sf_dir, "pages").select("page_id", news.canonical_url(F.col("url")).alias("canonical"))
 

@@ -1,14 +1,11 @@
 """Baskets, weights and news against plain Python, where SQL cannot express them or cases are rare."""
 
 import datetime as dt
-import itertools
-import random
 
 import numpy as np
 import pytest
 
-from barlake.operators import alphas, backtest, evaluation, metadata, news
-from barlake.sources.shared import shared_path
+from barlake.operators import alphas, backtest, evaluation, metadata
 
 D = lambda d: dt.date(2024, 1, 1) + dt.timedelta(days=d)
 
@@ -70,33 +67,6 @@ def test_adaptive_weights_match_a_ridge_fit(spark):
         evaluation.adaptive_weights(panel.withColumnRenamed("c", "Symbol"), base, panel, 1, "")
 
 
-def test_news_dedup_matches_a_scan_in_order(spark):
-    rnd = random.Random(3)
-    base = [[f"w{rnd.randrange(400)}x" for _ in range(30)] for _ in range(6)]
-    rows = []
-    for i in range(90):
-        words = list(rnd.choice(base))
-        for _ in range(rnd.choice((0, 0, 1, 1, 2, 6))):
-            words[rnd.randrange(30)] = f"n{rnd.randrange(9999)}"
-        rows.append((i, rnd.choice("AB"), rnd.random() < 0.3, f"http://www.x.com/{rnd.randrange(60)}/" if rnd.random() < 0.3 else None, " ".join(words)))
-    keep = lambda df, name: (df.write.parquet(p := shared_path(spark, name)), spark.read.parquet(p))[1]
-    got = {r.id: r.leader for r in news.news_dedup(spark.createDataFrame(rows, "id long, Symbol string, filing boolean, url string, title string"), keep).collect()}
-    tokens = {r[0]: {w for w in r[4].split() if len(w) > 2} for r in rows}
-
-    def match(a, b):
-        if a[1:3] != b[1:3]:
-            return False
-        both = len(tokens[a[0]] & tokens[b[0]])
-        return (a[3] is not None and a[3] == b[3]) or a[4] == b[4] or both / len(tokens[a[0]] | tokens[b[0]]) >= 0.9
-
-    # pairs with the first copy by URL or title, and all that are close
-    near = {b[0]: [a[0] for a in rows[: b[0]] if match(a, b)] for b in rows}
-    assert all(got[i] == i or got[got[i]] == got[i] and got[i] in near[i] for i in got)
-    assert all(near[i] for i in got if got[i] != i) and all(got[i] == i for i in got if not near[i])
-    close = lambda a, b: a[1:3] == b[1:3] and len(tokens[a[0]] & tokens[b[0]]) / len(tokens[a[0]] | tokens[b[0]]) >= 0.9
-    assert all(got[b[0]] != b[0] or got[a[0]] != a[0] for a, b in itertools.combinations(rows, 2) if close(a, b))
-
-
 def test_pandas_alphas_are_registered_by_name(spark):
     bars = spark.createDataFrame([("A", D(d), float(d), float(d + 1)) for d in range(5)], "Symbol string, Date date, Open double, Close double")
     alphas.register_pandas_alpha("gap_size", "reversal", lambda f: f["Close"] - f["Open"])
