@@ -234,6 +234,10 @@ def _drawn_pairs(rest: DataFrame, turn: int) -> DataFrame:
     return outside.groupBy(F.col("doc_id").alias("u")).agg(F.min_by("drawn", F.xxhash64("drawn", F.lit(turn))).alias("v"))
 
 
+#: Pairs of documents that are counted at a time.
+_PAIRS = 1 << 21
+
+
 def _intersections(n: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Sizes of the multiset intersections of n bags, n x n (the diagonal is of no use).
 
@@ -247,15 +251,12 @@ def _intersections(n: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray)
     head = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(element)))
     out = np.zeros((n, n), np.float32)
-    for d in range(2, DENSE):
+    for d in np.unique(size[(size > 1) & (size < DENSE)]):
         docs = doc[head[size == d][:, None] + np.arange(d)]
-        for i in range(d):
-            for j in range(i + 1, d):
-                both = np.bincount(docs[:, i] * n + docs[:, j], minlength=n * n) if len(docs) > n else None
-                if both is None:
-                    np.add.at(out, (docs[:, i], docs[:, j]), 1)
-                else:
-                    out += both.reshape(n, n)
+        i, j = np.triu_indices(d, 1)
+        for k in range(0, len(docs), step := max(1, _PAIRS // len(i))):
+            some = docs[k : k + step]
+            out += np.bincount((some[:, i] * n + some[:, j]).ravel(), minlength=n * n).reshape(n, n)
     out += out.T
     dense = np.flatnonzero(size >= DENSE)
     for k in range(0, len(dense), 1024):
