@@ -13,8 +13,6 @@ CATEGORIES = (
     ("Bank/Financial ETF", ("BANK", "FINANCIAL", "PSU BANK")), ("IT ETF", ("IT", "TECH")), ("Pharma/Healthcare ETF", ("PHARMA", "HEALTH")), ("Auto ETF", ("AUTO",)), ("Consumption/FMCG ETF", ("CONSUM", "FMCG")),
     ("PSU/CPSE ETF", ("PSU", "CPSE")), ("Factor ETF", ("MOMENTUM", "QUALITY", "VALUE", "LOW VOL", "ALPHA")), ("Broad Market ETF", ("MIDCAP", "SMALLCAP", "NEXT 50", "NIFTY", "SENSEX")),
 )
-#: Words that say nothing about which fund a name means. Fixed values.
-STOP = ("etf", "fund", "the", "of", "and", "scheme", "plan", "growth", "exchange", "traded", "index", "mutual")
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -140,40 +138,6 @@ def dq_health_score(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("Rows"), F.round(100 * sum((there(c) * w for c, w in HEALTH.items()), F.lit(0.0)) / sum(HEALTH.values()), 1).alias("Health_Score"))
 
 
-def name_tokens(name: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " ")), " ")
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP)))
-
-
-def fuzzy_name_match(left: DataFrame, right: DataFrame, least: float = 0.62) -> DataFrame:
-    """(Symbol, Id, Score): for each name of `left` (Symbol, Name) the best of `right` (Id, Name) by 0.6 token overlap + 0.4 edit similarity.
-
-    Only names that share a word meet, by a join on words; the edit similarity is 1 - distance / longer length. Ties go to the smaller Id.
-    A word that very many names share makes many pairs; such words belong into STOP.
-    """
-    a = left.select("Symbol", F.lower("Name").alias("a"), name_tokens(F.col("Name")).alias("ta"))
-    b = right.select("Id", F.lower("Name").alias("b"), name_tokens(F.col("Name")).alias("tb"))
-    pairs = a.select("Symbol", F.explode("ta").alias("w")).join(b.select("Id", F.explode("tb").alias("w")).hint("shuffle_hash"), "w").groupBy("Symbol", "Id").agg(F.count(F.lit(1)).alias("n"))
-    met = pairs.join(a.hint("shuffle_hash"), "Symbol").join(b.hint("shuffle_hash"), "Id")
-    overlap = F.col("n") / F.greatest(F.size("ta"), F.size("tb"))
-    score = F.round(0.6 * overlap + 0.4 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))), 6)
-    best = met.withColumn("Score", score).where(F.col("Score") >= least).groupBy("Symbol").agg(F.max_by(F.struct("Id", "Score"), F.struct("Score", -F.col("Id"))).alias("m"))
-    return best.select("Symbol", "m.Id", "m.Score")
-
-
-def id_match_cascade(left: DataFrame, right: DataFrame, fuzzy: float = 0.62) -> DataFrame:
-    """(Symbol, Id, Method, Score): rows of `left` (Symbol, Code, ISIN, Name) meet `right` (Id, Symbol, Code, ISIN, Name) by symbol, then code, then ISIN; only what is left by name."""
-    rules = [("Symbol", 1), ("Code", 2), ("ISIN", 3)]
-    found = None
-    for key, order in rules:
-        r = right.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("Id").alias("Id"))
-        part = left.where(F.col(key).isNotNull()).select("Symbol", F.col(key).alias("_key")).join(r.hint("shuffle_hash"), "_key").select("Symbol", "Id", F.lit(f"Exact {key}").alias("Method"), F.lit(1.0).alias("Score"), F.lit(order).alias("_o"))
-        found = part if found is None else found.unionByName(part)
-    exact = found.groupBy("Symbol").agg(F.min(F.struct("_o", "Id", "Method", "Score")).alias("m")).select("Symbol", "m.Id", "m.Method", "m.Score")
-    rest = left.join(exact.select("Symbol").hint("shuffle_hash"), "Symbol", "left_anti")
-    return exact.unionByName(fuzzy_name_match(rest, right, fuzzy).select("Symbol", "Id", F.lit("Fuzzy").alias("Method"), "Score"))
-
-
 def coalesce_metadata(sources: DataFrame, manual: DataFrame, fields: list[str]) -> DataFrame:
     """A row a symbol: each field's value of the best source (Symbol, Source, Priority, fields) that has it, manual ones (Symbol, fields) first; Sources names all sources that gave any."""
     pick = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("Priority", "Source"))).alias(f"_{c}") for c in fields]

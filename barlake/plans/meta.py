@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlake import panel
-from barlake.operators import metadata
+from barlake.operators import metadata, names
 from barlake.plans import sql
-from barlake.plans.queries import r4, register
+from barlake.plans.queries import r4, register, table
 
 AS_OF = "2024-03-01"
 
@@ -139,19 +139,6 @@ def dq_health_score(spark, sf_dir):
     return metadata.dq_health_score(funds(spark, sf_dir))
 
 
-_STOP = ", ".join(f"'{w}'" for w in metadata.STOP)
-_TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w != '' and w not in (" + _STOP + ")))"
-
-
-def _fuzzy(left: str, right: str, name: str) -> str:
-    return f"""{name}a as (select Symbol, lower(Name) as a, {_TOK.format('Name')} as ta from {left}), {name}b as (select Id, lower(Name) as b, {_TOK.format('Name')} as tb from {right}),
-{name}p as (select Symbol, Id, round(0.6 * len(list_intersect(ta, tb)) / greatest(len(ta), len(tb)) + 0.4 * (1 - levenshtein(a, b) / greatest(length(a), length(b))), 6) as Score from {name}a join {name}b on len(list_intersect(ta, tb)) > 0),
-{name} as (select * from (select *, row_number() over (partition by Symbol order by Score desc, Id) as k from {name}p where Score >= 0.62) where k = 1)"""
-
-
-_NAMES = "lf as (select 'P' || p_partkey as Symbol, p_partkey::varchar as Code, null::varchar as ISIN, p_brand || ' ' || p_size || ' ETF' as Name from part), rt as (select p_partkey as Id, case when p_partkey % 3 = 0 then 'P' || p_partkey end as Symbol, case when p_partkey % 3 = 1 then p_partkey::varchar end as Code, null::varchar as ISIN, p_brand || '  ' || (p_size + p_partkey % 2) || ' Fund' as Name from part)"
-
-
 def _names(spark, sf_dir):
     p, k = panel.table(spark, sf_dir, "part"), F.col("p_partkey")
     none = F.lit(None).cast("string").alias("ISIN")
@@ -160,16 +147,15 @@ def _names(spark, sf_dir):
     return left, right
 
 
-@register("fuzzy_name_match", f"with {_NAMES}, {_fuzzy('lf', 'rt', 'fz')} select Symbol, Id, Score from fz")
+@register("fuzzy_name_match")
 def fuzzy_name_match(spark, sf_dir):
     left, right = _names(spark, sf_dir)
-    return metadata.fuzzy_name_match(left, right)
+    return names.fuzzy_name_match(left, right, table)
 
 
-@register("id_match_cascade", f"""with {_NAMES}, ex as (select l.Symbol, r.Id, 'Exact Symbol' as Method, 1 as o from lf l join rt r on l.Symbol = r.Symbol union all select l.Symbol, r.Id, 'Exact Code', 2 from lf l join rt r on l.Code = r.Code), e1 as (select * from (select *, row_number() over (partition by Symbol order by o, Id) as k from ex) where k = 1),
-rest as (select * from lf where Symbol not in (select Symbol from e1)), {_fuzzy('rest', 'rt', 'fz')} select Symbol, Id, Method, 1.0::double as Score from e1 union all select Symbol, Id, 'Fuzzy', Score from fz""")
+@register("id_match_cascade")
 def id_match_cascade(spark, sf_dir):
-    return metadata.id_match_cascade(*_names(spark, sf_dir))
+    return names.id_match_cascade(*_names(spark, sf_dir), table)
 
 
 def _sources(spark, sf_dir):
