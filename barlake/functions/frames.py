@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 def by_symbol() -> WindowSpec:
@@ -20,6 +20,34 @@ def rolling(agg: Column, x: Column, n: int, least: int) -> Column:
     return F.when(F.count(x).over(rows(n)) >= least, agg.over(rows(n)))
 
 
+def with_sums(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with running sums `_s<name>` and counts `_n<name>` of the columns within a symbol, from which frame_sum and frame_count take those of any frame.
+
+    A frame of n rows then costs two looks instead of n. Running sums of doubles carry rounding of the order of the whole history's sum.
+    """
+    until = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_x{k}": c for k, c in columns.items()})
+    return df.withColumns({f"_s{k}": F.sum(F.coalesce(F.col(f"_x{k}"), F.lit(0.0))).over(until) for k in columns} | {f"_n{k}": F.count(f"_x{k}").over(until) for k in columns}).drop(*(f"_x{k}" for k in columns))
+
+
+def _last(c: str, n: int) -> Column:
+    return F.col(c) - F.coalesce(F.lag(c, n).over(by_symbol()), F.lit(0))
+
+
+def frame_sum(name: str, n: int) -> Column:
+    return _last(f"_s{name}", n)
+
+
+def frame_count(name: str, n: int) -> Column:
+    return _last(f"_n{name}", n)
+
+
+def frame_mean(name: str, n: int, least: int) -> Column:
+    """Mean over the last n rows, null where fewer than `least` of them have a value."""
+    k = frame_count(name, n)
+    return F.when(k >= least, frame_sum(name, n) / k)
+
+
 def change(x: Column, n: int = 1) -> Column:
     """x against its value n rows earlier, as a fraction."""
     return x / F.nullif(F.lag(x, n).over(by_symbol()), F.lit(0.0)) - 1
@@ -38,14 +66,6 @@ def percent_rank(x: Column, *keys: str) -> Column:
     return average_rank(x, *keys) / F.count(F.round(x, 10)).over(Window.partitionBy(*keys))
 
 
-def percentile_score(x: Column, higher_is_better: bool, *keys: str) -> Column:
-    """0 to 100 by rank within `keys`: 100*pr, or 100-100*pr; 50 for nulls and where there is at most one value."""
-    p = percent_rank(x, *keys) * 100
-    p = p if higher_is_better else 100 - p
-    few = F.count(F.round(x, 10)).over(Window.partitionBy(*keys)) <= 1
-    return F.when(few | p.isNull(), 50.0).otherwise(clip(p, 0, 100))
-
-
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 

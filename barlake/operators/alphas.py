@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.frames import by_symbol, percent_rank, rows
+from barlake.functions.frames import by_symbol, rows
+from barlake.functions.ranks import Keep, ranked
 
 
 def prepared(bars: DataFrame) -> DataFrame:
@@ -66,10 +67,10 @@ def alpha_panel(bars: DataFrame, names=tuple(REGISTRY)) -> DataFrame:
     return wide.unpivot(["Date", "Symbol"], list(names), "alpha", "value").where("value is not null")
 
 
-def alpha_zoo(panel: DataFrame) -> DataFrame:
-    """(Date, Symbol, Zoo_Score, Zoo_Coverage): the mean percentile of a symbol's factors at a date, and how many it has."""
-    ranked = panel.withColumn("pr", percent_rank(F.col("value"), "Date", "alpha") * 100)
-    return ranked.groupBy("Date", "Symbol").agg(F.avg("pr").alias("Zoo_Score"), F.count("pr").alias("Zoo_Coverage"))
+def alpha_zoo(panel: DataFrame, keep: Keep) -> DataFrame:
+    """(Date, Symbol, Zoo_Score, Zoo_Coverage): the mean percentile of a symbol's factors at a date, and how many it has. keep(df, name) writes a table and returns it."""
+    shares = ranked(panel, ["Date", "alpha"], "value", keep).withColumn("pr", F.col("rank") / F.col("n") * 100)
+    return shares.groupBy("Date", "Symbol").agg(F.avg("pr").alias("Zoo_Score"), F.count("pr").alias("Zoo_Coverage"))
 
 
 def asof_overlay(signals: DataFrame, overlay: DataFrame, column: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.frames import clip, flag, percent_rank, percentile_score
+from barlake.functions.frames import clip, flag
+from barlake.functions.ranks import Keep, component_ranks, score, share
 
 #: Score weights by kind of instrument. Fixed values.
 STOCK_WEIGHTS = {"Opportunity_Score": 0.50, "Safety_Score": 0.35, "Score_Consistency_4W": 0.05, "Market_Regime_Score": 0.10}
@@ -32,22 +33,29 @@ def absolute_momentum() -> Column:
     return (F.coalesce("Return_21D", F.lit(-999.0)) >= PASS_21D) & (F.coalesce("Return_5D", F.lit(-999.0)) >= LEAST_5D) & above
 
 
-def threshold_score(x: Column, good: float, higher_is_better: bool) -> Column:
+def threshold_score(ranks: str, x: Column, good: float, higher_is_better: bool) -> Column:
     """Percentile score, raised to 75 where x meets its threshold."""
-    score = percentile_score(x, higher_is_better, "Date")
-    return F.when((x >= good) if higher_is_better else (x <= good), F.greatest(score, F.lit(75.0))).otherwise(score)
+    p = score(ranks, higher_is_better)
+    return F.when((x >= good) if higher_is_better else (x <= good), F.greatest(p, F.lit(75.0))).otherwise(p)
 
 
-def official_score(df: DataFrame) -> DataFrame:
+def official_score(df: DataFrame, keep: Keep) -> DataFrame:
     """Component scores, final and confidence-adjusted score of every symbol at every date.
 
-    Needs the signals, the instrument's columns, the fund columns, Market_Regime(_Score) and Score_Consistency_4W (null: 50).
+    Needs the signals, the instrument's columns, the fund columns, Market_Regime(_Score) and Score_Consistency_4W (null: 50). keep(df, name) writes a table and returns it.
     """
-    return final_score(component_scores(df))
+    return final_score(component_scores(df, keep))
 
 
-def component_scores(df: DataFrame) -> DataFrame:
-    """All scores that the final score is blended from, but for consistency."""
+#: Component -> the column that it ranks.
+RANKED = {
+    "_momentum": "Momentum_Raw", "_strength": "Relative_Strength_21D", "_vol": "Volatility_20D", "_dd": "Current_Drawdown_60D", "_mdd": "Max_Drawdown_60D", "_zero": "Zero_Volume_Days_60D",
+    "_liq": "Avg_Traded_Value_20D", "_nav": "_premium", "_aum": "AUM_Cr", "_ter": "TER", "_te": "_tracking",
+}
+
+
+def component_scores(df: DataFrame, keep: Keep) -> DataFrame:
+    """All scores that the final score is blended from, but for consistency. The rows are written once; their components are ranked in one pass."""
     z = F.lit(0.0)
     raw = 0.25 * F.coalesce("Return_5D", z) + 0.45 * F.coalesce("Return_21D", z) + 0.30 * F.coalesce("Return_63D", z)
     trend = 20 * flag(F.col("Above_10DMA")) + 25 * flag(F.col("Above_20DMA")) + 30 * flag(F.col("Above_50DMA")) + 25 * flag(F.col("MA_20D") > F.col("MA_50D"))
@@ -60,22 +68,15 @@ def component_scores(df: DataFrame) -> DataFrame:
             "_premium": F.abs("NAV_Premium_Discount"),
         }
     )
-    score = lambda c, up: percentile_score(F.col(c), up, "Date")
+    df = keep(df, "signals")
+    df = df.join(component_ranks(df, {k: F.col(c) for k, c in RANKED.items()}, keep).hint("merge"), ["Date", "Symbol"], "left")
     df = df.withColumns(
         {
-            "Momentum_Score": score("Momentum_Raw", True),
-            "Relative_Strength_Score": score("Relative_Strength_21D", True),
-            "_vol": score("Volatility_20D", False),
-            "_dd": score("Current_Drawdown_60D", True),
-            "_mdd": score("Max_Drawdown_60D", True),
-            "_zero": score("Zero_Volume_Days_60D", False),
-            "_liq": score("Avg_Traded_Value_20D", True),
-            "_nav": threshold_score(F.col("_premium"), NAV_PREMIUM_MAX, False),
-            "_aum": threshold_score(F.col("AUM_Cr"), AUM_GOOD, True),
-            "_ter": threshold_score(F.col("TER"), TER_GOOD, False),
-            "_te": threshold_score(F.col("_tracking"), TRACKING_GOOD, False),
+            "Momentum_Score": score("_momentum", True), "Relative_Strength_Score": score("_strength", True), "_vol": score("_vol", False), "_dd": score("_dd", True), "_mdd": score("_mdd", True),
+            "_zero": score("_zero", False), "_liq": score("_liq", True), "_nav": threshold_score("_nav", F.col("_premium"), NAV_PREMIUM_MAX, False),
+            "_aum": threshold_score("_aum", F.col("AUM_Cr"), AUM_GOOD, True), "_ter": threshold_score("_ter", F.col("TER"), TER_GOOD, False), "_te": threshold_score("_te", F.col("_tracking"), TRACKING_GOOD, False),
         }
-    )
+    )
     penalty = F.when(F.col("RSI_14") > OVERBOUGHT, 25.0).when(F.col("RSI_14") < OVERSOLD, 10.0).otherwise(0.0)
     trust = F.when(F.col("Mapping_Status") == "Verified", 1.0).when(F.col("Mapping_Status") == "Suggested", 0.75).otherwise(0.5)
     te = F.when(F.col("Tracking_Error").isNull() & F.col("Tracking_Difference").isNotNull(), F.col("_te") * 0.85).otherwise(F.col("_te"))
@@ -101,9 +102,9 @@ def final_score(df: DataFrame) -> DataFrame:
     return df.withColumns({"Final_Score": final, "Confidence_Adjusted_Score": clip(final * F.col("Confidence_Score") / 10, 0, 100)})
 
 
-def scored_with_consistency(df: DataFrame) -> DataFrame:
+def scored_with_consistency(df: DataFrame, keep: Keep) -> DataFrame:
     """Scores whose consistency comes from the scores of the 28 days before, those taken with the default of 50."""
-    first = final_score(component_scores(df).withColumn("Score_Consistency_4W", F.lit(None).cast("double")))
+    first = final_score(component_scores(df, keep).withColumn("Score_Consistency_4W", F.lit(None).cast("double")))
     return final_score(first.withColumn("Score_Consistency_4W", consistency_score(F.col("Confidence_Adjusted_Score"))))
 
 
@@ -225,14 +226,16 @@ def consistency(scores: DataFrame, score: str = "Confidence_Adjusted_Score") ->
     )
 
 
-def shadow_score(df: DataFrame) -> DataFrame:
+def shadow_score(df: DataFrame, keep: Keep) -> DataFrame:
     """Opportunity score of the shadow model: momentum by volatility, ranked, with trend and strength factors and penalties."""
     parts = ((0.20, "Return_5D"), (0.50, "Return_21D"), (0.30, "Return_63D"))
     total = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for w, c in parts), F.lit(0.0))
     blend = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for w, c in parts), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
     vol = F.when(F.col("Volatility_20D") > 0.02, F.col("Volatility_20D")).otherwise(0.02)
     df = df.withColumns({"Blended_Momentum": blend, "Risk_Adj_Momentum": blend / vol})
-    df = df.withColumns({"Momentum_Pctile": percent_rank(F.col("Risk_Adj_Momentum"), "Date") * 100, "Vol_Pctile": percent_rank(F.col("Volatility_20D"), "Date") * 100})
+    df = keep(df, "shadow")
+    df = df.join(component_ranks(df, {"_m": F.col("Risk_Adj_Momentum"), "_v": F.col("Volatility_20D")}, keep).hint("merge"), ["Date", "Symbol"], "left")
+    df = df.withColumns({"Momentum_Pctile": share("_m") * 100, "Vol_Pctile": share("_v") * 100}).drop("_m", "_v")
     trend = F.when((F.col("Price") >= F.col("MA_50D")) & (F.col("MA_200D").isNull() | (F.col("Price") >= F.col("MA_200D"))), 1.0).otherwise(0.85)
     strong = F.when(F.col("Return_21D") >= F.col("Benchmark_Return_21D"), 1.0).otherwise(0.90)
     penalty = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.frames import by_symbol, change, correlation, rolling, rows
+from barlake.functions.frames import by_symbol, change, correlation, frame_count, frame_mean, frame_sum, rolling, rows, with_sums
 
 HORIZONS = (5, 10, 21, 63, 126, 252)
 AVERAGES = (10, 20, 50, 100, 200)
@@ -32,7 +32,8 @@ def returns(df: DataFrame) -> DataFrame:
 def moving_averages(df: DataFrame) -> DataFrame:
     """Means of n closes, with at least max(5, n // 2) of them, and whether the price lies above (not, where there is no mean)."""
     p = F.col("Price")
-    df = df.withColumns({f"MA_{n}D": rolling(F.avg(p), p, n, max(5, n // 2)) for n in AVERAGES})
+    df = with_sums(df, {"ma": p})
+    df = df.withColumns({f"MA_{n}D": frame_mean("ma", n, max(5, n // 2)) for n in AVERAGES}).drop("_sma", "_nma")
     df = df.withColumns({f"MA_{n}D_Hundreds": F.col(f"MA_{n}D") / 100 for n in AVERAGES})
     return df.withColumns({f"Above_{n}DMA": F.coalesce(p > F.col(f"MA_{n}D"), F.lit(False)) for n in AVERAGES})
 
@@ -40,7 +41,14 @@ def moving_averages(df: DataFrame) -> DataFrame:
 def volatility(df: DataFrame) -> DataFrame:
     """Yearly sample deviation of daily returns over 20 and 60 rows, with at least 10 and 20 of them."""
     r = F.col("Daily_Return")
-    return df.withColumns({f"Volatility_{n}D": rolling(F.stddev_samp(r), r, n, least) * F.sqrt(F.lit(YEAR)) for n, least in ((20, 10), (60, 20))})
+    df = with_sums(df, {"r": r, "rr": r * r})
+    return df.withColumns({f"Volatility_{n}D": F.when(frame_count("r", n) >= least, F.sqrt(F.greatest(_spread("rr", "r", "r", n), F.lit(0.0)))) * F.sqrt(F.lit(YEAR)) for n, least in ((20, 10), (60, 20))}).drop("_sr", "_nr", "_srr", "_nrr")
+
+
+def _spread(product: str, a: str, b: str, n: int) -> Column:
+    """Sample covariance over the last n rows from the running sums of the product and of both sides, which have the same rows."""
+    k = frame_count(product, n)
+    return (frame_sum(product, n) - frame_sum(a, n) * frame_sum(b, n) / F.nullif(k, F.lit(0))) / F.nullif(k - 1, F.lit(0))
 
 
 def drawdown(df: DataFrame) -> DataFrame:
@@ -56,9 +64,9 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Mean gain against mean loss over 14 changes; 50 where there was no loss or too few rows."""
     df = df.withColumn("_d", F.col("Price") - F.lag("Price").over(by_symbol()))
     d = F.col("_d")
-    gain = rolling(F.avg(F.greatest(d, F.lit(0.0))), d, n, n)
-    loss = rolling(F.avg(F.greatest(-d, F.lit(0.0))), d, n, n)
-    return df.withColumn("RSI_14", F.coalesce(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))), F.lit(50.0))).drop("_d")
+    df = with_sums(df, {"up": F.greatest(d, F.when(d.isNotNull(), 0.0)), "down": F.greatest(-d, F.when(d.isNotNull(), 0.0))})
+    gain, loss = (F.round(frame_mean(c, n, n), 9) for c in ("up", "down"))
+    return df.withColumn("RSI_14", F.coalesce(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))), F.lit(50.0))).drop("_d", "_sup", "_nup", "_sdown", "_ndown")
 
 
 def liquidity(df: DataFrame) -> DataFrame:
@@ -66,29 +74,32 @@ def liquidity(df: DataFrame) -> DataFrame:
     v = F.col("Volume")
     df = df.withColumn("Traded_Value", F.col("Price") * v)
     none = F.when(F.coalesce(v, F.lit(0.0)) <= 0, 1.0).otherwise(0.0)
+    df = with_sums(df, {"value": F.col("Traded_Value"), "volume": v, "none": none})
     return df.withColumns(
         {
-            "Avg_Traded_Value_20D": rolling(F.avg("Traded_Value"), F.col("Traded_Value"), 20, 5),
-            "Volume_Ratio_20D": v / F.nullif(rolling(F.avg(v), v, 20, 5), F.lit(0.0)),
-            "Zero_Volume_Days_60D": rolling(F.sum(none), F.lit(1), 60, 10),
+            "Avg_Traded_Value_20D": frame_mean("value", 20, 5),
+            "Volume_Ratio_20D": v / F.nullif(frame_mean("volume", 20, 5), F.lit(0.0)),
+            "Zero_Volume_Days_60D": F.when(frame_count("none", 60) >= 10, frame_sum("none", 60)),
         }
-    )
+    ).drop("_svalue", "_nvalue", "_svolume", "_nvolume", "_snone", "_nnone")
 
 
 def beta(df: DataFrame) -> DataFrame:
     """Covariance with the benchmark's returns by their variance over 252 rows, with at least 60 pairs."""
     r, b = F.col("Daily_Return"), F.col("Benchmark_Return")
-    both = F.when(r.isNotNull() & b.isNotNull(), 1)
-    cov = F.when(F.count(both).over(rows(252)) >= 60, F.covar_samp(r, b).over(rows(252)))
-    var = rolling(F.var_samp(b), b, 252, 60)
-    return df.withColumn("Beta_252D", cov / F.nullif(var, F.lit(0.0)))
+    both = r.isNotNull() & b.isNotNull()
+    df = with_sums(df, {"rb": r * b, "pr": F.when(both, r), "pb": F.when(both, b), "b": b, "bb": b * b})
+    cov = F.when(frame_count("rb", 252) >= 60, _spread("rb", "pr", "pb", 252))
+    var = F.when(frame_count("b", 252) >= 60, _spread("bb", "b", "b", 252))
+    return df.withColumn("Beta_252D", cov / F.nullif(var, F.lit(0.0))).drop(*(f"_{t}{k}" for k in ("rb", "pr", "pb", "b", "bb") for t in "sn"))
 
 
 def atr_levels(df: DataFrame) -> DataFrame:
     """Mean true range of 14 rows (at least 7) and the levels set by it."""
     last = F.lag("Close").over(by_symbol())
     df = df.withColumn("_tr", F.greatest(F.col("High") - F.col("Low"), F.abs(F.col("High") - last), F.abs(F.col("Low") - last)))
-    df = df.withColumn("ATR_14", rolling(F.avg("_tr"), F.col("_tr"), 14, 7)).drop("_tr")
+    df = with_sums(df, {"tr": F.col("_tr")})
+    df = df.withColumn("ATR_14", frame_mean("tr", 14, 7)).drop("_tr", "_str", "_ntr")
     p, a = F.col("Price"), F.col("ATR_14")
     df = df.withColumns({"ATR_Stop_Level": p - 1.5 * a, "ATR_Target_1": p + 1.5 * a, "ATR_Target_2": p + 2.5 * a})
     return df.withColumn("Risk_Reward_Ratio_2", (F.col("ATR_Target_2") - p) / F.nullif(p - F.col("ATR_Stop_Level"), F.lit(0.0)))

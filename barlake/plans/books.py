@@ -121,7 +121,7 @@ h6 as (select *, case when elig then row_number() over (partition by Date, elig
 
 
 def shadow(spark, sf_dir):
-    return scoring.shadow_frame(scoring.shadow_score(all_scores(spark, sf_dir)))
+    return scoring.shadow_frame(scoring.shadow_score(all_scores(spark, sf_dir), table))
 
 
 @register("shadow_frame", f"with {sql.SCORES}, {_SHADOW} select Date, Symbol, {sql.r4('V4_CAS')}, V4_Rank, Rank_Delta, Neutral_Inputs from shadow")
@@ -206,7 +206,7 @@ _FUND_ONLY = FUND.replace(sql.MASTER + ",", "")
 @register("fundamental_blend", f"""with {sql.SCORES}, {_SHADOW}, {_FUND_ONLY}, {_QUALITY} select s.Date, s.Symbol, {sql.r4x("case when etf or Fundamental_Score is null or coalesce(Fundamental_Coverage, 1) < 0.6 then Shadow_Score else 0.85 * Shadow_Score + 0.15 * Fundamental_Score end")} as Blended_Score from shadow s left join quality_score q using (Symbol)""")
 def fundamental_blend(spark, sf_dir):
     q = fundamentals.fundamental_quality(panel.fundamentals(spark, sf_dir)).select("Symbol", "Fundamental_Score", "Fundamental_Coverage")
-    df = scoring.shadow_score(all_scores(spark, sf_dir)).join(q, "Symbol", "left")
+    df = scoring.shadow_score(all_scores(spark, sf_dir), table).join(q, "Symbol", "left")
     return scoring.fundamental_blend(df).select("Date", "Symbol", *r4("Blended_Score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake import panel
+from barlake.functions import ranks
 from barlake.operators import alphas, scoring, signals, validation
 from barlake.plans import sql
 from barlake.sources.shared import shared_path
@@ -36,18 +37,18 @@ def r4(*names: str) -> list:
 
 
 def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = panel.bars(spark, sf_dir)
+    b = table(panel.bars(spark, sf_dir), "bars")
     return signals.signals(b, panel.benchmark(b))
 
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoring chain at every date: signals, instruments, fund data, regime, scores, ranks."""
-    b = panel.bars(spark, sf_dir)
+    b = table(panel.bars(spark, sf_dir), "bars")
     bench = panel.benchmark(b)
     df = signals.signals(b, bench).join(panel.master(spark, sf_dir), "Symbol", "left")
     df = scoring.etf_quality_join(df, panel.etf_quality(spark, sf_dir))
     df = df.join(signals.market_regime(bench), "Date", "left")
-    return scoring.official_rank(scoring.scored_with_consistency(df))
+    return scoring.official_rank(scoring.scored_with_consistency(df, table))
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -101,9 +102,9 @@ def breadth(spark, sf_dir):
 
 @register("percentile_score", f"with {sql.SIGNALS} select Symbol, Date, round({sql.ps('Return_21D', True, 'Date')} + 0.00000137::double, 4) as Up, round({sql.ps('Volatility_20D', False, 'Date')} + 0.00000137::double, 4) as Down from signals")
 def percentile_score(spark, sf_dir):
-    from barlake.functions.frames import percentile_score as ps
-
-    return all_signals(spark, sf_dir).select("Symbol", "Date", r4x(ps(F.col("Return_21D"), True, "Date")).alias("Up"), r4x(ps(F.col("Volatility_20D"), False, "Date")).alias("Down"))
+    df = ranks.component_ranks(all_signals(spark, sf_dir), {"up": F.col("Return_21D"), "down": F.col("Volatility_20D")}, table)
+    both = panel.bars(spark, sf_dir).select("Symbol", "Date").join(df.hint("merge"), ["Date", "Symbol"], "left")
+    return both.select("Symbol", "Date", r4x(ranks.score("up", True)).alias("Up"), r4x(ranks.score("down", False)).alias("Down"))
 
 
 _SCORE = ("Momentum_Score", "Trend_Score", "Relative_Strength_Score", "Opportunity_Score", "Risk_Score", "Liquidity_Score", "Safety_Score", "ETF_Quality_Score", "Final_Score")
@@ -166,7 +167,7 @@ h3 as (select *, case when mp is not null then least(greatest(mp * (case when Pr
   - (coalesce(vp / 100 * 15, 0) + coalesce(least(abs(Current_Drawdown_60D) * 100, 1.0) * 7.5, 0) + (case when RSI_14 >= 75 then 12.0 else 0.0 end)), 0.0::double), 100.0::double) end as base from h2)
 select Symbol, Date, round(mp + 0.00000137::double, 4) as Momentum_Pctile, round(vp + 0.00000137::double, 4) as Vol_Pctile, round(case when base is not null then least(base, case when Return_21D is null or Return_21D <= 0 then 49.9::double when Return_5D <= -0.08 then 59.9 else 100.0 end) end + 0.00000137::double, 4) as Shadow_Score from h3""")
 def shadow_score(spark, sf_dir):
-    return scoring.shadow_score(all_scores(spark, sf_dir)).select("Symbol", "Date", *r4("Momentum_Pctile", "Vol_Pctile", "Shadow_Score"))
+    return scoring.shadow_score(all_signals(spark, sf_dir), table).select("Symbol", "Date", *r4("Momentum_Pctile", "Vol_Pctile", "Shadow_Score"))
 
 
 @register("sector_rotation", f"with {sql.SCORES}, g as (select Date, Sector, avg(Return_21D) as s, avg(Benchmark_Return_21D) as b from scores group by 1, 2) select Date, Sector, round(s + 0.00000137::double, 4) as Sector_Return_21D, round(s - b + 0.00000137::double, 4) as Excess_21D, row_number() over (partition by Date order by round(s - b, 10) desc nulls last, Sector) as Sector_Rank from g where s is not null")
@@ -181,7 +182,7 @@ for _name in alphas.REGISTRY:
 
 @register("alpha_zoo", f"with {sql.PANEL}, z as (select Date, Symbol, {sql.pr('value', 'Date', 'alpha')} * 100 as p from panel) select Date, Symbol, round(avg(p) + 0.00000137::double, 4) as Zoo_Score, count(p) as Zoo_Coverage from z group by 1, 2")
 def alpha_zoo(spark, sf_dir):
-    return alphas.alpha_zoo(alphas.alpha_panel(panel.bars(spark, sf_dir))).select("Date", "Symbol", *r4("Zoo_Score"), "Zoo_Coverage")
+    return alphas.alpha_zoo(alphas.alpha_panel(panel.bars(spark, sf_dir)), table).select("Date", "Symbol", *r4("Zoo_Score"), "Zoo_Coverage")
 
 
 def matured(spark, sf_dir):
