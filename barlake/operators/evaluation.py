@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.frames import average_rank, correlation
+from barlake.functions.ranks import Keep
 
 #: Gates of promotion. Fixed values.
 LEAST_IC, LEAST_T = 0.03, 2.0
@@ -62,24 +67,67 @@ def eval_dates(bars: DataFrame, lookback: int = 250, most: int = 20) -> DataFram
     return chosen.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("Date").desc()))).where(F.col("_k") <= most).select("Date")
 
 
-def residual_ic(panel: DataFrame, forward: DataFrame, candidate: str, survivors: tuple[str, str], horizon: int, least: int = 8) -> DataFrame:
-    """(Date, ic, n): rank correlation of forward returns with what two surviving factors and a constant leave of the candidate (Date, Symbol, alpha, value).
-
-    A missing survivor counts as 0. The regression on two factors is solved from the date's sums; where the factors do not tell apart, or nothing is left, ic is 0.
+def _projections(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Coefficients of a row's normal equations, by Cholesky; a column that the ones before it already hold gets the coefficient 0."""
+    for frame in frames:
+        out = []
+        for gram, right in zip(frame["gram"], frame["right"], strict=True):
+            p = len(right)
+            g = np.zeros((p, p))
+            g[np.triu_indices(p)] = gram
+            g = g + np.triu(g, 1).T
+            low, used, z = np.zeros((p, p)), np.zeros(p, bool), np.zeros(p)
+            for k in range(p):
+                pivot = g[k, k] - low[k] @ low[k]
+                if pivot > 1e-10 * g[k, k] and pivot > 0:
+                    used[k] = True
+                    low[k:, k] = (g[k:, k] - low[k:] @ low[k]) / np.sqrt(pivot)
+                    z[k] = (right[k] - low[k, :k] @ z[:k]) / low[k, k]
+            beta = np.zeros(p)
+            for k in reversed(range(p)):
+                if used[k]:
+                    beta[k] = (z[k] - low[k + 1 :, k] @ beta[k + 1 :]) / low[k, k]
+            out.append(beta.tolist())
+        yield frame[["Date", "alpha"]].assign(beta=out)
+
+
+def residual_ic(panel: DataFrame, forward: DataFrame, candidates: Sequence[str], survivors: Sequence[str], horizon: int, keep: Keep, least: int = 8) -> DataFrame:
+    """(Date, alpha, ic, n): rank correlation of forward returns with what the surviving factors and a constant leave of each candidate (panel: Date, Symbol, alpha, value).
+
+    Any number of survivors; without any, the candidate's own rank correlation. A candidate does not survive against itself. Symbols without any survivor's value do not
+    count, a single missing one counts as 0. Normal equations come from one aggregate a date; survivors that others already hold change nothing. ic is 0 where nothing is
+    left (deviation below 1e-9). Dates with fewer than `least` symbols give no row. keep(df, name) writes a table and returns it.
     """
-    a, b = survivors
-    wide = panel.where(F.col("alpha").isin(candidate, a, b)).groupBy("Date", "Symbol").agg(*(F.max(F.when(F.col("alpha") == k, F.col("value"))).alias(n) for k, n in ((candidate, "y"), (a, "x1"), (b, "x2"))))
-    df = wide.where("y is not null").na.fill(0.0, ["x1", "x2"]).join(forward.where(F.col("horizon") == horizon).select("Date", "Symbol", "fwd").hint("shuffle_merge"), ["Date", "Symbol"]).where("fwd is not null")
-    w = Window.partitionBy("Date")
-    c = lambda p, q: F.covar_pop(p, q).over(w)
-    df = df.withColumns({"_n": F.count(F.lit(1)).over(w), "s11": c("x1", "x1"), "s22": c("x2", "x2"), "s12": c("x1", "x2"), "s1": c("x1", "y"), "s2": c("x2", "y"), "_y": F.avg("y").over(w), "_x1": F.avg("x1").over(w), "_x2": F.avg("x2").over(w)})
-    det = F.col("s11") * F.col("s22") - F.col("s12") ** 2
-    good = det > 1e-12 * F.col("s11") * F.col("s22")
-    b1 = F.when(good, (F.col("s1") * F.col("s22") - F.col("s2") * F.col("s12")) / det).otherwise(0.0)
-    b2 = F.when(good, (F.col("s2") * F.col("s11") - F.col("s1") * F.col("s12")) / det).otherwise(0.0)
-    df = df.where(F.col("_n") >= least).withColumn("res", F.col("y") - F.col("_y") - b1 * (F.col("x1") - F.col("_x1")) - b2 * (F.col("x2") - F.col("_x2")))
-    ranked = df.withColumns({"ra": average_rank(F.col("res"), "Date"), "rf": average_rank(F.col("fwd"), "Date")})
-    return ranked.groupBy("Date").agg(F.coalesce(correlation("ra", "rf"), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"))
+    names = list(dict.fromkeys([*candidates, *survivors]))
+    pivot = panel.where(F.col("alpha").isin(*names)).groupBy("Date", "Symbol").agg(*(F.max(F.when(F.col("alpha") == k, F.col("value"))).alias(f"v_{k}") for k in names))
+    wide = keep(pivot, "factors")
+    each = None
+    for c in candidates:
+        rest = [s for s in survivors if s != c]
+        known = F.coalesce(*(F.col(f"v_{s}") for s in rest)).isNotNull() if rest else F.lit(True)
+        # of one length for all candidates: a candidate's own place holds 0
+        x = F.array(*(F.lit(0.0) if s == c else F.coalesce(F.col(f"v_{s}"), F.lit(0.0)) for s in survivors)).cast("array<double>")
+        part = wide.where(F.col(f"v_{c}").isNotNull() & known).select("Date", "Symbol", F.lit(c).alias("alpha"), F.col(f"v_{c}").alias("y"), x.alias("x"))
+        each = part if each is None else each.unionByName(part)
+    # the regression takes all symbols that have the factors, the correlation those that have a forward return too
+    rows, p, keys = keep(each, "candidates"), len(survivors), ["Date", "alpha"]
+    at = lambda i: F.col("x")[i]
+    gram = [F.covar_pop(at(i), at(j)) for i in range(p) for j in range(i, p)]
+    empty = F.array().cast("array<double>")
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_y"), (F.array(*(F.avg(at(i)) for i in range(p))) if p else empty).alias("_x"),
+        (F.array(*gram) if p else empty).alias("gram"), (F.array(*(F.covar_pop(at(i), "y") for i in range(p))) if p else empty).alias("right"),
+    )
+    sums = keep(sums.where(F.col("_n") >= least), "normal_equations")
+    beta = keep(sums.select(*keys, "gram", "right").mapInPandas(_projections, "Date date, alpha string, beta array<double>"), "coefficients")
+    fit = F.aggregate(F.zip_with(F.zip_with("x", "_x", lambda a, b: a - b), "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    left = rows.join(sums.select(*keys, "_y", "_x").join(beta.hint("merge"), keys).hint("merge"), keys).select("Date", "Symbol", "alpha", (F.col("y") - F.col("_y") - fit).alias("res"))
+    spread = Window.partitionBy(*keys)
+    left = left.withColumn("_flat", F.stddev_pop("res").over(spread) < 1e-9)
+    both = left.join(forward.where(F.col("horizon") == horizon).select("Date", "Symbol", "fwd").hint("merge"), ["Date", "Symbol"]).where("fwd is not null")
+    both = both.withColumns({"ra": average_rank(F.col("res"), *keys), "rf": average_rank(F.col("fwd"), *keys)})
+    ic = F.when(F.bool_and("_flat"), 0.0).otherwise(F.coalesce(correlation("ra", "rf"), F.lit(0.0)))
+    return both.groupBy(*keys).agg(ic.alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def promotion_log(report: DataFrame, residual: DataFrame, least: float = 0.015, signed: bool = True) -> DataFrame:
@@ -136,40 +184,65 @@ def adaptive_panel(panel: DataFrame, forward: DataFrame, names: tuple[str, ...],
     return met.select("Date", *names, "Fwd_Return").dropna()
 
 
-def adaptive_weights(panel: DataFrame, baseline: dict[str, float], targets: DataFrame, horizon_days: int, verdict: str, ridge: float = 1.0, shrink: float = 0.20, step: float = 0.05, drift: float = 0.30, most_corr: float = 0.8) -> DataFrame:
-    """(Date, N, Weight_1 ... Weight_3, Dormant_Reason) for each target date: three factors' weights from a ridge regression on the rows known by then.
-
-    Sums of products over all rows up to `horizon_days` before the target come from one window over the dates' sums, so every target is fitted in one pass; the 3 x 3 system
-    is solved by Cramer's rule. A guard that does not hold leaves the baseline and names itself.
+def _fitted(base: list[float], ridge: float, shrink: float, step: float, drift: float, most_corr: float, least_dates: int):
+    """Weights of each target's sums, or the reason that they stay at the baseline."""
+    b0, p = np.array(base), len(base)
+
+    def fit(n, dates, one, two, right):
+        if dates < least_dates:
+            return b0, f"insufficient effective history (N_eff={int(dates)}, need {least_dates})"
+        if n < 3 * p:
+            return b0, f"too few clean rows ({int(n)}) vs alphas ({p})"
+        gram = np.zeros((p, p))
+        gram[np.triu_indices(p)] = two
+        gram = gram + np.triu(gram, 1).T
+        cov = gram / n - np.outer(one, one) / n**2
+        size = np.sqrt(np.maximum(np.diag(cov), 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = np.nan_to_num(np.abs(cov / np.outer(size, size)), nan=0.0, posinf=0.0)
+        np.fill_diagonal(corr, 0)
+        if round(float(corr.max(initial=0.0)), 8) > most_corr:
+            return b0, "alpha collinearity"
+        size_of = np.abs(np.linalg.solve(gram + ridge * np.eye(p), right))
+        if not size_of.sum() > 0:
+            return b0, "zero-signal coefficients"
+        fitted = size_of / size_of.sum()
+        if round(float(np.abs(fitted - b0).sum()), 8) > drift:
+            return b0, "total drift exceeds cap"
+        w = b0 + np.clip(shrink * (fitted - b0), -step, step)
+        return (w / w.sum() if w.sum() > 0 else w), None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [fit(*x) for x in zip(f["n"], f["dates"], f["one"].map(np.asarray), f["two"].map(np.asarray), f["right"].map(np.asarray), strict=True)]
+            weights = {f"Weight_{k + 1}": [float(w[k]) for w, _ in got] for k in range(p)}
+            yield pd.DataFrame({"Date": f["Date"], "N": f["n"].astype("int64"), **weights, "Dormant_Reason": [why for _, why in got]})
+
+    return run
+
+
+def adaptive_weights(panel: DataFrame, baseline: dict[str, float], targets: DataFrame, horizon_days: int, verdict: str, ridge: float = 1.0, shrink: float = 0.20, step: float = 0.05, drift: float = 0.30, most_corr: float = 0.8, least_dates: int = 60) -> DataFrame:
+    """(Date, N, Weight_1 ... Weight_p, Dormant_Reason) for each target date: the p factors' weights from a ridge regression on the rows known by then, in the order of `baseline`.
+
+    panel: Date, a column a factor, Fwd_Return, no symbol. Sums of products over all rows up to `horizon_days` before the target come from one window over the dates' sums, a row a date,
+    so every target is fitted in one pass; each small system is solved from its sums alone. A guard that does not hold leaves the baseline and names itself: the verdict,
+    fewer than `least_dates` dates, fewer than 3 p rows, two factors that correlate beyond `most_corr`, no signal, or a drift beyond `drift` in all.
     """
     names = list(baseline)
-    if len(names) != 3 or "Symbol" in panel.columns:
-        raise ValueError("needs three factors and no symbol column")
-    x = [F.col(c) for c in names]
-    y = F.col("Fwd_Return")
-    terms = {"n": F.lit(1.0), **{f"s{i}": x[i] for i in range(3)}, **{f"s{i}{j}": x[i] * x[j] for i in range(3) for j in range(i, 3)}, **{f"b{i}": x[i] * y for i in range(3)}}
-    day = panel.groupBy("Date").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
+    if not names or {"Symbol", "Ticker", "ISIN", "SecurityId"} & set(panel.columns):
+        raise ValueError("needs factors, and no column that names securities")
+    p = len(names)
+    x, y = [F.col(c) for c in names], F.col("Fwd_Return")
+    terms = {"n": F.lit(1.0), **{f"s{i}": x[i] for i in range(p)}, **{f"s{i}_{j}": x[i] * x[j] for i in range(p) for j in range(i, p)}, **{f"b{i}": x[i] * y for i in range(p)}}
+    day = panel.dropna(subset=[*names, "Fwd_Return"]).groupBy("Date").agg(*(F.sum(v).alias(k) for k, v in terms.items())).withColumn("dates", F.lit(1.0))
+    terms["dates"] = F.lit(1.0)
     at = targets.select(F.date_sub("Date", horizon_days).alias("_at"), F.col("Date").alias("_target"))
     both = day.select(F.col("Date").alias("_at"), *terms, F.lit(0).alias("_t"), F.lit(None).cast("date").alias("_target")).unionByName(at.select("_at", *(F.lit(0.0).alias(k) for k in terms), F.lit(1).alias("_t"), "_target"))
     upto = Window.partitionBy(F.lit(1)).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)  # a row a date
     df = both.withColumns({k: F.sum(k).over(upto) for k in terms}).where("_t = 1")
-    c = F.col
-    m = [[c(f"s{min(i, j)}{max(i, j)}") + (ridge if i == j else 0.0) for j in range(3)] for i in range(3)]
-    b = [c(f"b{i}") for i in range(3)]
-    det3 = lambda a: a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
-    d = F.nullif(det3(m), F.lit(0.0))
-    imp = {f"i{k}": F.abs(det3([[b[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) / d) for k in range(3)}
-    rows = F.nullif(c("n"), F.lit(0.0))
-    var = lambda i, j: c(f"s{i}{j}") / rows - c(f"s{i}") / rows * c(f"s{j}") / rows
-    corr = F.greatest(*(F.coalesce(F.abs(var(i, j)) / F.nullif(F.sqrt(F.greatest(var(i, i) * var(j, j), F.lit(0.0))), F.lit(0.0)), F.lit(0.0)) for i, j in ((0, 1), (0, 2), (1, 2))))
-    df = df.withColumns({**imp, "corr": corr})
-    total = F.nullif(c("i0") + c("i1") + c("i2"), F.lit(0.0))
+    listed = df.select(F.col("_target").alias("Date"), "n", "dates", F.array(*(f"s{i}" for i in range(p))).alias("one"), F.array(*(f"s{i}_{j}" for i in range(p) for j in range(i, p))).alias("two"), F.array(*(f"b{i}" for i in range(p))).alias("right"))
     base = [float(v) for v in baseline.values()]
-    df = df.withColumns({f"f{k}": c(f"i{k}") / total for k in range(3)})
-    far = sum((F.abs(c(f"f{k}") - base[k]) for k in range(3)), F.lit(0.0))
-    why = F.when(F.lit(verdict != "Validation Positive"), f"validation verdict='{verdict}'").when(c("n") < 9, "too few clean rows").when(F.round(c("corr"), 8) > most_corr, "alpha collinearity").when(c("f0").isNull(), "zero-signal coefficients").when(F.round(far, 8) > drift, "total drift exceeds cap")
-    df = df.withColumn("Dormant_Reason", why)
-    df = df.withColumns({f"w{k}": base[k] + F.least(F.greatest(shrink * (c(f"f{k}") - base[k]), F.lit(-step)), F.lit(step)) for k in range(3)})
-    whole = c("w0") + c("w1") + c("w2")
-    out = [F.when(c("Dormant_Reason").isNull(), c(f"w{k}") / whole).otherwise(base[k]).alias(f"Weight_{k + 1}") for k in range(3)]
-    return df.select(c("_target").alias("Date"), c("n").cast("long").alias("N"), *out, "Dormant_Reason")
+    if verdict != "Validation Positive":
+        return listed.select("Date", F.col("n").cast("long").alias("N"), *(F.lit(v).alias(f"Weight_{k + 1}") for k, v in enumerate(base)), F.lit(f"validation verdict='{verdict}' (need Validation Positive)").alias("Dormant_Reason"))
+    schema = "Date date, N long, " + ", ".join(f"Weight_{k + 1} double" for k in range(p)) + ", Dormant_Reason string"
+    return listed.mapInPandas(_fitted(base, ridge, shrink, step, drift, most_corr, least_dates), schema)

@@ -9,7 +9,7 @@ from barlake.operators import alphas, changes, evaluation, signals, validation
 from barlake.plans import sql
 from barlake.plans.books import _FEAR, _SHARE, fear
 from barlake.plans.more import FORWARD, REPORT, _ic
-from barlake.plans.queries import _detail, matured, r4, r4x, register, table
+from barlake.plans.queries import _detail, matured, queries, r4, r4x, register, table
 
 _DATES = "select distinct Date from bars"
 
@@ -19,16 +19,19 @@ def eval_dates(spark, sf_dir):
     return evaluation.eval_dates(panel.bars(spark, sf_dir))
 
 
-RES = f"""{FORWARD}, rw as (select Date, Symbol, max(case when alpha = 'breakout' then value end) as y, coalesce(max(case when alpha = 'amihud' then value end), 0) as x1, coalesce(max(case when alpha = 'mean_rev_z' then value end), 0) as x2 from panel where alpha in ('breakout', 'amihud', 'mean_rev_z') group by 1, 2),
-rj as (select rw.*, fwd from rw join fwd using (Date, Symbol) where y is not null and fwd is not null and horizon = 10),
-rs as (select *, count(*) over w as n, covar_pop(x1, x1) over w as s11, covar_pop(x2, x2) over w as s22, covar_pop(x1, x2) over w as s12, covar_pop(x1, y) over w as s1, covar_pop(x2, y) over w as s2, avg(y) over w as my, avg(x1) over w as m1, avg(x2) over w as m2 from rj window w as (partition by Date)),
-rr as (select Date, fwd, n, y - my - (case when s11 * s22 - s12 * s12 > 1e-12 * s11 * s22 then (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) else 0 end) * (x1 - m1) - (case when s11 * s22 - s12 * s12 > 1e-12 * s11 * s22 then (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) else 0 end) * (x2 - m2) as res from rs where n >= 8),
-rk as (select Date, {sql.pr('res', 'Date')} as ra, {sql.pr('fwd', 'Date')} as rf from rr), ric as (select Date, case when corr(ra, rf) is null or isnan(corr(ra, rf)) then 0.0::double else corr(ra, rf) end as ic, count(*) as n from rk group by 1)"""
+RES = f"""{FORWARD}, rw0 as (select Date, Symbol, max(case when alpha = 'breakout' then value end) as y, max(case when alpha = 'amihud' then value end) as v1, max(case when alpha = 'mean_rev_z' then value end) as v2 from panel where alpha in ('breakout', 'amihud', 'mean_rev_z') group by 1, 2),
+rw as (select Date, Symbol, y, coalesce(v1, 0) as x1, coalesce(v2, 0) as x2 from rw0 where y is not null and coalesce(v1, v2) is not null),
+rs as (select *, count(*) over w as k, covar_pop(x1, x1) over w as s11, covar_pop(x2, x2) over w as s22, covar_pop(x1, x2) over w as s12, covar_pop(x1, y) over w as s1, covar_pop(x2, y) over w as s2, avg(y) over w as my, avg(x1) over w as m1, avg(x2) over w as m2 from rw window w as (partition by Date)),
+rb as (select *, case when s11 > 0 and s22 * s11 - s12 * s12 > 1e-10 * s11 * s22 then (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) when s11 <= 0 and s22 > 0 then s2 / s22 else 0 end as b2 from rs where k >= 8),
+rr as (select Date, Symbol, y - my - b2 * (x2 - m2) - (case when s11 > 0 then (s1 - s12 * b2) / s11 else 0 end) * (x1 - m1) as res from rb),
+rf as (select *, stddev_pop(res) over (partition by Date) as sd from rr),
+rj as (select rf.*, fwd from rf join fwd using (Date, Symbol) where fwd is not null and horizon = 10),
+rk as (select Date, sd, {sql.pr('res', 'Date')} as ra, {sql.pr('fwd', 'Date')} as rf from rj), ric as (select Date, case when max(sd) < 1e-9 or corr(ra, rf) is null or isnan(corr(ra, rf)) then 0.0::double else corr(ra, rf) end as ic, count(*) as n from rk group by 1 having count(*) >= 8)"""
 
 
 def _residual(spark, sf_dir):
     b = panel.bars(spark, sf_dir)
-    return evaluation.residual_ic(alphas.alpha_panel(b, ("breakout", "amihud", "mean_rev_z")), evaluation.forward_returns_panel(b), "breakout", ("amihud", "mean_rev_z"), 10)
+    return evaluation.residual_ic(alphas.alpha_panel(b, ("breakout", "amihud", "mean_rev_z")), evaluation.forward_returns_panel(b), ["breakout"], ["amihud", "mean_rev_z"], 10, table)
 
 
 @register("residual_ic", f"with {RES} select Date, n, {sql.r4('ic')} from ric")
@@ -36,6 +39,16 @@ def residual_ic(spark, sf_dir):
     return _residual(spark, sf_dir).select("Date", "n", *r4("ic"))
 
 
+@register("residual_ic_promoted")
+def residual_ic_promoted(spark, sf_dir):
+    """Every factor against all that promote_alphas promotes; the driver holds their names."""
+    b = panel.bars(spark, sf_dir)
+    values, forward = table(alphas.alpha_panel(b), "alphas"), table(evaluation.forward_returns_panel(b), "forward")
+    promoted = evaluation.promote_alphas(evaluation.ic_report(evaluation.spearman_ic(values, forward)))
+    survivors = sorted(r["alpha"] for r in promoted.collect())
+    return evaluation.residual_ic(values, forward, list(alphas.REGISTRY), survivors, 10, table).select("Date", "alpha", "n", *r4("ic"))
+
+
 _LOG = f"""{RES}, {REPORT[len(FORWARD):].lstrip(', ')}, res as (select 'breakout' as alpha, avg(ic) as residual from ric),
 lg as (select alpha, horizon, mean_ic, case when not coalesce(abs(mean_ic) >= 0.03 and abs(t_stat) >= 2, false) then 'fails standalone gate' when residual is null then 'no residual evidence' when residual < 0.015 then 'adds nothing beyond survivors' else 'passes both gates' end as Reason from report left join res using (alpha))"""
 
@@ -93,14 +106,45 @@ def adaptive_panel(spark, sf_dir):
     return _adaptive(spark, sf_dir).groupBy("Date").agg(F.count(F.lit(1)).alias("n"), *(r4x(F.avg(k)).alias(k) for k in (*_NAMES, "Fwd_Return")))
 
 
-_DET = "({0}0 * ({1}1 * {2}2 - {1}2 * {2}1) - {0}1 * ({1}0 * {2}2 - {1}2 * {2}0) + {0}2 * ({1}0 * {2}1 - {1}1 * {2}0))"
+_DET = "({0}0_0 * ({0}1_1 * {0}2_2 - {0}1_2 * {0}1_2) - {0}0_1 * ({0}0_1 * {0}2_2 - {0}1_2 * {0}0_2) + {0}0_2 * ({0}0_1 * {0}1_2 - {0}1_1 * {0}0_2))"
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_TERMS = {f"s{i}": k for i, k in enumerate(_NAMES)} | {f"s{i}_{j}": f"{_NAMES[i]} * {_NAMES[j]}" for i, j in _PAIRS} | {f"b{i}": f"{k} * Fwd_Return" for i, k in enumerate(_NAMES)}
+
+
+def _cramer(k: int) -> str:
+    """The k-th unknown's numerator of the ridge system m beta = b."""
+    m = [[f"m{min(i, j)}_{max(i, j)}" if j != k else f"b{i}" for j in range(3)] for i in range(3)]
+    return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
 
 
-@register("adaptive_weights")
+_CORR = ", ".join(f"coalesce(abs(s{i}_{j} / n - s{i} / n * s{j} / n) / nullif(sqrt(greatest(s{i}_{i} / n - (s{i} / n) ** 2, 0) * greatest(s{j}_{j} / n - (s{j} / n) ** 2, 0)), 0), 0)" for i, j in _PAIRS if i != j)
+_ADAPT = f"""{_PANEL}, ad as (select Date, count(*) as n, {', '.join(f'sum({v}) as {k}' for k, v in _TERMS.items())} from ap group by 1),
+tg as (select distinct Date from bars), tt as (select t.Date, coalesce(sum(n), 0)::double as n, count(a.Date) as dates, {', '.join(f'sum({k}) as {k}' for k in _TERMS)} from tg t left join ad a on a.Date <= t.Date - 70 group by 1),
+am as (select *, {', '.join(f"s{i}_{j} + {1.0 if i == j else 0.0}::double as m{i}_{j}" for i, j in _PAIRS)}, greatest({_CORR}) as corr from tt),
+ai as (select *, {', '.join(f"abs({_cramer(k)} / {_DET.format('m')}) as i{k}" for k in range(3))} from am),
+af as (select *, {', '.join(f"i{k} / (i0 + i1 + i2) as f{k}" for k in range(3))} from ai),
+aw as (select *, case when dates < 60 then 'insufficient effective history (N_eff=' || dates || ', need 60)' when n < 9 then 'too few clean rows (' || n::bigint || ') vs alphas (3)' when round(corr, 8) > 0.8 then 'alpha collinearity' when not i0 + i1 + i2 > 0 then 'zero-signal coefficients'
+  when round(abs(f0 - 1 / 3.0::double) + abs(f1 - 1 / 3.0::double) + abs(f2 - 1 / 3.0::double), 8) > 0.3 then 'total drift exceeds cap' end as why, {', '.join(f"1 / 3.0::double + least(greatest(0.2 * (f{k} - 1 / 3.0::double), -0.05), 0.05) as w{k}" for k in range(3))} from af)"""
+_WEIGHTS = {f"Weight_{k + 1}": sql.r4x(f"case when why is null then w{k} / (w0 + w1 + w2) else 1 / 3.0::double end") for k in range(3)}
+
+
+@register("adaptive_weights", f"with {_ADAPT} select Date, n::bigint as N, {', '.join(f'{v} as {k}' for k, v in _WEIGHTS.items())}, why as Dormant_Reason from aw")
 def adaptive_weights(spark, sf_dir):
-    """As if validation were positive; a generous drift lets weights move."""
+    """As if validation were positive, with the usual caps; adaptive_weights_gated takes the computed verdict."""
     dates = panel.bars(spark, sf_dir).select("Date").distinct()
-    return evaluation.adaptive_weights(_adaptive(spark, sf_dir), dict.fromkeys(_NAMES, 1 / 3), dates, 70, "Validation Positive", drift=2.0)
+    got = evaluation.adaptive_weights(_adaptive(spark, sf_dir), dict.fromkeys(_NAMES, 1 / 3), dates, 70, "Validation Positive")
+    return got.select("Date", "N", *r4("Weight_1", "Weight_2", "Weight_3"), "Dormant_Reason")
+
+
+@register("adaptive_weights_gated")
+def adaptive_weights_gated(spark, sf_dir):
+    """Six factors, under the verdict that the validation of 10 days gives (one row)."""
+    six = (*_NAMES, "breakout", "amihud", "low_vol")
+    b = panel.bars(spark, sf_dir)
+    rows = evaluation.adaptive_panel(alphas.alpha_panel(b, six), evaluation.forward_returns_panel(b), six, 10)
+    verdict = queries()["verdict"](spark, sf_dir).where("Horizon_Days = 10").select("Verdict").first()
+    got = evaluation.adaptive_weights(rows, dict.fromkeys(six, 1 / 6), b.select("Date").distinct(), 70, verdict["Verdict"] if verdict else "")
+    return got.select("Date", "N", *r4(*(f"Weight_{k}" for k in range(1, 7))), "Dormant_Reason")
 
 
 _DELIV = "dl as (select 'S' || l_suppkey as Symbol, date_trunc('week', l_shipdate)::date as Date, round(avg(l_discount), 6) as Delivery_Pct from lineitem group by 1, 2)"

@@ -46,50 +46,3 @@ def last_of_key(changes: DataFrame, keys: list[str]) -> DataFrame:
     """The newest batch's row of each key: an upsert log read as a table."""
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_batch").desc()))
     return changes.withColumn("_k", newest).where("_k = 1").drop("_k", "_batch")
-
-
-def frozen(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key that lands, by batch and then by `order`; later rows of a key change nothing.
-
-    A batch looks at the batches before it alone, so one that runs again after a failure writes the same rows.
-    """
-    spark = stream.sparkSession
-    out = shared_path(spark, name)
-
-    def write(batch: DataFrame, number: int) -> None:
-        one = batch.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
-        if number > 0:
-            before = spark.read.option("basePath", out).parquet(f"{out}/*").where(F.col("_batch") < number)
-            one = one.join(before.select(*keys).hint("shuffle_hash"), keys, "left_anti")
-        one.write.mode("overwrite").parquet(f"{out}/_batch={number}")
-
-    query = stream.writeStream.option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/*").drop("_batch")
-
-
-def last_landed(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key of a landed log, by batch and then by `order`."""
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_batch").desc(), F.col(order).desc()))
-    return log.withColumn("_k", newest).where("_k = 1").drop("_k", "_batch")
-
-
-def matured_as_landed(bars: DataFrame, signals: DataFrame, mature, name: str) -> DataFrame:
-    """Forward returns of signals, evaluated anew for the symbols of each batch of bars that lands; late bars repair rows by key.
-
-    mature(signals, bars) -> rows by (Symbol, Signal_Date, Horizon_Days).
-    """
-    spark = bars.sparkSession
-    seen, out = shared_path(spark, f"{name}-bars"), shared_path(spark, name)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{seen}/_batch={number}")
-        every = spark.read.option("basePath", seen).parquet(f"{seen}/*").where(F.col("_batch") <= number).drop("_batch")
-        touched = spark.read.parquet(f"{seen}/_batch={number}").select("Symbol").distinct()
-        mine = lambda df: df.join(touched.hint("shuffle_hash"), "Symbol", "left_semi")
-        mature(mine(signals), mine(every)).write.mode("overwrite").parquet(f"{out}/_batch={number}")
-
-    query = bars.writeStream.option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    log = spark.read.option("basePath", out).parquet(f"{out}/*")
-    return last_of_key(log, ["Symbol", "Signal_Date", "Horizon_Days"])

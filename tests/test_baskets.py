@@ -46,27 +46,6 @@ def test_expected_value_refuses_missing_columns_and_verdicts(spark):
         assert got.EV_Per_Trade is None and got.Status.startswith("EV unavailable")
 
 
-def test_adaptive_weights_match_a_ridge_fit(spark):
-    rnd = np.random.default_rng(4)
-    rows = [(D(d), *map(float, rnd.normal(size=3)), 0.0) for d in range(40) for _ in range(5)]
-    rows = [(d, a, b, c, float(0.5 * a - 0.2 * b + 0.1 * c + 0.01 * e)) for (d, a, b, c, _), e in zip(rows, rnd.normal(size=200))]
-    panel = spark.createDataFrame(rows, "Date date, a double, b double, c double, Fwd_Return double")
-    base = dict.fromkeys("abc", 1 / 3)
-    got = {r.Date: r for r in evaluation.adaptive_weights(panel, base, spark.createDataFrame([(D(30),), (D(2),)], "Date date"), 10, "Validation Positive", drift=2.0).collect()}
-    x = np.array([r[1:4] for r in rows if r[0] <= D(20)])
-    y = np.array([r[4] for r in rows if r[0] <= D(20)])
-    beta = np.abs(np.linalg.solve(x.T @ x + np.eye(3), x.T @ y))
-    fit = beta / beta.sum()
-    want = 1 / 3 + np.clip(0.2 * (fit - 1 / 3), -0.05, 0.05)
-    want /= want.sum()
-    assert got[D(30)].N == len(x) and [got[D(30)][f"Weight_{k}"] for k in (1, 2, 3)] == pytest.approx(list(want))
-    assert got[D(2)].Dormant_Reason == "too few clean rows" and got[D(2)].Weight_1 == pytest.approx(1 / 3)
-    dormant = evaluation.adaptive_weights(panel, base, spark.createDataFrame([(D(30),)], "Date date"), 10, "Unknown").first()
-    assert "verdict" in dormant.Dormant_Reason
-    with pytest.raises(ValueError):
-        evaluation.adaptive_weights(panel.withColumnRenamed("c", "Symbol"), base, panel, 1, "")
-
-
 def test_pandas_alphas_are_registered_by_name(spark):
     bars = spark.createDataFrame([("A", D(d), float(d), float(d + 1)) for d in range(5)], "Symbol string, Date date, Open double, Close double")
     alphas.register_pandas_alpha("gap_size", "reversal", lambda f: f["Close"] - f["Open"])
