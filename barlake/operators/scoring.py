@@ -122,10 +122,23 @@ def confidence() -> Column:
     return clip(10 - total, 1, 10)
 
 
-def risk_flags() -> Column:
-    """The rules that apply, in order, as an array; joined by `; ` for display, `Clean` where none applies."""
-    ineligible = F.lower(F.coalesce("Opportunity_Eligible", F.lit("Yes"))) == "no"
+def _data_rules(told: bool) -> tuple:
+    """What a fund's data lack: as the flag of its sources says, of which the first kind counts, or from the fields themselves where there is no such flag."""
     etf, gone = is_etf(), lambda c: F.col(c).isNull()
+    known = ("ETF quality data incomplete", "ETF tracking error unavailable; using tracking difference", "ETF tracking disclosure unavailable from current AMFI feed")
+    if not told:
+        lacking = gone("NAV") | gone("AUM_Cr") | gone("TER") | (gone("Tracking_Error") & gone("Tracking_Difference"))
+        return (etf & lacking, known[0]), (etf & ~lacking & gone("Tracking_Error"), known[1])
+    said = lambda text: F.contains(F.lower(F.coalesce("ETF_Quality_Data_Flag", F.lit(""))), F.lit(text))
+    lacking = said("nav missing") | said("aum missing") | said("ter missing") | said("tracking quality metric missing")
+    other = said("tracking error unavailable") & said("tracking difference available")
+    return (etf & lacking, known[0]), (etf & ~lacking & other, known[1]), (etf & ~lacking & ~other & said("tracking disclosure unavailable"), known[2])
+
+
+def risk_flags(told: bool = False) -> Column:
+    """The rules that apply, in order, as an array; joined by `; ` for display, `Clean` where none applies. told: whether rows have ETF_Quality_Data_Flag."""
+    ineligible = F.lower(F.coalesce("Opportunity_Eligible", F.lit("Yes"))) == "no"
+    etf = is_etf()
     rules = (
         (ineligible, "Parking/debt ETF - excluded from opportunity ranking"),
         (~F.coalesce("Absolute_Momentum_Pass", F.lit(False)), "Absolute momentum filter failed"),
@@ -135,15 +148,14 @@ def risk_flags() -> Column:
         (~F.col("Above_20DMA") & ~F.col("Above_50DMA"), "Weak trend"),
         (F.col("RSI_14") > OVERBOUGHT, "Overbought RSI"),
         (etf & (F.abs("NAV_Premium_Discount") > NAV_PREMIUM_MAX), "High NAV premium/discount"),
-        (etf & (gone("NAV") | gone("AUM_Cr") | gone("TER") | (gone("Tracking_Error") & gone("Tracking_Difference"))), "ETF quality data incomplete"),
-        (etf & ~gone("NAV") & ~gone("AUM_Cr") & ~gone("TER") & gone("Tracking_Error") & ~gone("Tracking_Difference"), "ETF tracking error unavailable; using tracking difference"),
+        *_data_rules(told),
     )
     return F.array_compact(F.array(*(F.when(cond, F.lit(text)) for cond, text in rules)))
 
 
 def labels(df: DataFrame) -> DataFrame:
     """Risk_Flag, Bucket, Reason and Key_Risk of scored rows."""
-    df = df.withColumn("Risk_Flags", risk_flags())
+    df = df.withColumn("Risk_Flags", risk_flags("ETF_Quality_Data_Flag" in df.columns))
     df = df.withColumn("Risk_Flag", F.when(F.size("Risk_Flags") == 0, "Clean").otherwise(F.array_join("Risk_Flags", "; ")))
     parked = F.lower(F.coalesce("Opportunity_Eligible", F.lit("Yes"))) == "no"
     s, clean = F.col("Final_Score"), F.col("Risk_Flag") == "Clean"

@@ -8,8 +8,8 @@ from pyspark.sql.types import DateType, DoubleType, LongType, StringType, Struct
 from barlake import panel
 from barlake.plans import sql
 from barlake.plans.basket import _EARN, earnings
-from barlake.plans.queries import r4, register
-from barlake.sources import readers
+from barlake.plans.queries import r4, register, table
+from barlake.sources import nested, readers
 from barlake.sources.shared import shared_path
 
 PRICE = StructType([StructField("Date", DateType()), StructField("Symbol", StringType()), StructField("Price", DoubleType())])
@@ -183,11 +183,11 @@ def _chains(spark, sf_dir):
     return line.select(F.concat(F.lit("O"), F.col("l_orderkey") % 50).alias("Symbol"), "l_orderkey", "Date", F.to_json(F.struct("underlying", "data")).alias("json"))
 
 
-_IV = """u as (select l_orderkey, min(l_shipdate::date) as Date, round(avg(l_quantity), 3) as under from lineitem group by 1), n as (select l_orderkey, Date, greatest(l_discount, l_tax) as iv, row_number() over (partition by l_orderkey order by abs(l_quantity - under), l_quantity) as k, min(abs(l_quantity - under)) over (partition by l_orderkey) as least, abs(l_quantity - under) as d, l_quantity from lineitem join u using (l_orderkey)),
-ivs as (select l_orderkey, Date, max(case when iv > 0 then iv end) as IV from n where d = least and l_quantity = (select min(l_quantity) from n m where m.l_orderkey = n.l_orderkey and m.d = m.least) group by 1, 2)"""
+_IV = """u as (select l_orderkey, min(l_shipdate::date) as Date, round(avg(l_quantity), 3) as under from lineitem group by 1),
+n as (select l_orderkey, Date, greatest(l_discount, l_tax) as iv, rank() over (partition by l_orderkey order by abs(l_quantity - under), l_quantity) as k from lineitem join u using (l_orderkey))"""
 
 
-@register("atm_iv")
+@register("atm_iv", f"with {_IV} select l_orderkey::varchar as Symbol, Date, count(*) as Strikes, max(case when iv > 0 then iv end) as IV from n where k = 1 group by 1, 2")
 def atm_iv(spark, sf_dir):
     return readers.atm_iv(_chains(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("Symbol"), "Date", "json"))
 
@@ -206,23 +206,24 @@ def _filings(spark, sf_dir):
     c = panel.table(spark, sf_dir, "conversations")
     k = F.col("conv_id")
     when = F.when(k % 4 == 0, None).otherwise(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")), "dd-MMM-yyyy"))
-    raw = c.where("turn = 0").select(F.when(k % 7 != 0, F.concat(F.lit(" s"), k % 20)).alias("sm_name"), F.substring(F.regexp_replace("text", "[\\s\\x00-\\x1f\",\\\\]+", " "), 1, 40).alias("desc"), when.alias("an_dt"), k.alias("id"))
+    raw = c.select(F.when(k % 7 != 0, F.concat(F.lit(" s"), k % 20)).alias("sm_name"), F.col("text").alias("desc"), when.alias("an_dt"), k.alias("id"))
     path = shared_path(spark, "filings")
     raw.write.json(path)
     return readers.scan_filings(spark.read.json(path), "2024-03-01", 30)
 
 
-_FILED = "f0 as (select case when conv_id % 7 != 0 then 'S' || (conv_id % 20) end as Symbol, case when conv_id % 4 != 0 then date '2024-01-01' + (conv_id % 60)::int end as Published from conversations where turn = 0 and trim(substr(regexp_replace(text, '[\\s\\x00-\\x1f\",\\\\]+', ' ', 'g'), 1, 40)) != ''), f1 as (select * from f0 where Symbol is not null and (Published is null or Published >= date '2024-03-01' - 30))"
+_FILED = "f0 as (select case when conv_id % 7 != 0 then 'S' || (conv_id % 20) end as Symbol, case when conv_id % 4 != 0 then date '2024-01-01' + (conv_id % 60)::int end as Published, trim(text, ' ') as Title from conversations where trim(text, ' ') != ''), f1 as (select * from f0 where Symbol is not null and (Published is null or Published >= date '2024-03-01' - 30))"
 
 
-@register("scan_filings", f"with {_FILED} select Symbol, Published, count(*) as n from f1 group by 1, 2")
+@register("scan_filings", f"with {_FILED} select Symbol, Published, sha256(Title) as Title_SHA256 from f1")
 def scan_filings(spark, sf_dir):
-    return _filings(spark, sf_dir).groupBy("Symbol", "Published").agg(F.count(F.lit(1)).alias("n"))
+    return _filings(spark, sf_dir).select("Symbol", "Published", F.sha2("Title", 256).alias("Title_SHA256"))
 
 
-@register("filings_for_symbols", f"with {_FILED} select Symbol, count(*) as n from f1 where Symbol in (select 'S' || s_suppkey from supplier) group by 1")
+@register("filings_for_symbols", f"with {_FILED} select Symbol, Published, sha256(Title) as Title_SHA256 from f1 where Symbol in (select 'S' || s_suppkey from supplier)")
 def filings_for_symbols(spark, sf_dir):
-    return readers.filings_for_symbols(_filings(spark, sf_dir), panel.master(spark, sf_dir)).groupBy("Symbol").agg(F.count(F.lit(1)).alias("n"))
+    wanted = readers.filings_for_symbols(_filings(spark, sf_dir), panel.master(spark, sf_dir))
+    return wanted.select("Symbol", "Published", F.sha2("Title", 256).alias("Title_SHA256"))
 
 
 @register("scan_rss", "with t as (select distinct p_type as Query, trim(p_name) as Title from part), k as (select *, row_number() over (partition by Query order by Title) as k from t), l as (select p_type as Query, trim(p_name) as Title, min('http://x/' || p_partkey) as Link from part group by 1, 2) select Query, Title, Link from k join l using (Query, Title) where k <= 10")
@@ -248,9 +249,22 @@ def shortlist(spark, sf_dir):
     return readers.shortlist(top.select(panel.symbol("s_suppkey").alias("Symbol"), "Place"), panel.master(spark, sf_dir), 20)
 
 
-@register("flatten_nested", "select o_custkey as id, o_orderpriority as Name, o_orderkey::varchar as Key, o_orderstatus as Value from orders")
+_NESTED = """o as (select o_custkey as id, o_orderkey::varchar as k, o_orderstatus as s, o_orderpriority as p, o_custkey % 3 as shape from orders),
+f as (select id, unnest(['name', 'Key', 'Value']) as Name, unnest([p, k, s]) as Value from o where shape = 0 union all select distinct id, 'name', p from o where shape = 0
+union all select distinct id, 'cust', id::varchar from o where shape = 1 union all select id, unnest(['cust', 'code']), unnest([id::varchar, k]) from o where shape = 1 union all select id, unnest(['cust', 'code', 'status']), unnest([id::varchar, k, s]) from o where shape = 1
+union all select id, unnest(['code', 'code_2', 'status']), unnest([k, p, s]) from o where shape = 2)"""
+
+
+@register("flatten_nested", f"with {_NESTED} select * from f")
 def flatten_nested(spark, sf_dir):
-    o = panel.table(spark, sf_dir, "orders")
-    pairs = o.groupBy("o_custkey", "o_orderpriority").agg(F.collect_list(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("rows"))
-    raw = pairs.groupBy(F.col("o_custkey").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("o_orderpriority").alias("name"), "rows")).alias("data"))).alias("json"))
-    return readers.flatten_nested(raw, "json")
+    """Orders as payloads of three shapes: tables under names, nested objects, and tables with a repeated name."""
+    o = panel.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    listed = lambda *c: F.collect_list(F.array(*c))
+    headed = lambda names, rows: F.concat(F.array(F.array(*map(F.lit, names))), rows)
+    of = lambda n: o.where(F.col("id") % 3 == n)
+    named = of(0).groupBy("id", "p").agg(F.struct(F.col("p").alias("name"), headed(("Key", "Value"), listed("k", "s")).alias("rows")).alias("d")).groupBy("id").agg(F.to_json(F.struct(F.collect_list("d").alias("data"))).alias("json"))
+    inner = of(1).groupBy("id").agg(F.collect_list(F.struct(F.col("k").alias("code"), F.struct(F.col("s").alias("status")).alias("more"))).alias("orders"))
+    objects = inner.select("id", F.to_json(F.struct(F.col("id").alias("cust"), "orders")).alias("json"))
+    tables = of(2).groupBy("id").agg(F.to_json(headed(("code", "code", "status"), listed("k", "p", "s"))).alias("json"))
+    raw = named.unionByName(objects).unionByName(tables)
+    return nested.flatten_nested(raw, "json", table).select("id", "Name", "Value")

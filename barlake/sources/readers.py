@@ -164,12 +164,16 @@ def multi_file_union(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atm_iv(chains: DataFrame) -> DataFrame:
-    """(Symbol, Date, IV) from option chains as JSON text (Symbol, Date, json): at the strike nearest to the underlying the larger of call and put volatility; null where not positive."""
+    """(Symbol, Date, Strikes, IV) from option chains as JSON text (Symbol, Date, json): the largest volatility of calls and puts at the strike nearest to the underlying.
+
+    Of strikes as near the lower one counts; Strikes says how many quotes it has. IV is null where none is positive. Text that is no chain gives no row.
+    """
     schema = "underlying double, data array<struct<strike:double, ce:double, pe:double>>"
-    c = chains.withColumn("c", F.from_json("json", schema)).select("Symbol", "Date", "c.underlying", F.explode("c.data").alias("d"))
-    best = c.groupBy("Symbol", "Date").agg(F.min_by("d", F.struct(F.abs(F.col("d.strike") - F.col("underlying")), F.col("d.strike"))).alias("d"))
+    c = chains.withColumn("c", F.from_json("json", schema)).select("Symbol", "Date", "c.underlying", F.explode("c.data").alias("d")).where("d.strike is not null and underlying is not null")
+    near = F.struct(F.abs(F.col("d.strike") - F.col("underlying")), F.col("d.strike"))
     iv = F.greatest("d.ce", "d.pe")
-    return best.select("Symbol", "Date", F.when(iv > 0, iv).alias("IV"))
+    strikes = c.groupBy("Symbol", "Date", near.alias("near")).agg(F.count(F.lit(1)).alias("Strikes"), F.max(F.when(iv > 0, iv)).alias("IV"))
+    return strikes.groupBy("Symbol", "Date").agg(F.min_by(F.struct("Strikes", "IV"), "near").alias("d")).select("Symbol", "Date", "d.Strikes", "d.IV")
 
 
 def scan_filings(raw: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -205,13 +209,6 @@ def shortlist(ranked: DataFrame, master: DataFrame, n: int) -> DataFrame:
     return first.join(F.broadcast(source), F.col("s") == F.col("_s")).orderBy("p", "Symbol").limit(n).select("Symbol")
 
 
-def flatten_nested(raw: DataFrame, column: str) -> DataFrame:
-    """Nested JSON text, {"data": [{"name", "rows": [[a, b], ...]}]}, as one row a value pair: (id, Name, Key, Value)."""
-    schema = "data array<struct<name:string, rows:array<array<string>>>>"
-    d = raw.withColumn("_j", F.from_json(column, schema)).select("id", F.explode("_j.data").alias("d"))
-    return d.select("id", F.col("d.name").alias("Name"), F.explode("d.rows").alias("r")).select("id", "Name", F.get("r", F.lit(0)).alias("Key"), F.get("r", F.lit(1)).alias("Value"))
-
-
 def iv_rank_daily(iv: DataFrame) -> DataFrame:
     """(Symbol, Date, IV_Rank): percentage of the symbol's 252 values before that lie below the current one; null for the first."""
     from barlake.operators.signals import share_below

@@ -60,3 +60,23 @@ def test_weekdays_between_dates(spark):
     for r in df.withColumn("n", metadata.business_days(F.col("a"), F.col("b"))).collect():
         want = sum((r.a + dt.timedelta(days=i)).weekday() < 5 for i in range(1, (r.b - r.a).days + 1))
         assert r.n == (want if r.b >= r.a else None)
+
+
+def test_risk_flags_take_the_data_flag_of_the_sources(spark):
+    from barlake.operators import scoring
+
+    flags = ["Complete", "NAV missing; Tracking error unavailable; tracking difference available", "Tracking error unavailable; tracking difference available", "Tracking disclosure unavailable from current AMFI feed", None]
+    fields = "Opportunity_Eligible string, Absolute_Momentum_Pass boolean, Volatility_20D double, Current_Drawdown_60D double, Zero_Volume_Days_60D double, Above_20DMA boolean, Above_50DMA boolean, RSI_14 double, NAV_Premium_Discount double, NAV double"
+    rows = [(k, u, f, "Yes", True, 0.1, 0.0, 0.0, True, True, 50.0, 0.0, None) for k, f in enumerate(flags) for u in ("ETF", "Stock")]
+    got = {(r.k, r.Universe): r.f for r in spark.createDataFrame(rows, "k int, Universe string, ETF_Quality_Data_Flag string, " + fields).withColumn("f", scoring.risk_flags(True)).collect()}
+    assert [got[k, "ETF"] for k in range(5)] == [[], ["ETF quality data incomplete"], ["ETF tracking error unavailable; using tracking difference"], ["ETF tracking disclosure unavailable from current AMFI feed"], []]
+    assert all(not got[k, "Stock"] for k in range(5))
+
+
+def test_volatility_at_the_money(spark):
+    from barlake.sources import readers
+
+    chain = '{"underlying": 10.5, "data": [{"strike": 10, "ce": 0.2, "pe": null}, {"strike": 11, "ce": 9, "pe": 9}, {"strike": 10, "ce": 0.1, "pe": 0.3}, {"strike": null, "ce": 5, "pe": 5}]}'
+    rows = [("A", D(0), chain), ("B", D(0), '{"underlying": 1, "data": [{"strike": 1, "ce": 0, "pe": -1}]}'), ("C", D(0), "broken"), ("D", D(0), None), ("E", D(0), '{"underlying": 1, "data": []}')]
+    got = {r.Symbol: (r.Strikes, r.IV) for r in readers.atm_iv(spark.createDataFrame(rows, "Symbol string, Date date, json string")).collect()}
+    assert got == {"A": (2, 0.3), "B": (1, None)}
