@@ -64,6 +64,10 @@ def _places(norm: Column, m: int):
     return places
 
 
+#: Places of a rule that are added up together.
+CHUNK = 256
+
+
 def _base(norm: Column) -> list[Column]:
     none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     return [F.when(F.contains(norm, F.lit(f" {p} ")), bind(F.split(norm, _edge(p), -1), _places(norm, len(p.split())))).otherwise(none) for p, _ in BASE]
@@ -75,15 +79,22 @@ def _detections(norm: Column) -> Column:
     table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*map(rule, rs)).alias("rules")) for k, rs in rules()))
 
     def places(r: Column) -> Column:
-        def walk(parts: Column, found: Column) -> Column:
-            each = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("gap"), F.length(f).alias("n")))
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,priority:int,label:string>>").alias("out"))
+        def chunk(each: Column, at: Column) -> Column:
+            start = F.struct(at.alias("at"), F.array().cast("array<struct<s:int,e:int,priority:int,label:string>>").alias("out"))
             step = lambda a, x: F.struct(
                 (a["at"] + x["gap"] + x["n"]).alias("at"),
                 F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["n"]).alias("e"), r["priority"].alias("priority"), r["label"].alias("label")))).alias("out"),
             )
             return F.aggregate(each, start, step, lambda a: a["out"])
 
+        def walk(parts: Column, found: Column) -> Column:
+            # an array that grows by one is copied each time, so places are added up in chunks and these put together
+            each = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("gap"), F.length(f).alias("n")))
+            cut = lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / CHUNK).cast("int")), lambda k: F.slice(e, k * CHUNK + 1, F.lit(CHUNK)))
+            long = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["n"])
+            starts = lambda cs: F.aggregate(cs, F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + long(c))))
+            return bind(each, lambda e: bind(cut(e), lambda cs: F.flatten(F.zip_with(cs, F.slice(starts(cs), 1, F.size(cs)), chunk))))
+
         some = F.regexp_extract_all(norm, r["regex"], F.lit(0))
         none = F.array().cast("array<struct<s:int,e:int,priority:int,label:string>>")
         return bind(some, lambda f: F.when(F.size(f) > 0, bind(F.split(norm, r["regex"], -1), lambda p: walk(p, f))).otherwise(none))

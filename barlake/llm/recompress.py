@@ -32,8 +32,7 @@ ROUNDS = (("runs", 2), ("pairs", 4), ("pairs", 8))
 MARGIN = 2 + 2 + 4
 
 _poly: dict[int, Poly] = {}
-_NONE = U(0xFFFFFFFFFFFFFFFF)
-_POS = U(0xFFFFFF)
+_NONE = np.iinfo(np.int64).max
 
 
 def _hash(seed: int) -> Poly:
@@ -90,12 +89,13 @@ def stretches(words, window: int = WINDOW):
     h1, h2 = (_hash(s).words(words.buf, words.start, words.end) for s in (1, 2))
     s1, s2 = _hash(3).sums(h1), _hash(4).sums(h2)
     reach = window - 2 * MARGIN  # cuts from MARGIN to MARGIN + reach words after a window's start
-    value = np.full(n + reach + MARGIN + 1, _NONE)
+    value = np.full(n + reach + MARGIN + 1, _NONE)  # of each word that is a cut its place in the order of all cuts' names, then positions
     at = cuts(h1, words.doc)
     lo, hi = words.first[words.doc[at]], words.first[words.doc[at] + 1]
     at = at[(at - lo >= MARGIN) & (hi - at >= MARGIN)]
     key = mix(_hash(3).span(s1, at - MARGIN, at + MARGIN))
-    value[at] = (key & ~_POS) | at.astype(np.uint64)
+    ordered = at[np.lexsort((at, key))]
+    value[ordered] = np.arange(len(at))
     width, low = 1, value
     while 2 * width <= reach + 1:
         low = np.minimum(low[:-width], low[width:])
@@ -111,7 +111,7 @@ def stretches(words, window: int = WINDOW):
     a = s[head]
     b = s[np.append(np.flatnonzero(head)[1:], len(s)) - 1] if len(s) else a
     doc = words.doc[a]
-    cut = (best[head] & _POS).astype(np.int64)
+    cut = ordered[best[head]]
     u1 = mix(_hash(3).span(s1, a, b + window)) + (b - a).astype(np.uint64)
     u2 = mix(_hash(4).span(s2, a, b + window))
     name = mix(_hash(3).span(s1, cut - MARGIN, cut + MARGIN))

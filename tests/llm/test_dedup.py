@@ -184,3 +184,22 @@ def test_lines_of_odd_rows(spark):
     lost = sorted((r.doc_id or -1, r._removed) for r in got)
     assert lost[:3] == [(-1, 0), (1, 0), (1, 0)] and lost[3][1] > 0 and lost[4:] == [(3, 0), (4, 0)]
     assert line_chunks.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_cuts_do_not_depend_on_where_a_passage_stands():
+    """A passage at the end of a long text is cut as it is alone; positions have no bound in bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from barlake.llm.textops import word_slices
+
+    rnd = random.Random(4)
+    passage = [f"p{rnd.randrange(10**6)}" for _ in range(80)]
+    names = []
+    for before in (["a", "b", "c"], [f"w{i % 977}" for i in range(400_000)]):
+        w = next(word_slices(pa.array([" ".join(before + passage)]), limit=1 << 40))
+        _, a, b, u1, _, name = recompress.stretches(w)
+        inside = a >= len(before)
+        assert (b - a >= 0).all() and len(np.unique(u1[inside])) == inside.sum()
+        names.append(set(name[inside].tolist()))
+    assert names[0] and names[0] <= names[1]

@@ -132,3 +132,16 @@ def test_contained_detections_are_suppressed(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     rules = [r for _, rs in licenses.rules() for r in rs]
     assert len(rules) == len(set(rules)) >= 200
+
+
+def test_a_rule_with_very_many_places(spark):
+    """40,000 places of one phrase in one text, counted and found in time that grows with their number."""
+    import time
+
+    from barlake.llm import licenses
+
+    n = 40_000
+    began = time.time()
+    got = licenses.scan(spark.createDataFrame([(1, "public domain x " * n)], "doc_id long, text string")).selectExpr("n_words", "labels", "size(detections) as n", "element_at(detections, -1).s as last").first()
+    assert got.n_words == 3 * n and got.n >= n and got.labels and got["last"] == 1 + 16 * (n - 1)
+    assert time.time() - began < 60
