@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,15 +147,42 @@ def breadth(bars: DataFrame, n: int = 50) -> DataFrame:
     return df.groupBy("Date").agg((F.avg(F.when(p > F.col("_ma"), 1.0).otherwise(0.0)) * 100).alias("Breadth_Pct"), F.count(F.lit(1)).alias("Symbols"))
 
 
-def share_below(series: DataFrame, n: int, least: int, strict: bool = True, to: int = 0) -> DataFrame:
-    """(Symbol, Date, Value, Share): percentage of n values up to the row `to` below the current one (or at it, if not strict), where there are `least`.
+#: Rows of a symbol whose moving ranks one task counts.
+STRETCH = 4096
 
-    A frame's values are listed for each row, n numbers at most: no aggregate tells a moving rank.
+
+def _below(n: int, least: int, strict: bool, to: int, stretch: int):
+    """Moving ranks of one stretch of a symbol's rows, which come with the rows before it that their frames reach back to."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_k")
+        k, part = table.column("_k").to_numpy(), key[1].as_py()
+        _, rank = np.unique(table.column("Value").to_numpy(), return_inverse=True)
+        own = np.flatnonzero(k // stretch == part)
+        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - to, -1), rank]), n)[own + 1]  # of row i the n rows up to i + to
+        there = frames >= 0
+        mine = rank[own][:, None]
+        below = (there & ((frames < mine) if strict else (frames <= mine))).sum(axis=1)
+        size = there.sum(axis=1)
+        share = [b / m * 100 if m >= least and m else None for b, m in zip(below.tolist(), size.tolist(), strict=True)]
+        return pa.table({c: table.column(c).take(own) for c in ("Symbol", "Date", "Value")} | {"Share": pa.array(share, pa.float64())})
+
+    return run
+
+
+def share_below(series: DataFrame, n: int, least: int, strict: bool = True, to: int = 0, stretch: int = STRETCH) -> DataFrame:
+    """(Symbol, Date, Value, Share): percentage of n values up to the row `to` (0 or before) below the current one (or at it, if not strict), where there are `least`.
+
+    A symbol's rows are cut into stretches, each with the rows that its frames reach back to, so that a long history lies in many tasks. Null values are left out.
     """
-    values = F.collect_list("Value").over(rows(n, to))
-    below = (lambda x: x < F.col("Value")) if strict else (lambda x: x <= F.col("Value"))
-    df = series.where("Value is not null").withColumn("_v", values)
-    return df.select("Symbol", "Date", "Value", F.when(F.size("_v") >= least, F.size(F.filter("_v", below)) / F.size("_v") * 100).alias("Share"))
+    back = n - 1 - to
+    stretch = max(stretch, back, 1)
+    k = F.row_number().over(by_symbol()) - 1
+    df = series.where("Value is not null").select("Symbol", "Date", F.col("Value").cast("double").alias("Value")).withColumn("_k", k.cast("long"))
+    part = F.floor(F.col("_k") / stretch).cast("long")
+    parts = F.when(F.col("_k") % stretch >= stretch - back, F.array(part, part + 1)).otherwise(F.array(part))
+    each = df.withColumn("_part", F.explode(parts))
+    return each.groupBy("Symbol", "_part").applyInArrow(_below(n, least, strict, to, stretch), "Symbol string, Date date, Value double, Share double")
 
 
 def vix_percentile(series: DataFrame, n: int = 252, least: int = 20) -> DataFrame:

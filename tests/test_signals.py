@@ -87,3 +87,20 @@ def test_verdict_gates(spark):
     for change, want in cases:
         df = spark.createDataFrame([row | change])
         assert validation.verdict(validation.bayes_shrink(df)).first().Verdict == want
+
+
+@pytest.mark.parametrize("n, least, strict, to, stretch", [(5, 1, True, 0, 4096), (5, 3, False, 0, 7), (4, 1, True, -1, 4), (1, 1, False, 0, 1), (3, 2, True, -2, 5)])
+def test_moving_ranks_do_not_depend_on_stretches(spark, n, least, strict, to, stretch):
+
+    rnd = random.Random(n)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), rnd.choice([None, float("nan"), 1.0, 2.0, rnd.random()])) for s, m in (("A", 60), ("B", 3), ("C", 1)) for d in range(m)]
+    got = {(r.Symbol, r.Date): r.Share for r in signals.share_below(spark.createDataFrame(rows, "Symbol string, Date date, Value double"), n, least, strict, to, stretch).collect()}
+    want, key = {}, lambda v: (v != v, v if v == v else 0.0)
+    for s in "ABC":
+        of = [(d, v) for x, d, v in rows if x == s and v is not None]
+        for i, (d, v) in enumerate(of):
+            frame = [w for j, (_, w) in enumerate(of) if i + to - n < j <= i + to]
+            hits = sum(key(w) < key(v) if strict else key(w) <= key(v) for w in frame)
+            want[s, d] = hits / len(frame) * 100 if len(frame) >= least and frame else None
+    assert got == want
+    assert signals.share_below(spark.createDataFrame([], "Symbol string, Date date, Value double"), n, least).count() == 0
