@@ -143,11 +143,18 @@ def card_join(top: DataFrame, context: DataFrame, horizon: DataFrame, benchmark:
     return top.join(context.hint("shuffle_hash"), "Symbol", "left").join(horizon.hint("shuffle_hash"), "Symbol", "left").join(benchmark.hint("shuffle_hash"), "Date", "left")
 
 
-def evidence_rows(cards: DataFrame, *others: DataFrame) -> DataFrame:
-    """(Date, Symbol, Evidence): all columns of the cards and of further tables by Symbol, as one JSON text a pick."""
-    for df in others:
-        cards = cards.join(df.hint("shuffle_hash"), "Symbol", "left")
-    return cards.select("Date", "Symbol", F.to_json(F.struct(*sorted(c for c in cards.columns if c not in ("Date", "Symbol")))).alias("Evidence"))
+def evidence_rows(cards: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(Date, Symbol, Evidence): one JSON text a pick, with the card's columns and, under each table's name, the columns of the symbol's row in it.
+
+    Of several rows of a symbol the least counts, so that reruns agree. A table without a row for the symbol stands as null, and so do null values.
+    """
+    own = sorted(c for c in cards.columns if c not in ("Date", "Symbol"))
+    rows = cards.select("Date", "Symbol", F.struct(*own).alias("_card"))  # its names may be those of tables
+    for k, df in enumerate(tables.values()):
+        one = df.groupBy("Symbol").agg(F.min(F.struct(*(c for c in df.columns if c != "Symbol"))).alias(f"_t{k}"))
+        rows = rows.join(one.hint("shuffle_hash"), "Symbol", "left")
+    fields = [F.col("_card")[c].alias(c) for c in own] + [F.col(f"_t{k}").alias(name) for k, name in enumerate(tables)]
+    return rows.select("Date", "Symbol", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("Evidence"))
 
 
 def review_queue(events: DataFrame, flagged: DataFrame, moves: DataFrame, feeds: DataFrame, n: int = 20) -> DataFrame:
@@ -163,10 +170,12 @@ def review_queue(events: DataFrame, flagged: DataFrame, moves: DataFrame, feeds:
     return top.withColumn("Place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", "Item")).cast("long")).select("Place", "Kind", "Item")
 
 
-def news_candidates(scores: DataFrame, entries: DataFrame, movers: DataFrame, flags: DataFrame, cap: int = 30) -> DataFrame:
-    """(Date, Symbol, Why, Place): symbols to read news of at each date: the first 15, new ones of the first 20, gainers by 5 or more ranks, new risk flags; each once, by its first reason; `cap` a date."""
+def news_candidates(scores: DataFrame, entries: DataFrame, movers: DataFrame, flags: DataFrame, pins: DataFrame | None = None, cap: int = 30) -> DataFrame:
+    """(Date, Symbol, Why, Place): symbols to read news of at each date: the first 15, new ones of the first 20, gainers by 5 or more ranks, new risk flags, pinned ones (Symbol) that have a score; each once, by its first reason; `cap` a date."""
     part = lambda df, k, why: df.select("Date", "Symbol", F.lit(k).alias("k"), F.lit(why).alias("Why"))
     every = part(scores.where("Opportunity_Rank <= 15"), 1, "top-15").unionByName(part(entries.where("Change = 'entry'"), 2, "new top-20")).unionByName(part(movers.where("Side = 'gainer' and Move >= 5"), 3, "gainer")).unionByName(part(flags.where("Change = 'new'"), 4, "new risk flag"))
+    if pins is not None:
+        every = every.unionByName(part(scores.join(pins.select("Symbol").distinct().hint("shuffle_hash"), "Symbol", "left_semi"), 5, "user_pin"))
     first = every.groupBy("Date", "Symbol").agg(F.min(F.struct("k", "Why")).alias("m")).select("Date", "Symbol", "m.k", "m.Why")
     place = F.row_number().over(Window.partitionBy("Date").orderBy("k", "Symbol")).cast("long")
     return first.withColumn("Place", place).where(F.col("Place") <= cap).select("Date", "Symbol", "Why", "Place")

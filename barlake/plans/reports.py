@@ -10,7 +10,7 @@ from barlake.plans import sql
 from barlake.plans.basket import _CAL, _EARN, event_calendar
 from barlake.plans.books import _COMPARE, _SHADOW, LABELS, shadow
 from barlake.plans.more import _PREV, feed_health
-from barlake.plans.queries import oracle_sql, r4, register, scores_table, table
+from barlake.plans.queries import oracle_sql, queries, r4, register, scores_table, table
 from barlake.sources import tables
 
 
@@ -47,7 +47,16 @@ def _cards(spark, sf_dir):
 
 @register("evidence_rows")
 def evidence_rows(spark, sf_dir):
-    return changes.evidence_rows(_cards(spark, sf_dir), event_calendar(spark, sf_dir).select("Symbol", "Event_Risk"))
+    """The cards of every date with what eight other queries say of their symbols."""
+    from barlake.operators import signals
+
+    b = panel.bars(spark, sf_dir)
+    said = {
+        "horizon": signals.hold_horizon(b).where("Best").select("Symbol", "Horizon", "N", *r4("Median", "Downside")), "benchmark_stats": signals.benchmark_stats(b, panel.benchmark(b)).select("Symbol", "N", *r4("Excess_21", "Beta")),
+        "fundamentals": panel.fundamentals(spark, sf_dir).select("Symbol", "PE", "ROE"), "event_calendar": event_calendar(spark, sf_dir).select("Symbol", "Event_Risk"),
+    }
+    said |= {name: queries()[query](spark, sf_dir) for name, query in (("sizing", "position_sizing"), ("sector_context", "sector_context"), ("expected_value", "ev_kelly"), ("institutional_flow", "bulk_deal_net"))}
+    return changes.evidence_rows(_cards(spark, sf_dir), said)
 
 
 @register("review_queue", f"""with {sql.SCORES}, {LABELS}, {_EARN}, {_CAL}, p as (select *, lag(Rank) over (partition by Symbol order by Date) - Rank as ch from labels), l as (select * from p where Date = (select max(Date) from labels)), fh as ({oracle_sql()['feed_health']}),
@@ -62,8 +71,9 @@ def review_queue(spark, sf_dir):
 @register("news_candidates", f"""with {sql.SCORES}, {LABELS}, {_PREV}, top as (select Date, Symbol from scores where Opportunity_Rank <= 20), ent as (select t.Date, t.Symbol from top t join prev using (Date) where pd is not null and not exists (select 1 from top b where b.Date = prev.pd and b.Symbol = t.Symbol)),
 mv as (select s.Date, s.Symbol, o.Rank - s.Rank as Move from scores s join prev using (Date) join scores o on o.Date = prev.pd and o.Symbol = s.Symbol), mk as (select *, row_number() over (partition by Date order by Move desc, Symbol) as u from mv),
 fl as (select Date, Symbol, Risk_Flag, lag(Risk_Flag) over (partition by Symbol order by Date) as pf from labels),
-a as (select Date, Symbol, 1 as k, 'top-15' as Why from scores where Opportunity_Rank <= 15 union all select Date, Symbol, 2, 'new top-20' from ent union all select Date, Symbol, 3, 'gainer' from mk where u <= 5 and Move >= 5 union all select Date, Symbol, 4, 'new risk flag' from fl where pf = 'Clean' and Risk_Flag != 'Clean'),
+a as (select Date, Symbol, 1 as k, 'top-15' as Why from scores where Opportunity_Rank <= 15 union all select Date, Symbol, 2, 'new top-20' from ent union all select Date, Symbol, 3, 'gainer' from mk where u <= 5 and Move >= 5 union all select Date, Symbol, 5, 'user_pin' from scores where Symbol in (select 'S' || s_suppkey from supplier where s_acctbal < 0) union all select Date, Symbol, 4, 'new risk flag' from fl where pf = 'Clean' and Risk_Flag != 'Clean'),
 m as (select Date, Symbol, min(k) as k, arg_min(Why, k) as Why from a group by 1, 2), p as (select *, row_number() over (partition by Date order by k, Symbol) as Place from m) select Date, Symbol, Why, Place from p where Place <= 30""")
 def news_candidates(spark, sf_dir):
     scored = table(scoring.labels(scores_table(spark, sf_dir)).select("Date", "Symbol", "Rank", "Opportunity_Rank", "Risk_Flag"), "labels")
-    return changes.news_candidates(scored, changes.topn_entries_exits(scored), changes.rank_movers(scored), changes.risk_flag_changes(scored))
+    pins = panel.table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(panel.symbol("s_suppkey").alias("Symbol"))
+    return changes.news_candidates(scored, changes.topn_entries_exits(scored), changes.rank_movers(scored), changes.risk_flag_changes(scored), pins)

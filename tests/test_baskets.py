@@ -80,3 +80,15 @@ def test_volatility_at_the_money(spark):
     rows = [("A", D(0), chain), ("B", D(0), '{"underlying": 1, "data": [{"strike": 1, "ce": 0, "pe": -1}]}'), ("C", D(0), "broken"), ("D", D(0), None), ("E", D(0), '{"underlying": 1, "data": []}')]
     got = {r.Symbol: (r.Strikes, r.IV) for r in readers.atm_iv(spark.createDataFrame(rows, "Symbol string, Date date, json string")).collect()}
     assert got == {"A": (2, 0.3), "B": (1, None)}
+
+
+def test_evidence_holds_a_row_of_each_table(spark):
+    import json
+
+    from barlake.operators import changes
+
+    cards = spark.createDataFrame([(D(0), "A", 1, None), (D(0), "B", 2, "x"), (D(1), "A", 1, "y")], "Date date, Symbol string, Place int, Sector string")
+    sizes = spark.createDataFrame([("A", 0.5, None), ("A", 0.4, 7)], "Symbol string, Weight double, Shares int")
+    flows = spark.createDataFrame([], "Symbol string, Net string")
+    got = {(r.Date, r.Symbol): json.loads(r.Evidence) for r in changes.evidence_rows(cards, {"sizing": sizes, "flow": flows}).collect()}
+    assert got == {(D(0), "A"): {"Place": 1, "Sector": None, "sizing": {"Weight": 0.4, "Shares": 7}, "flow": None}, (D(0), "B"): {"Place": 2, "Sector": "x", "sizing": None, "flow": None}, (D(1), "A"): {"Place": 1, "Sector": "y", "sizing": {"Weight": 0.4, "Shares": 7}, "flow": None}}
