@@ -234,10 +234,6 @@ def _drawn_pairs(rest: DataFrame, turn: int) -> DataFrame:
     return outside.groupBy(F.col("doc_id").alias("u")).agg(F.min_by("drawn", F.xxhash64("drawn", F.lit(turn))).alias("v"))
 
 
-#: Pairs of documents that are counted at a time.
-_PAIRS = 1 << 21
-
-
 def _intersections(n: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Sizes of the multiset intersections of n bags, n x n (the diagonal is of no use).
 
@@ -254,9 +250,9 @@ def _intersections(n: int, doc: np.ndarray, name: np.ndarray, count: np.ndarray)
     for d in np.unique(size[(size > 1) & (size < DENSE)]):
         docs = doc[head[size == d][:, None] + np.arange(d)]
         i, j = np.triu_indices(d, 1)
-        for k in range(0, len(docs), step := max(1, _PAIRS // len(i))):
-            some = docs[k : k + step]
-            out += np.bincount((some[:, i] * n + some[:, j]).ravel(), minlength=n * n).reshape(n, n)
+        step = max(1, max(n * n // 16, 1 << 14) // len(i))  # indices stay small beside the counts of all pairs
+        for k in range(0, len(docs), step):
+            out += np.bincount((docs[k : k + step, i] * n + docs[k : k + step, j]).ravel(), minlength=n * n).reshape(n, n)
     out += out.T
     dense = np.flatnonzero(size >= DENSE)
     for k in range(0, len(dense), 1024):
