@@ -274,7 +274,9 @@ def _compare_block(table: pa.Table) -> pa.Table:
     n = table.num_rows
     total = np.bincount(doc, weights=count, minlength=n)
     shared = _intersections(n, doc, name, count)
-    similar = shared >= (SIMILARITY - 1e-12) * (total[:, None] + total[None, :] - shared)
+    similar = np.empty((n, n), bool)
+    for k in range(0, n, 256):  # rows at a time: the sizes of all unions at once would take several times the intersections
+        similar[k : k + 256] = shared[k : k + 256] >= (SIMILARITY - 1e-12) * (total[k : k + 256, None] + total[None, :] - shared[k : k + 256])
     ids, group, side = (table.column(c).to_numpy() for c in ("doc_id", "group", "block"))
     similar &= (group[:, None] == group[None, :]) & ((side[:, None] != side[None, :]) | (side.min() == side.max()))
     label = table.column("root").to_numpy().copy()
