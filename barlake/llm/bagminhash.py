@@ -38,8 +38,8 @@ SIZE = BANDS * ROWS
 ESTIMATE = 0.6
 #: Turns with drawn members at most, and the least share of the members outside that a turn must bring in for another one.
 TURNS, PROGRESS = 6, 0.1
-#: Documents of a block, about.
-BLOCK = 1024
+#: Documents and shingles of a block, about: a task holds two blocks.
+BLOCK, SHINGLES = 1024, 1 << 19
 #: Shingles that at least so many documents of two blocks have are counted by a matrix product, others pair by pair.
 DENSE = 16
 
@@ -294,24 +294,36 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v, similarity) that join the classes of open buckets' members.
 
     Documents that buckets connect form a group. In a group, all but those of its largest class are compared with all;
-    a group of more than BLOCK documents is dealt into blocks by hash, the largest class apart, and each two blocks of which one
-    is not of that class meet in a task.
+    a group of more than BLOCK documents or SHINGLES shingles is dealt into blocks by hash, the largest class apart, and each two
+    blocks of which one is not of that class meet in a task. Only a single text can make a block of many more shingles.
     """
     groups, n = components(rest.select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    lengths = texts.groupBy("doc_id").agg(F.sum("n_shingles").alias("length"))
     docs = rest.select("doc_id", "root").distinct().join(sided(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group")), n), "doc_id", "left")
-    docs = written(docs.withColumn("group", F.coalesce("group", "doc_id")), "open_documents")
-    classes = docs.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
-    sizes = classes.groupBy("group").agg(F.sum("n").alias("all"), F.max("n").alias("main"), F.max_by("root", F.struct("n", "root")).alias("main_root")).where("all > main")
-    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    sizes = sizes.select("group", "main_root", "all", blocks(F.col("all") - F.col("main")).alias("odd_blocks"), blocks(F.col("main")).alias("main_blocks"))
-    sizes, n, small = counted(sizes, "groups", F.coalesce(F.sum(F.when(F.col("all") <= BLOCK, F.col("all"))), F.lit(0)))
+    docs = docs.withColumn("group", F.coalesce("group", "doc_id")).join(lengths.hint("shuffle_hash"), "doc_id")
+    docs = written(docs, "open_documents")
+    classes = docs.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
+    main = lambda c: F.max_by(c, F.struct("n", "root"))
+    sizes = classes.groupBy("group").agg(
+        F.sum("n").alias("all"), F.sum("length").alias("all_length"), F.max("n").alias("main"), main("length").alias("main_length"), main("root").alias("main_root")
+    ).where("all > main")
+    blocks = lambda c, length: F.greatest(F.ceil(c / F.lit(BLOCK)), F.ceil(length / F.lit(SHINGLES)))
+    sizes = sizes.select(
+        "group",
+        "main_root",
+        blocks(F.col("all"), F.col("all_length")).alias("blocks"),
+        blocks(F.col("all") - F.col("main"), F.col("all_length") - F.col("main_length")).cast("int").alias("odd_blocks"),
+        blocks(F.col("main"), F.col("main_length")).cast("int").alias("main_blocks"),
+        F.greatest(F.col("all") / F.lit(BLOCK), F.col("all_length") / F.lit(SHINGLES)).alias("share"),
+    )
+    sizes, n, small = counted(sizes, "groups", F.ceil(F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("share"))), F.lit(0))))
     dealt = docs.join(sided(sizes, n), "group")
-    alone, h = F.col("all") <= BLOCK, F.xxhash64("doc_id")
+    alone, h = F.col("blocks") == 1, F.xxhash64("doc_id")
     block = F.when(F.col("root") == F.col("main_root"), F.col("odd_blocks") + F.pmod(h, "main_blocks")).otherwise(F.pmod(h, F.greatest("odd_blocks", F.lit(1)))).cast("int")
     with_text = dealt.withColumn("block", F.when(alone, 0).otherwise(block)).join(texts.select("doc_id", "text").hint("shuffle_merge"), "doc_id")
     last = F.when(alone, 0).when(F.col("root") == F.col("main_root"), F.col("odd_blocks") - 1).otherwise(F.col("odd_blocks") + F.col("main_blocks") - 1)
     each = with_text.withColumn("partner", F.explode(F.sequence(F.lit(0), last)))
-    bundle = F.pmod(F.xxhash64("group"), F.lit(max(1, -(-small // BLOCK))))
+    bundle = F.pmod(F.xxhash64("group"), F.lit(max(1, int(small))))
     key = F.when(alone, F.struct(bundle.alias("a"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(
         F.struct(F.col("group").alias("a"), F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
     )
@@ -322,7 +334,7 @@ def _linked(met: DataFrame, representatives: DataFrame, live: DataFrame) -> tupl
     """(links, roots, number of roots) of the members of all buckets (bucket, doc_id, hub), one candidate a member and turn."""
     first = met.where("doc_id != hub").groupBy(F.col("doc_id").alias("u")).agg(F.min("hub").alias("v"))
     some = met.select("doc_id").distinct()
-    texts = live.join(representatives.select("doc_id", "signature").join(some.hint("shuffle_hash"), "doc_id", "left_semi").hint("shuffle_merge"), "doc_id")
+    texts = live.join(representatives.select("doc_id", "n_shingles", "signature").join(some.hint("shuffle_hash"), "doc_id", "left_semi").hint("shuffle_merge"), "doc_id")
     texts = written(texts, "texts")
     links = written(_verified(written(first, "pairs"), texts), "links")
     roots, n = components(links.select("u", "v"))
@@ -360,8 +372,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = signed_docs.groupBy("b1", "b2").agg(F.min("doc_id").alias("rep"))
     members = signed_docs.join(least.hint("shuffle_hash"), ["b1", "b2"])
     own = lambda c: F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c)
-    members = written(members.select("doc_id", "rep", "b1", "b2", own("signature"), own("bands")), "members")
-    representatives = members.where("doc_id = rep").dropDuplicates(["doc_id", "b1", "b2"]).select("doc_id", "signature", "bands")
+    members = written(members.select("doc_id", "rep", "n_shingles", "b1", "b2", own("signature"), own("bands")), "members")
+    representatives = members.where("doc_id = rep").dropDuplicates(["doc_id", "b1", "b2"]).select("doc_id", "n_shingles", "signature", "bands")
     representatives = written(representatives, "representatives")
 
     buckets = representatives.select("doc_id", F.explode("bands").alias("bucket"))

@@ -96,11 +96,14 @@ def brute_classes(rows):
     return {d: find(d) for d, _ in rows}
 
 
-@pytest.mark.parametrize("turns, block", [(bagminhash.TURNS, bagminhash.BLOCK), (0, 4), (1, 9)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, turns, block):
+@pytest.mark.parametrize(
+    "turns, block, shingles", [(bagminhash.TURNS, bagminhash.BLOCK, bagminhash.SHINGLES), (0, 4, bagminhash.SHINGLES), (1, 9, bagminhash.SHINGLES), (0, bagminhash.BLOCK, 900)]
+)
+def test_near_duplicates_match_brute_force(spark, monkeypatch, turns, block, shingles):
     """Groups in one block, and in many small ones without or after a turn with drawn members."""
     monkeypatch.setattr(bagminhash, "TURNS", turns)
     monkeypatch.setattr(bagminhash, "BLOCK", block)
+    monkeypatch.setattr(bagminhash, "SHINGLES", shingles)
     rows = texts()
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute_classes(tuple(rows))
