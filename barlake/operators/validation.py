@@ -191,6 +191,43 @@ def validation_diagnosis(matured: DataFrame) -> DataFrame:
     )
 
 
+def validation_coverage(history: DataFrame, matured: DataFrame, missing: DataFrame, bars: DataFrame, horizon: int = 10, least: int = 10) -> DataFrame:
+    """(Section, Item, Rows, Dates, First_Date, Last_Date): why there is or is no evidence, from the score history to prices.
+
+    history: Symbol, Date, Schema_Version (null is 1), Confidence_Adjusted_Score; matured: Symbol, Signal_Date, Horizon_Days,
+    Net_Forward_Return and Opportunity_Eligible; missing: Reason; bars: Symbol, Date. Sections: schema (v1, v2, and v2 rows without a score), matured (rows of the
+    horizon, or all rows where it has none), overlap (dates that are matured and of schema 2), breadth (dates with at least `least` scored,
+    eligible instruments, and thinner ones), reason, prices, and lost (symbols of the history that have no prices). Sections without rows stay, with counts of 0, but for reasons.
+    """
+    span = lambda df, section, item, date: df.agg(F.count(F.lit(1)).alias("Rows"), F.count_distinct(date).alias("Dates"), F.min(date).alias("First_Date"), F.max(date).alias("Last_Date")).select(F.lit(section).alias("Section"), F.lit(item).alias("Item"), "Rows", "Dates", "First_Date", "Last_Date")
+    two = F.coalesce(F.col("Schema_Version"), F.lit(1)) == 2
+    v2 = history.where(two)
+    of_horizon = matured.where(F.col("Horizon_Days") == horizon)
+    used = of_horizon if of_horizon.limit(1).count() else matured
+    dates = v2.select(F.col("Date").alias("Signal_Date")).distinct().hint("shuffle_hash")
+    scored = v2.where("Confidence_Adjusted_Score is not null").select(F.col("Date").alias("Signal_Date"), "Symbol").distinct().hint("shuffle_merge")
+    good = used.where(F.col("Net_Forward_Return").isNotNull() & (F.lower(F.trim("Opportunity_Eligible")) == "yes")).join(scored, ["Signal_Date", "Symbol"], "left_semi")
+    per_date = good.groupBy("Signal_Date").agg(F.count(F.lit(1)).alias("n"))
+    lost = history.select("Symbol").distinct().join(bars.select("Symbol").distinct().hint("shuffle_hash"), "Symbol", "left_anti")
+    none = F.lit(None).cast("date")
+    parts = [
+        span(history.where(~two), "schema", "v1", "Date"),
+        span(v2, "schema", "v2", "Date"),
+        span(v2.where("Confidence_Adjusted_Score is null"), "schema", "v2 without score", "Date"),
+        span(used, "matured", "rows", "Signal_Date"),
+        span(used.join(dates, "Signal_Date", "left_semi"), "overlap", "rows", "Signal_Date"),
+        span(per_date.where(F.col("n") >= least), "breadth", "usable dates", "Signal_Date"),
+        span(per_date.where(F.col("n") < least), "breadth", "thin dates", "Signal_Date"),
+        missing.where("Reason is not null").groupBy("Reason").agg(F.count(F.lit(1)).alias("Rows")).select(F.lit("reason").alias("Section"), F.col("Reason").alias("Item"), "Rows", F.lit(0).cast("long").alias("Dates"), none.alias("First_Date"), none.alias("Last_Date")),
+        span(bars, "prices", "bars", "Date"),
+        lost.agg(F.count(F.lit(1)).alias("Rows")).select(F.lit("lost").alias("Section"), F.lit("symbols").alias("Item"), "Rows", F.lit(0).cast("long").alias("Dates"), none.alias("First_Date"), none.alias("Last_Date")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def evidence_fallback(detail: DataFrame) -> DataFrame:
     """(Horizon_Days, Dates, Median_Gap): the median return of the best quintile less that of the worst, where there is no verdict."""
     net = F.col("Net_Forward_Return")

@@ -188,6 +188,23 @@ def validation_diagnosis(spark, sf_dir):
     return validation.validation_diagnosis(matured(spark, sf_dir))
 
 
+def _span(section: str, item: str, date: str, source: str) -> str:
+    return f"select '{section}' as Section, '{item}' as Item, count(*) as Rows, count(distinct {date}) as Dates, min({date})::date as First_Date, max({date})::date as Last_Date from {source}"
+
+
+@register("validation_coverage", f"""with {sql.MATURED}, h as (select distinct Signal_Date as Date, Symbol, Confidence_Adjusted_Score as cas, length(Symbol) % 2 + 1 as v from matured), r as (select * from matured where Net_Forward_Return is not null), u as (select * from r where Horizon_Days = 10), b as (select * from bars where Symbol not like '%7'),
+g as (select Signal_Date, count(*) as n from u where lower(trim(Opportunity_Eligible)) = 'yes' and exists (select 1 from h where h.v = 2 and h.cas is not null and h.Date = u.Signal_Date and h.Symbol = u.Symbol) group by 1)
+{_span('schema', 'v1', 'Date', 'h where v = 1')} union all {_span('schema', 'v2', 'Date', 'h where v = 2')} union all {_span('schema', 'v2 without score', 'Date', 'h where v = 2 and cas is null')} union all {_span('matured', 'rows', 'Signal_Date', 'u')} union all {_span('overlap', 'rows', 'Signal_Date', 'u where Signal_Date in (select Date from h where v = 2)')}
+union all {_span('breadth', 'usable dates', 'Signal_Date', 'g where n >= 10')} union all {_span('breadth', 'thin dates', 'Signal_Date', 'g where n < 10')} union all select 'reason', Reason, count(*), 0, null, null from matured where Reason is not null group by Reason union all {_span('prices', 'bars', 'Date', 'b')}
+union all select 'lost', 'symbols', count(*), 0, null, null from (select distinct Symbol from h where Symbol not in (select Symbol from b))""")
+def validation_coverage(spark, sf_dir):
+    """Schema 2 is told by the symbol's length, as in validation_detail; symbols that end in 7 have left the price file."""
+    m = table(matured(spark, sf_dir), "matured")
+    history = m.select(F.col("Signal_Date").alias("Date"), "Symbol", "Confidence_Adjusted_Score", (F.length("Symbol") % 2 + 1).alias("Schema_Version")).distinct()
+    bars = panel.bars(spark, sf_dir).where(~F.col("Symbol").endswith("7"))
+    return validation.validation_coverage(history, m.where("Net_Forward_Return is not null"), m, bars)
+
+
 @register("evidence_fallback", f"with {sql.DETAIL} select Horizon_Days, count(distinct Signal_Date) as Dates, {sql.r4x('quantile_cont(case when Score_Quintile = 5 then Net_Forward_Return end, 0.5) - quantile_cont(case when Score_Quintile = 1 then Net_Forward_Return end, 0.5)')} as Median_Gap from detail group by 1")
 def evidence_fallback(spark, sf_dir):
     return validation.evidence_fallback(_detail(spark, sf_dir)).select("Horizon_Days", "Dates", *r4("Median_Gap"))
