@@ -1,6 +1,7 @@
 """Residual coefficients against least squares and adaptive weights against ridge fits, for any number of factors."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -100,3 +101,26 @@ def test_adaptive_weights_match_a_ridge_fit(spark, p):
         assert uneven.Dormant_Reason == "total drift exceeds cap"
     with pytest.raises(ValueError):
         evaluation.adaptive_weights(panel.withColumnRenamed("k0", "Symbol"), {}, targets, 1, "")
+
+
+def test_rank_correlations_and_turnover_in_wide_form(spark):
+    """Against pandas, with ties, nulls and a factor that does not vary; rows are shuffled once for all factors and horizons."""
+    rnd = random.Random(5)
+    some = lambda: rnd.choice([None, 0.0, 0.0, 1.0, rnd.gauss(0, 1)])
+    rows = [(dt.date(2024, 1, d), f"S{k}", some(), some(), 3.0, some(), some()) for d in range(1, 5) for k in range(40 if d < 4 else 6)]
+    df = spark.createDataFrame(rows, "Date date, Symbol string, a double, b double, flat double, fwd_5 double, fwd_10 double")
+    names, p = ["a", "b", "flat"], pd.DataFrame(rows, columns=df.columns)
+    want = {}
+    for d, g in p.groupby("Date"):
+        for a in names:
+            for h in (5, 10):
+                both = g[[a, f"fwd_{h}"]].dropna().rank()
+                if len(both) >= 8 and a != "flat":
+                    want[d, a, h] = (pytest.approx(both.corr().iloc[0, 1]), len(both))
+    ic = evaluation.spearman_ic(df, names, (5, 10))
+    assert {(r.Date, r.alpha, r.horizon): (r.ic, r.n) for r in ic.collect()} == want and len(want) == 12
+    assert ic._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    share = p.groupby("Date")[names].rank(pct=True).assign(Date=p.Date, Symbol=p.Symbol).sort_values("Date")
+    moved = pd.concat([share.dropna(subset=[a]).groupby("Symbol")[a].diff().abs().rename(a) for a in names], axis=1).groupby(share.Date).mean().mean() / 2
+    got = {r.alpha: r.Turnover for r in evaluation.factor_turnover(df, names).collect()}
+    assert got == {a: pytest.approx(moved[a]) for a in names}
