@@ -58,3 +58,23 @@ def test_scores_of_few_and_missing_values(spark):
     got = {(r.Date, r.Symbol): (r.c, r.e) for r in df.collect()}
     assert got[3, "S0"] == (50.0, 50.0) and got[1, "S0"][0] == 50.0 and got[1, "S5"] == (50.0, pytest.approx(100 - 100 * 901 / 2 / 900))
     assert ranks.component_ranks(panel(spark).limit(0), {"c": F.col("c")}, keep).count() == 0
+
+
+@pytest.mark.parametrize("whole", [10_000, 899])
+def test_whole_dates_rank_as_ranges_do(spark, whole):
+    """A date is one group up to the bound, beyond it the long form is taken; both keep the rows, and whole dates write nothing but what was counted."""
+    df = panel(spark)
+    names, written = list("abcde"), []
+
+    def watch(frame, name):
+        written.append(name)
+        return keep(frame, name)
+
+    got = ranks.with_ranks(df.withColumn("more", F.col("b")), {f"_{n}": F.col(n) for n in names}, watch, 900, ("Date", "Symbol", "more"), whole).collect()
+    assert (written == []) == (whole >= 900)
+    want = {(r.Date, r.Symbol): r for r in ranks.component_ranks(df, {n: F.col(n) for n in names}, keep).collect()}
+    assert len(got) == df.count() and all(g.more == float(int(g.Symbol[1:]) // 7) for g in got)
+    for g in got:
+        for n in names:
+            w = want[g.Date, g.Symbol][n] if (g.Date, g.Symbol) in want else None
+            assert g[f"_{n}"] == w, (n, g)
