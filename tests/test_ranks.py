@@ -78,3 +78,11 @@ def test_whole_dates_rank_as_ranges_do(spark, whole):
         for n in names:
             w = want[g.Date, g.Symbol][n] if (g.Date, g.Symbol) in want else None
             assert g[f"_{n}"] == w, (n, g)
+
+
+def test_shadow_ranks_come_from_the_pass_of_the_components(spark):
+    """One group and one more exchange by date serve official and shadow ranks; the raw signals end before the latter."""
+    from barlake.plans import books
+
+    plan = books.shadow(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Exchange hashpartitioning(Date") == 2
