@@ -92,3 +92,13 @@ def test_evidence_holds_a_row_of_each_table(spark):
     flows = spark.createDataFrame([], "Symbol string, Net string")
     got = {(r.Date, r.Symbol): json.loads(r.Evidence) for r in changes.evidence_rows(cards, {"sizing": sizes, "flow": flows}).collect()}
     assert got == {(D(0), "A"): {"Place": 1, "Sector": None, "sizing": {"Weight": 0.4, "Shares": 7}, "flow": None}, (D(0), "B"): {"Place": 2, "Sector": "x", "sizing": None, "flow": None}, (D(1), "A"): {"Place": 1, "Sector": "y", "sizing": {"Weight": 0.4, "Shares": 7}, "flow": None}}
+
+
+def test_evidence_computes_the_scores_once(spark, monkeypatch):
+    from barlake.plans import queries, reports
+    from barlake.sources.shared import shared_path
+
+    paths = []
+    monkeypatch.setattr(queries, "shared_path", lambda s, n: paths.append(n) or shared_path(s, n))
+    assert reports.evidence_rows(spark, "/root/testdata/sf0.001").columns == ["Date", "Symbol", "Evidence"]
+    assert paths.count("signals") == 1
