@@ -20,8 +20,12 @@ def normalize_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", " "), " +", " "))
 
 
+def tokens_of(normalized: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(normalized, " "), lambda t: F.length(t) > 2))
+
+
 def title_tokens(title: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normalize_title(title), " "), lambda t: F.length(t) > 2))
+    return tokens_of(normalize_title(title))
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:

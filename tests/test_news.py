@@ -90,6 +90,27 @@ def test_clusters_equal_a_scan_in_order(spark, monkeypatch, name, large):
     assert got == scan(rows)
 
 
+def test_clusters_do_not_depend_on_what_tasks_hold(spark, monkeypatch):
+    """Few known frequencies, and tokens picked by a join in place of a broadcast."""
+    monkeypatch.setattr(clusters, "HEAVY", 5)
+    monkeypatch.setattr(clusters, "FEW", 0)
+    rows = CASES["mixed 2"]
+    got = {r.id: r.leader for r in clusters.news_dedup(spark.createDataFrame(rows, STORY), keep).collect()}
+    assert got == scan(rows)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens(spark):
+    rnd = random.Random(4)
+    rows = [(i, "A", False, None, " ".join(f"word{rnd.randrange(300)}" for _ in range(rnd.choice([0, 1, 40, 200])))) for i in range(40)]
+    keyed = clusters._keyed(spark.createDataFrame(rows, STORY)).cache()
+    sets = {r.id: set(r.tokens or ()) for r in keyed.collect()}
+    marked = {r.id: r for r in clusters._marked(keyed).collect()}
+    assert "tokens" not in clusters._marked(keyed).columns and all(r.n == len(sets[i]) and len(r.prefix or ()) <= r.n // 10 + 1 for i, r in marked.items())
+    for i in sets:
+        for j in sets:
+            assert sum(((marked[i][c] ^ marked[j][c]) & (1 << 64) - 1).bit_count() for c in clusters.BITS) <= len(sets[i] ^ sets[j])
+
+
 def test_merged_rows_name_the_first_seen_story_and_all_sources(spark):
     d = lambda n: dt.date(2024, 1, n)
     rows = [(1, "A", "x", None, d(3)), (2, "A", "y", d(5), d(1)), (3, "A", "x", d(4), d(9)), (4, "A", "", d(4), d(8)), (5, "B", None, None, None)]
