@@ -69,35 +69,42 @@ def upserted(stream: DataFrame, name: str, keys: list[str], order: list[Column],
 
 
 def _earliest(keep_ms: int) -> Callable:
+    """The state of a bucket: its clusters' keys in order, and each one's first story and time, and the time of its latest one (microseconds)."""
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        old = pd.DataFrame(dict(zip(("Cluster_Key", "id", "seen", "latest"), state.get, strict=True)) if state.exists else {"Cluster_Key": [], "id": [], "seen": [], "latest": []})
+        old = old.astype({"Cluster_Key": object, "id": "int64", "seen": "int64", "latest": "int64"})
+        landed = [] if state.hasTimedOut else list(frames)
+        new = pd.concat(landed) if landed else old.iloc[:0].rename(columns={"latest": "First_Seen"})[["Cluster_Key", "id", "First_Seen"]].astype({"First_Seen": "datetime64[us]"})
+        new = new.assign(seen=new["First_Seen"].astype("datetime64[us]").astype("int64"))
+        mark = state.getCurrentWatermarkMs()
+        # clusters without a story in this batch are forgotten when their time is over
+        old = old[(old["latest"] // 1000 + keep_ms > mark) | old["Cluster_Key"].isin(new["Cluster_Key"])]
+        both = pd.concat([old, new.assign(latest=new["seen"])[["Cluster_Key", "id", "seen", "latest"]]])
+        best = both.sort_values(["Cluster_Key", "seen", "id"]).drop_duplicates("Cluster_Key").drop(columns="latest")
+        best = best.merge(both.groupby("Cluster_Key", as_index=False)["latest"].max(), on="Cluster_Key")
+        if best.empty:
             state.remove()
             return
-        old = (pd.Timestamp(state.get[0]), state.get[1]) if state.exists else None
-        times = [pd.Timestamp(state.get[2])] if state.exists else []
-        best = old
-        for f in frames:
-            low = f.sort_values(["First_Seen", "id"]).iloc[0]
-            one = (pd.Timestamp(low["First_Seen"]), int(low["id"]))
-            best = one if best is None else min(best, one)
-            times.append(pd.Timestamp(f["First_Seen"].max()))
-        latest = max(times)
-        state.update((best[0].to_pydatetime(), best[1], latest.to_pydatetime()))
-        state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
-        if best != old:
-            yield pd.DataFrame({"Cluster_Key": [key[0]], "id": [best[1]], "First_Seen": [best[0]]})
+        state.update(tuple(best[c].tolist() for c in ("Cluster_Key", "id", "seen", "latest")))
+        state.setTimeoutTimestamp(max(int(best["latest"].min() // 1000) + keep_ms, mark + 1))
+        was = best.merge(old[["Cluster_Key", "id", "seen"]], on=["Cluster_Key", "id", "seen"], how="left", indicator=True)["_merge"] == "both"
+        out = best[~was.to_numpy()]
+        if len(out):
+            yield pd.DataFrame({"Cluster_Key": out["Cluster_Key"].to_numpy(), "id": out["id"].to_numpy(), "First_Seen": out["seen"].to_numpy().astype("datetime64[us]")})
 
     return update
 
 
-def first_seen(stories: DataFrame, late: str = "30 days", keep_days: int = 180) -> DataFrame:
+def first_seen(stories: DataFrame, late: str = "30 days", keep_days: int = 180, buckets: int = 512) -> DataFrame:
     """A stream of (Cluster_Key, id, First_Seen): the earliest story of each cluster, anew whenever an earlier one lands.
 
     stories: Cluster_Key, id, First_Seen (timestamp), a stream. By the stream's own time, the greatest First_Seen so far less `late`, older stories are left out, and a cluster is
     forgotten `keep_days` after its latest story; one that lands after that opens it anew. Of stories of one time the smaller id counts. Rows without a key or time go.
+    The clusters of one of `buckets` buckets, by the key's hash, share a state and are looked at together: a batch reads and writes the states that its keys fall into.
     """
-    some = stories.where("Cluster_Key is not null and First_Seen is not null").withWatermark("First_Seen", late).select("Cluster_Key", "id", "First_Seen")
-    return some.groupBy("Cluster_Key").applyInPandasWithState(_earliest(keep_days * 86_400_000), "Cluster_Key string, id long, First_Seen timestamp", "First_Seen timestamp, id long, Latest timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+    some = stories.where("Cluster_Key is not null and First_Seen is not null").withWatermark("First_Seen", late).select(F.pmod(F.xxhash64("Cluster_Key"), F.lit(buckets)).alias("_bucket"), "Cluster_Key", "id", "First_Seen")
+    return some.groupBy("_bucket").applyInPandasWithState(_earliest(keep_days * 86_400_000), "Cluster_Key string, id long, First_Seen timestamp", "keys array<string>, ids array<long>, seen array<long>, latest array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _matured(horizons: tuple[int, ...]) -> Callable:

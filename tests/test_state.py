@@ -86,3 +86,22 @@ def test_a_replayed_batch_changes_nothing_and_buckets_are_left_alone(spark):
     assert 0 < len(touched(1)) <= 2 and len(table._versions(3)) >= len(touched(2)) and sorted(r.Price for r in table.table(0, frames[0]).collect()) == [1.0, 2.0, 3.0]
     empty = state.BucketTable(spark, "none", ["Date", "Symbol"], [F.col("_landed").desc()])
     assert empty.table(-1, frames[0]).count() == 0
+
+
+def test_clusters_of_a_bucket_are_kept_apart(spark, tmp_path):
+    """Many clusters in two buckets: firsts, late ones and expiry are those of each cluster by itself."""
+    rnd = random.Random(6)
+    landings = [[(f"k{rnd.randrange(40)}", n * 100 + i, T(n * 10 + rnd.randrange(5))) for i in range(60)] for n in range(3)]
+    got, want, known = {}, {}, {}
+    log = ev.landed(state.first_seen(stream(spark, tmp_path, "Cluster_Key string, id long, First_Seen timestamp", landings), buckets=2), "apart", "update")
+    for r in log.collect():
+        got[r.Cluster_Key, r._batch] = (r.First_Seen, r.id)
+    for n, rows in enumerate(landings):
+        before = dict(known)
+        for k, i, t in rows:
+            known[k] = min(known.get(k, (t, i)), (t, i))
+        want |= {(k, n): v for k, v in known.items() if before.get(k) != v}
+    assert got == want
+    away = [[("a", 1, T(0)), ("b", 2, T(300))], [("c", 3, T(600))], [("b", 4, T(601)), ("d", 5, T(602))], [("a", 6, T(603))]]
+    log = ev.landed(state.first_seen(stream(spark, tmp_path / "away", "Cluster_Key string, id long, First_Seen timestamp", away), keep_days=30, buckets=1), "away", "update")
+    assert [(r.Cluster_Key, r.id) for r in log.orderBy("_batch", "id").collect()] == [("a", 1), ("b", 2), ("c", 3), ("d", 5), ("a", 6)]  # b lands anew before it is forgotten
