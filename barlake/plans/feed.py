@@ -184,4 +184,4 @@ def news_dedup(spark, sf_dir):
 def news_clusters(spark, sf_dir):
     """Merged rows; a story's source is its page's host, and it is first seen some days after it was published."""
     s = stories(spark, sf_dir).withColumn("Source", F.regexp_extract("url", "://([^/]*)", 1)).withColumn("First_Seen", F.date_add("Published", (F.col("id") % 11).cast("int")))
-    return clusters.merged(s, clusters.news_dedup(s, table)).select("leader", "id", "Symbol", "filing", "First_Seen", "Published", "All_Sources", "Duplicate_Count")
+    return clusters.merged(s.drop("title"), clusters.news_dedup(s, table)).select("leader", "id", "Symbol", "filing", "First_Seen", "Published", "All_Sources", "Duplicate_Count")
